@@ -3,7 +3,7 @@
 import html as html_lib
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from hustings import vocab
 from hustings.functions.text import (
@@ -36,7 +36,7 @@ COMMON_ENTITIES = {
 }
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape_any(values: pd.Series) -> pd.Series:
     return values.map(html_lib.unescape, na_action="ignore")
 

@@ -1,6 +1,6 @@
 """Linking candidates to members by name."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 import pandas as pd
 from difflib import SequenceMatcher
@@ -64,7 +64,7 @@ def link_people(
     ).where("member_id IS NOT NULL")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
