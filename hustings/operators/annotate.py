@@ -28,6 +28,16 @@ HEADER_REPLY = "struct<next_url:string,aggregate_urls:array<string>,note:string>
 # --- parsing -------------------------------------------------------------------
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once a row.
+
+    A plain projection may be copied into every later use and every filter; parsing is
+    too dear for that, and a generator's output is not copied.
+    """
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def clean_reply(text: Column, shape: str = "array") -> Column:
     """The JSON of a reply without code fences.
 
@@ -55,7 +65,7 @@ def repair_quotes(json: Column) -> Column:
     return F.regexp_replace(
         json,
         r'(:\s*"(?:[^"\\]++|\\.)*+)"((?:[^"\\]++|\\.)*+)("\s*[,}\]])',
-        r'$1\\\\"$2$3',
+        r'$1\\"$2$3',
     )
 
 
@@ -75,38 +85,41 @@ def parse_annotations(
     A reply that does not parse is repaired once. Numbers that are none reject the
     whole reply.
     """
-    json = clean_reply(F.col(text), shape)
-    tried = replies.withColumn("_json", json)
+    tried = once(replies, _json=clean_reply(F.col(text), shape))
+    json = F.col("_json")
     if shape == "array":
-        repaired = repair_quotes(F.col("_json"))
-        tried = tried.withColumn(
-            "_json",
-            F.when(_valid(F.col("_json")), F.col("_json")).when(_valid(repaired), repaired),
-        )
-    else:
-        tried = tried.withColumn("_json", F.when(_valid(F.col("_json")), F.col("_json")))
-    parsed = tried.withColumn("parsed", F.from_json("_json", schema)).drop("_json")
+        # Only what does not parse as it stands is repaired and parsed again.
+        tried = once(tried, _fix=F.when(~_valid(json), repair_quotes(json)))
+        json = F.coalesce("_fix", json)
+    parsed = F.when(_valid(json), F.from_json(json, schema))
+    tried = once(tried, parsed=parsed).select(*replies.columns, "parsed")
     bad = F.lit(False)
     for name in numbers:
-        bad = bad | F.exists(
-            "parsed", lambda p, n=name: p[n].isNotNull() & p[n].try_cast("double").isNull()
-        )
+        given = F.col(f"parsed.{name}")
+        bad = bad | F.exists(given, lambda x: x.isNotNull() & x.try_cast("double").isNull())
     reason = F.when(F.col("parsed").isNull(), "not JSON").when(bad, "bad number")
-    marked = parsed.withColumn("reason", reason)
-    return marked.where("reason IS NULL").drop("reason"), marked.where(
-        "reason IS NOT NULL"
-    ).drop("parsed")
-
-
-def split_sentinel(raw: Column, mark: str, note_size: int = vocab.MAX_NOTE_CHARS) -> Column:
-    """struct(manifesto_text, next_url, aggregate_urls, note): JSON before the mark, text after."""
-    text = trim_spaces(raw)
-    at = F.instr(text, mark)
-    header = clean_reply(F.when(at > 0, F.substr(text, F.lit(1), at - 1)).otherwise(text), "block")
-    body = F.when(at > 0, trim_spaces(F.substr(text, at + len(mark)))).otherwise("")
-    meta = F.when(_valid(header), F.from_json(header, HEADER_REPLY))
-    return F.struct(
-        body.alias("manifesto_text"),
+    good = tried.where(reason.isNull())
+    return good, tried.withColumn("reason", reason).where("reason IS NOT NULL").drop("parsed")
+
+
+def split_sentinel(
+    df: DataFrame, raw: str, mark: str, note_size: int = vocab.MAX_NOTE_CHARS
+) -> DataFrame:
+    """Split column `raw` into a JSON header before the mark and a text after it.
+
+    Adds manifesto_text, next_url, aggregate_urls and note; a header that does not
+    parse leaves them empty.
+    """
+    text, at = F.col("_text"), F.instr("_text", mark)
+    header = F.when(at > 0, F.substr(text, F.lit(1), at - 1)).otherwise(text)
+    body = F.when(at > 0, F.substr(text, at + len(mark))).otherwise("")
+    split = once(df, _text=trim_spaces(F.col(raw)))
+    split = once(split, _head=clean_reply(header, "block"), manifesto_text=trim_spaces(body))
+    head, meta = F.col("_head"), F.col("_meta")
+    split = once(split, _meta=F.when(_valid(head), F.from_json(head, HEADER_REPLY)))
+    return split.select(
+        *[c for c in df.columns if c != raw],
+        "manifesto_text",
         F.nullif(meta["next_url"], F.lit("")).alias("next_url"),
         meta["aggregate_urls"].alias("aggregate_urls"),
         F.substring(trim_spaces(F.coalesce(meta["note"], F.lit(""))), 1, note_size).alias("note"),
