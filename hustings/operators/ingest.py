@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from hustings import vocab
 from hustings.functions import votes as v
 from hustings.operators.ids import dense_ids
+from hustings.session import stage
 
 RAW_COLUMNS = [
     "ID",
@@ -98,11 +99,11 @@ def first_rows(raw: DataFrame) -> DataFrame:
     )
 
 
-def member_votes(raw: DataFrame, members: DataFrame) -> DataFrame:
+def member_votes(raw: DataFrame, members: DataFrame, firsts: DataFrame) -> DataFrame:
     """Readable votes: (division_id, member_id, vote, row_no), still with repeats.
 
-    A row with an unreadable date counts once its division has been seen; only
-    those rows are compared with the division's first row.
+    A row with an unreadable date counts once its division has been seen; only those
+    rows are compared with the first row of the division.
     """
     named = raw.select(
         F.col("ID").cast("long").alias("division_id"),
@@ -111,14 +112,9 @@ def member_votes(raw: DataFrame, members: DataFrame) -> DataFrame:
         "row_no",
         v.parse_date(F.col("Date")).isNotNull().alias("dated"),
     )
-    opened = (
-        raw.where(v.parse_date(F.col("Date")).isNotNull())
-        .groupBy(F.col("ID").cast("long").alias("division_id"))
-        .agg(F.min("row_no").alias("opened"))
-    )
     late = (
         named.where("NOT dated")
-        .join(opened, "division_id")
+        .join(firsts.select("division_id", F.col("row_no").alias("opened")), "division_id")
         .where("row_no > opened")
         .drop("opened")
     )
@@ -153,9 +149,9 @@ def division_tallies(votes: DataFrame) -> DataFrame:
 TALLIES = ["pour_count", "contre_count", "abstain_count", "absent_count", "total_eligible"]
 
 
-def build_divisions(raw: DataFrame, propositions: DataFrame, votes: DataFrame) -> DataFrame:
+def build_divisions(firsts: DataFrame, propositions: DataFrame, votes: DataFrame) -> DataFrame:
     """One row a division: attributes of its first readable row, and its tallies."""
-    parsed = first_rows(raw).withColumn("ref", v.parse_reference(F.col("Reference")))
+    parsed = firsts.withColumn("ref", v.parse_reference(F.col("Reference")))
     attributes = parsed.select(
         "division_id",
         F.col("ref.base_ref").alias("base_reference"),
@@ -178,10 +174,12 @@ def build_divisions(raw: DataFrame, propositions: DataFrame, votes: DataFrame) -
 
 
 def build_all(raw: DataFrame, active_years: list[int] = vocab.ACTIVE_YEARS) -> dict[str, DataFrame]:
+    """The four tables; first rows and votes are stored, since two tables need them."""
+    firsts = stage(first_rows(raw), "firsts")
     members = build_members(raw, active_years)
     propositions = build_propositions(raw)
-    votes = dedupe_votes(member_votes(raw, members))
-    divisions = build_divisions(raw, propositions, votes)
+    votes = stage(dedupe_votes(member_votes(raw, members, firsts)), "votes")
+    divisions = build_divisions(firsts, propositions, votes)
     return {
         "members": members,
         "propositions": propositions,

@@ -6,9 +6,10 @@ start from the raw tables and use them whole.
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hustings.operators import ingest
+from hustings.session import stage
 
 SINCE = "1995-04-01"
 YEARS = [2000, 2001]
@@ -36,6 +37,13 @@ STAGES = [
     "procedural",
     "other",
 ]
+SPREAD = {
+    "lineitem": ["l_partkey", "l_suppkey"],
+    "orders": ["o_orderkey"],
+    "documents": ["doc_id"],
+    "pages": ["page_id"],
+    "conversations": ["conv_id", "turn"],
+}
 LINE_ORDER = "l_orderkey, l_linenumber, l_shipdate, l_quantity, l_extendedprice"
 
 
@@ -58,27 +66,27 @@ class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.dir = sf_dir.rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        """A driver table.
+
+        A file of one row group is one task, whatever the number of cores; such a small
+        input is spread by key. Inputs with enough splits are read as they are.
+        """
+        if name not in self._tables:
+            df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+            cores = self.spark.sparkContext.defaultParallelism
+            if name in SPREAD and df.rdd.getNumPartitions() < cores:
+                df = df.repartition(cores, *SPREAD[name])
+            self._tables[name] = df
+        return self._tables[name]
 
     # --- roll call ---
 
     @cached_property
     def lines(self) -> DataFrame:
-        """lineitem with its row order as one number and its vote text."""
-
-        def wide(column, digits=38):
-            return column.cast(T.DecimalType(digits, 0))
-
-        order = wide(F.col("l_orderkey"))
-        for column, size in (
-            (F.col("l_linenumber"), 10),
-            (F.unix_date(F.to_date("l_shipdate")), 100_000),
-            (F.col("l_quantity"), 1_000),
-            (F.round(F.col("l_extendedprice") * 100), 10_000_000_000),
-        ):
-            order = wide(order * F.lit(size).cast(T.DecimalType(11, 0)) + wide(column, 18))
+        """lineitem with its row order and its vote text."""
         flag, status = F.col("l_returnflag"), F.col("l_linestatus")
         away = ["Ill", "En défaut", "Not present for vote", "Unlisted"]
         vote = (
@@ -87,7 +95,8 @@ class Views:
             .when(status == "F", "Abstained")
             .otherwise(pick(away, F.col("l_linenumber") % 4))
         )
-        return self.table("lineitem").select("*", order.alias("row_no"), vote.alias("vote"))
+        order = F.struct(*LINE_ORDER.split(", ")).alias("row_no")
+        return self.table("lineitem").select("*", order, vote.alias("vote"))
 
     @cached_property
     def votes_raw(self) -> DataFrame:
@@ -103,6 +112,11 @@ class Views:
     def votes(self) -> DataFrame:
         return ingest.dedupe_votes(self.votes_raw)
 
+    @cached_property
+    def stored_votes(self) -> DataFrame:
+        """The votes as a written table, for queries that read them more than once."""
+        return stage(self.votes, "votes")
+
     @cached_property
     def rollcall(self) -> DataFrame:
         """The raw file: text columns with uneven spaces, old labels and bad dates."""
@@ -209,6 +223,14 @@ class Views:
 
     @cached_property
     def divisions(self) -> DataFrame:
+        return self._divisions(self.votes)
+
+    @cached_property
+    def stored_divisions(self) -> DataFrame:
+        """The divisions as a written table, tallied from the stored votes."""
+        return stage(self._divisions(self.stored_votes), "divisions")
+
+    def _divisions(self, votes: DataFrame) -> DataFrame:
         part = F.col("p_partkey")
         brand = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")
         dates = self.table("lineitem").groupBy(F.col("l_partkey").alias("division_id")).agg(
@@ -227,7 +249,7 @@ class Views:
             pick(STAGES, F.col("p_size") % 8).alias("division_stage"),
         )
         return described.join(dates, "division_id").join(
-            ingest.division_tallies(self.votes), "division_id"
+            ingest.division_tallies(votes), "division_id"
         )
 
     # --- candidates ---

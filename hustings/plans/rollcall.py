@@ -313,7 +313,7 @@ def member_totals(t: Views):
     "votes divisions props",
 )
 def member_topics(t: Views):
-    return reports.member_topics(t.votes, t.divisions, t.props)
+    return reports.member_topics(t.stored_votes, t.stored_divisions, t.props)
 
 
 @query(
@@ -327,7 +327,7 @@ def member_topics(t: Views):
     "votes divisions props",
 )
 def member_recent_votes(t: Views):
-    latest = reports.member_recent_votes(t.votes, t.divisions, t.props)
+    latest = reports.member_recent_votes(t.stored_votes, t.stored_divisions, t.props)
     return latest.withColumn("date", F.to_date("date"))
 
 
@@ -466,8 +466,8 @@ def topic_counts(t: Views):
 )
 def breakdowns(t: Views):
     return reports.breakdowns(
-        stage=(t.divisions, "division_stage"),
-        category=(t.votes, "vote_category"),
+        stage=(t.stored_divisions, "division_stage"),
+        category=(t.stored_votes, "vote_category"),
         topic=(t.props, "topic_primary"),
     )
 
@@ -493,8 +493,9 @@ PAIRS = f"""{VALUES}, active AS (SELECT * FROM members WHERE is_currently_active
 def matrix(t: Views):
     """The values, rows and columns of the vote matrix."""
     active = t.members.where("is_currently_active")
-    chosen = al.eligible_divisions(t.divisions, SINCE)
-    return al.vote_values(t.votes, t.divisions, t.members, SINCE), active, chosen
+    divisions = t.stored_divisions
+    chosen = al.eligible_divisions(divisions, SINCE)
+    return al.vote_values(t.stored_votes, divisions, t.members, SINCE), active, chosen
 
 
 @query("vote_matrix", f", {VALUES} SELECT * FROM cells", "votes divisions members")
@@ -566,7 +567,7 @@ def independence(t: Views):
     "votes members divisions",
 )
 def participation(t: Views):
-    return al.participation(t.votes, t.members, t.divisions, SINCE)
+    return al.participation(t.stored_votes, t.members, t.stored_divisions, SINCE)
 
 
 # --- respondents ------------------------------------------------------------------
@@ -591,7 +592,9 @@ def quiz_questions(t: Views):
     "division_answers votes members",
 )
 def respondent_match(t: Views):
-    return scoring.respondent_match(t.division_answers, t.votes, t.members, t.divisions)
+    return scoring.respondent_match(
+        t.division_answers, t.stored_votes, t.members, t.table("part")
+    )
 
 
 # --- spectrum ---------------------------------------------------------------------
@@ -606,8 +609,8 @@ def pca_members(t: Views):
 def topic_points(t: Views):
     """Two-dimensional positions on two topics."""
     active = t.members.where("is_currently_active")
-    of_topic = t.divisions.join(t.props.select("proposition_id", "topic_primary"), "proposition_id")
-    values = al.vote_values(t.votes, of_topic, t.members, SINCE, topics=PART_TYPES[:2])
+    of_topic = t.stored_divisions.join(t.props.select("proposition_id", "topic_primary"), "proposition_id")
+    values = al.vote_values(t.stored_votes, of_topic, t.members, SINCE, topics=PART_TYPES[:2])
     placed, _ = spectrum.positions(values.where("v <> 0"), active, 2, "gram")
     return placed.withColumnsRenamed({"pc1": "x", "pc2": "y"})
 
