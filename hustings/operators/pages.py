@@ -142,6 +142,8 @@ def assemble_document(
     order values before the shuffle, and runs past the limit are dropped before
     single parts are ordered.
     """
+    # A separator belongs to the part after it and may reach below the limit.
+    reach = limit + len(separator)
     sized = parts.select(
         key,
         order,
@@ -153,12 +155,12 @@ def assemble_document(
     earlier = Window.partitionBy(key).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     starts = runs.select(
         key, "run", F.coalesce(F.sum("run_size").over(earlier), F.lit(0)).alias("run_start")
-    ).where(F.col("run_start") < limit)
+    ).where(F.col("run_start") < reach)
     inside = Window.partitionBy(key, "run").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         sized.join(starts, [key, "run"])
         .withColumn("begin", F.col("run_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .where(F.col("begin") < limit)
+        .where(F.col("begin") < reach)
         .select(key, order, F.substring(text, 1, limit).alias(text))
     )
     ordered = F.array_sort(F.collect_list(F.struct(order, text)))
