@@ -132,7 +132,7 @@ def assemble_document(
     text: str = "part",
     limit: int = vocab.MAX_DOCUMENT_CHARS,
     separator: str = "\n\n",
-    span: int = 256,
+    span: int = 4096,
 ) -> DataFrame:
     """Parts of each document in order, joined and cut at `limit` characters.
 

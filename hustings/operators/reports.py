@@ -269,11 +269,16 @@ def topic_counts(divisions: DataFrame, props: DataFrame, since: str | None = voc
     )
 
 
+def topic_list(props: DataFrame) -> DataFrame:
+    """Topics in use, as offered by the division filter."""
+    return props.where("topic_primary IS NOT NULL").select("topic_primary").distinct().orderBy("topic_primary")
+
+
 def breakdowns(**tables: tuple[DataFrame, str]) -> DataFrame:
     """Row counts by label for several tables: (kind, label, n).
 
-    `breakdowns(stage=(divisions, "division_stage"), topic=(props, "topic_primary"))`;
-    tables given as a list of pairs are added up.
+    For example `breakdowns(stage=(divisions, "division_stage"))`; rows without a label
+    count as UNCLASSIFIED.
     """
     parts = []
     for kind, (df, column) in tables.items():

@@ -625,4 +625,5 @@ def with_views(query: str, *names: str) -> str:
         return query
     # `lines` feeds several views and holds a window; keep its result.
     text = ",\n".join(f"{n} AS MATERIALIZED ({VIEWS[n][1]})" for n in ordered)
-    return f"WITH {text}\n{query}"
+    # A recursive query says itself where the views go.
+    return "WITH " + query.replace("{views}", text) if "{views}" in query else f"WITH {text}\n{query}"

@@ -457,6 +457,13 @@ def topic_counts(t: Views):
     return reports.topic_counts(t.divisions, t.props, SINCE)
 
 
+@query(
+    "topic_list", "SELECT DISTINCT topic_primary FROM props WHERE topic_primary IS NOT NULL", "props"
+)
+def topic_list(t: Views):
+    return reports.topic_list(t.props)
+
+
 @query(
     "breakdowns",
     """SELECT 'stage' AS kind, division_stage AS label, count(*) AS n FROM divisions GROUP BY ALL
@@ -573,7 +580,35 @@ def participation(t: Views):
 # --- respondents ------------------------------------------------------------------
 
 
-@query("quiz_questions")
+@query(
+    "quiz_questions",
+    f"""RECURSIVE {{views}}, pool AS (SELECT *, row_number() OVER (ORDER BY
+          abs(CAST(pour_count AS DOUBLE) / (pour_count + contre_count) - 0.5), division_id) AS rn,
+          abs(CAST(pour_count AS DOUBLE) / (pour_count + contre_count) - 0.5) AS distance
+        FROM divisions JOIN props USING (proposition_id)
+        WHERE division_stage IN {WIDE_STAGES} AND date >= TIMESTAMP '{SINCE}' AND pour_count + contre_count >= 20
+          AND {CLOSENESS} >= 0.25 AND topic_primary IS NOT NULL QUALIFY rn <= 200),
+      walk AS (SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS picked, CAST([] AS VARCHAR[]) AS seen,
+          CAST([] AS VARCHAR[]) AS topics
+        UNION ALL SELECT rn, CASE WHEN take THEN list_append(picked, division_id) ELSE picked END,
+          CASE WHEN take THEN seen || [head, base_reference] ELSE seen END,
+          CASE WHEN take THEN list_append(topics, topic_primary) ELSE topics END
+        FROM (SELECT p.rn, picked, seen, topics, division_id, base_reference, topic_primary,
+            proposition_title[1:30] AS head,
+            NOT list_contains(seen, proposition_title[1:30]) AND NOT list_contains(seen, base_reference)
+              AND len(list_filter(topics, lambda x: x = topic_primary)) < 4 AND len(picked) < 30 AS take
+          FROM walk JOIN pool p ON p.rn = walk.rn + 1)),
+      chosen AS (SELECT unnest(picked) AS division_id, generate_subscripts(picked, 1) AS position
+        FROM (SELECT picked FROM walk ORDER BY rn DESC LIMIT 1))
+      SELECT CAST(position AS INTEGER) AS position, distance, division_id, proposition_title AS title,
+        coalesce(nullif(plain_language_summary, ''), CASE WHEN extended_summary IS NOT NULL
+          THEN 'Because of ' || split_part(split_part(extended_summary, 'Because of ', 2), chr(10), 1) END,
+          plain_language_summary) AS summary,
+        topic_primary AS topic, base_reference AS reference, source_url, CAST(date AS DATE) AS date, pour_count,
+        contre_count, pour_count > contre_count AS passed
+      FROM chosen JOIN pool USING (division_id)""",
+    "divisions props",
+)
 def quiz_questions(t: Views):
     return scoring.quiz_questions(t.divisions, t.props, SINCE)
 

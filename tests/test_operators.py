@@ -482,7 +482,7 @@ def test_links_are_capped_in_page_order(spark):
     assert (found[1]["text"], found[1]["url"]) == ("n0 &", "https://www.s.org/p0")
 
 
-@pytest.mark.parametrize("span", [256, 3])
+@pytest.mark.parametrize("span", [4096, 3])
 def test_long_documents_are_cut(spark, span):
     parts = spark.range(200).select(
         (F.col("id") % 2).alias("k"), F.col("id").alias("o"), F.repeat(F.lit("x"), (F.col("id") % 17).cast("int")).alias("part")
