@@ -45,23 +45,31 @@ def vote_values(
     )
 
 
-def _products(values: DataFrame, members: DataFrame, n_divisions) -> DataFrame:
+def _products(
+    values: DataFrame, members: DataFrame, divisions: DataFrame, every_pair: bool = True
+) -> DataFrame:
     return self_products(
         values.select(F.col("member_id").alias("id"), F.col("division_id").alias("key"), "v"),
         members.select(F.col("member_id").alias("id")),
-        n_divisions,
+        count_of(divisions),
+        every_pair=every_pair,
     )
 
 
 def alignment(
-    values: DataFrame, members: DataFrame, divisions: DataFrame, empty: str = "null"
+    values: DataFrame,
+    members: DataFrame,
+    divisions: DataFrame,
+    empty: str = "null",
+    strangers: bool = True,
 ) -> DataFrame:
     """Agreement of every pair m1 <= m2: (m1, m2, agreed, shared, pct).
 
     `members` and `divisions` are the rows and columns of the matrix. Without a shared
-    division `pct` is null, or 0 with `empty='zero'`.
+    division `pct` is null, or 0 with `empty='zero'`; `strangers=False` leaves such
+    pairs out, which keeps the result sparse in a wide body.
     """
-    pairs = _products(values, members, count_of(divisions))
+    pairs = _products(values, members, divisions, strangers)
     agreed = ((F.col("shared") + F.col("dot")) / 2).cast("long")
     pct = F.when(F.col("shared") > 0, agreed / F.col("shared"))
     if empty == "zero":
@@ -100,7 +108,7 @@ def aligned_pairs(
 
 def cosine(values: DataFrame, members: DataFrame, divisions: DataFrame) -> DataFrame:
     """Cosine similarity of every pair m1 <= m2, absences and abstentions being 0."""
-    pairs = _products(values, members, count_of(divisions))
+    pairs = _products(values, members, divisions)
     norms = values.where("v <> 0").groupBy("member_id").agg(F.count("*").alias("n"))
     return (
         pairs.join(norms.select(F.col("member_id").alias("a"), F.col("n").alias("na")), "a", "left")

@@ -530,7 +530,8 @@ def alignment(t: Views):
 def aligned_pairs(t: Views):
     """The flagship: dedupe, tally, align, and report the extremes."""
     values, active, chosen = matrix(t)
-    return al.aligned_pairs(al.alignment(values, active, chosen), active, min_shared=5)
+    pairs = al.alignment(values, active, chosen, strangers=False)
+    return al.aligned_pairs(pairs, active, min_shared=5)
 
 
 @query(

@@ -5,20 +5,29 @@ from pyspark.sql import functions as F
 from hustings import vocab
 from hustings.functions import text, web
 from hustings.functions.rules import Rule, any_of, topic_rules
-from hustings.operators import annotate, pages
-from hustings.plans.fixtures import PART_TYPES, Views
+from hustings.operators import annotate, pages, reports
+from hustings.plans.fixtures import PART_TYPES, SINCE, Views
 from hustings.plans.registry import query
+from hustings.sources import files
 
 STRIP = r"'^\s+|\s+$', '', 'g'"
 
 
+# Entities that are decoded without their semicolon as well.
+BARE = ("&lt;", "&gt;", "&quot;", "&nbsp;", "&middot;", "&copy;", "&amp;", "&#39;")
+
+
 def sql_unescape(x: str) -> str:
     for entity, char in web.COMMON_ENTITIES.items():
-        x = f"replace({x}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
+        char = char.replace("'", "''")
+        if entity in BARE:
+            x = f"regexp_replace({x}, '{entity}?', '{char}', 'g')"
+        else:
+            x = f"replace({x}, '{entity}', '{char}')"
     return x
 
 
-def sql_tags(x: str, blank: str = r"\n\s*\n+") -> str:
+def sql_tags(x: str) -> str:
     """Blocks to newlines, other tags to spaces."""
     x = rf"regexp_replace({x}, '<br\s*/?>', chr(10), 'g')"
     x = f"regexp_replace({x}, '</(p|h[1-6]|div|li|tr)>', chr(10), 'g')"
@@ -40,9 +49,7 @@ def sql_strip_tags(x: str) -> str:
 
 @query("scan_pages", "SELECT page_id, url, html FROM pages")
 def scan_pages(t: Views):
-    from hustings.sources.files import scan_pages as scan
-
-    return scan(t.spark, f"{t.dir}/pages.parquet")
+    return files.scan_pages(t.spark, f"{t.dir}/pages.parquet")
 
 
 _SCRIPTS = r"regexp_replace({x}, '(?is)<script\b.*?</script>', ' ', 'g')"
@@ -98,7 +105,6 @@ def page_meta(t: Views):
     ).select("doc_id", "m.*", "word_count")
 
 
-_ANCHOR = r"""(?is)<a\b[^>]*\bhref\s*=\s*["''][^"'']+["''][^>]*>.*?</a>"""
 _HREF = r"""(?is)<a\b[^>]*\bhref\s*=\s*["'']([^"'']+)["''][^>]*>(.*?)</a>"""
 LINKS = rf"""anchors AS (SELECT page_id, url AS base, unnest(list_zip(
       regexp_extract_all(html, '{_HREF}', 1), regexp_extract_all(html, '{_HREF}', 2),
@@ -135,9 +141,7 @@ def chapter_links(t: Views):
           FROM links GROUP BY page_id)
         SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN in_order[1] END AS next_url,
           CASE WHEN page_id % 3 = 0 THEN array_to_string(in_order[1:25], '|') ELSE '' END AS aggregate_urls
-        FROM pages LEFT JOIN offered USING (page_id)""".replace(
-        "ELSE '' END AS aggregate_urls", "ELSE '' END AS aggregate_urls"
-    ),
+        FROM pages LEFT JOIN offered USING (page_id)""",
 )
 def url_whitelist(t: Views):
     """Replies suggest offered and foreign URLs; only offered ones stay."""
@@ -289,9 +293,9 @@ def between_anchors(t: Views):
 @query(
     "contacts",
     rf"""SELECT doc_id, nullif(regexp_extract(text, '{vocab.EMAIL_PATTERN}'), '') AS email,
-          trim(nullif(regexp_extract(text, '{vocab.PHONE_PATTERN}'), '')) AS phone,
+          regexp_replace(nullif(regexp_extract(text, '{vocab.PHONE_PATTERN}'), ''), {STRIP}) AS phone,
           CASE WHEN lower(p) IN ('none', 'independent', 'n/a', '-') THEN 'Independent' ELSE p END AS party
-        FROM (SELECT *, trim(nullif(regexp_extract(text, '(?:Party|Affiliation)\s*[:\-]\s*([^\n]+)', 1), '')) AS p
+        FROM (SELECT *, regexp_replace(nullif(regexp_extract(text, '(?:Party|Affiliation)\s*[:\-]\s*([^\n]+)', 1), ''), {STRIP}) AS p
               FROM (SELECT doc_id, text || chr(10) || 'Party: ' ||
                 CASE WHEN lang = 'en' THEN 'None' ELSE source END AS text FROM documents))""",
 )
@@ -332,13 +336,11 @@ def topic_rules_(t: Views):
 )
 def topic_totals(t: Views):
     """Category totals of two classified tables, added."""
-    from hustings.operators.reports import added_counts
-
     def counts(name: str):
         found = t.table(name).select(topic_rules(F.col("text"), RULES).alias("label"))
         return found.where("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("n"))
 
-    return added_counts(counts("documents"), counts("conversations"))
+    return reports.added_counts(counts("documents"), counts("conversations"))
 
 
 HEADED = "regexp_replace(text, '(?m)^([A-M][^ \\n]*)', '**\\1** ', 'g')"
@@ -704,8 +706,6 @@ def annotation_worklist(t: Views):
     "props divisions",
 )
 def extended_worklist(t: Views):
-    from hustings.plans.fixtures import SINCE
-
     return annotate.extended_worklist(t.props, t.divisions, SINCE).select(
         "proposition_id", "base_reference", "title", "excerpt"
     )
