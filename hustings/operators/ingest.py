@@ -63,10 +63,12 @@ def build_members(raw: DataFrame, active_years: list[int] = vocab.ACTIVE_YEARS)
 
 def build_propositions(raw: DataFrame) -> DataFrame:
     """One row a base reference, numbered by year, number and first appearance."""
-    parsed = raw.select(
-        v.parse_reference(F.col("Reference"))["base_ref"].alias("base_reference"),
-        F.col("PropositionTitle").alias("title"),
-        "row_no",
+    # References repeat on every vote; each distinct text is parsed once.
+    distinct = raw.groupBy("Reference").agg(
+        F.min_by(F.struct(F.col("PropositionTitle").alias("title"), "row_no"), "row_no").alias("f")
+    )
+    parsed = distinct.select(
+        v.parse_reference(F.col("Reference"))["base_ref"].alias("base_reference"), "f.title", "f.row_no"
     )
     first = parsed.groupBy("base_reference").agg(
         F.min_by("title", "row_no").alias("title"), F.min("row_no").alias("first_row")

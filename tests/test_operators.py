@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,6 +144,22 @@ def test_products_do_not_depend_on_blocks(spark, block, chunk):
         assert r["shared"] == np.sum((x[r["a"]] != 0) & (x[r["b"]] != 0))
 
 
+@pytest.mark.parametrize("density", [0.01, 0.9])
+def test_sums_of_sparse_and_filled_blocks(density):
+    rng = np.random.default_rng(1)
+    x, y = (rng.choice([-1, 1], (n, 300)) * (rng.random((n, 300)) < density) for n in (31, 17))
+    x[:, 7], y[:, 7] = 1, -1  # a key everybody has
+
+    def rows(m, names):
+        i, k = np.nonzero(m)
+        return pd.DataFrame({"id": names[i], "key": k * 10, "v": m[i, k]}).sample(frac=1, random_state=3)
+
+    names = np.array([f"r{i:02d}" for i in range(17)])
+    li, ri, shared, dot = blocks.pair_sums(rows(x, np.arange(31) * 2), rows(y, names))
+    assert li.tolist() == list(range(0, 62, 2)) and ri.tolist() == names.tolist()
+    assert (dot == x @ y.T).all() and (shared == np.abs(x) @ np.abs(y).T).all()
+
+
 def people(spark, n):
     return spark.range(n).select(
         F.col("id").alias("member_id"),
