@@ -9,7 +9,6 @@ from hustings import vocab
 from hustings.functions.text import (
     SPACE,
     between_anchors,
-    collapse_spaces,
     contacts,
     trim_spaces,
     word_count,

@@ -261,8 +261,8 @@ def batches(df: DataFrame, n: int, order: list, columns: Sequence[str]) -> DataF
     )
 
 
-def batch_prompt_lines(batch: DataFrame, line: Column) -> DataFrame:
-    """The numbered lines sent for a batch; `line` is an expression over `item`."""
+def batch_prompt_lines(batch: DataFrame, line) -> DataFrame:
+    """The numbered lines sent for a batch; `line` maps an item to its text."""
     return batch.select(
         "batch_id",
         F.array_join(F.transform("items", lambda i: F.concat(i["index"].cast("string"), F.lit(". "), line(i))), "\n").alias(

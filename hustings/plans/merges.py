@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from hustings.operators import annotate, merge, pages
+from hustings.operators import merge, pages
 from hustings.functions.text import word_count
 from hustings.functions.rules import topic_rules
 from hustings.plans.fixtures import Views

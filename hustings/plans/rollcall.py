@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from hustings import vocab
 from hustings.functions import votes as v
 from hustings.operators import alignment as al
 from hustings.operators import ingest, reports, scoring, spectrum
