@@ -25,4 +25,4 @@ def load() -> None:
         import_module(f"hustings.llm.{name}")
 
 
-MODULES = ("token_files",)
+MODULES = ("token_files", "toxicity", "simhash", "decontaminate", "mixing")

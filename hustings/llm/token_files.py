@@ -313,8 +313,9 @@ def read_shards(shards: DataFrame) -> DataFrame:
                         )
                         k = to
 
-    # A file a task, as far as hashing allows: a task holds one file's footer and a few blocks.
-    spread = placed.select("path", "base").repartition("path")
+    # About a file a task (a stated number of partitions is not merged again); a task holds one
+    # file's footer and a few blocks.
+    spread = placed.select("path", "base").repartition(max(1, shards.count()), "path")
     return spread.mapInArrow(read, ROWS)
 
 
