@@ -161,19 +161,47 @@ def contamination(
     The items are the query set. They go to the tasks in blocks of about `block_words` words;
     the documents are read once a block and never shuffled.
     """
-    spark = docs.sparkSession
+    found = None
+    for part in _blocks(items, width, block_words):
+        one = _search(docs, part, threshold)
+        found = one if found is None else found.unionByName(one)
+    return found.withColumn("containment", F.col("shared") / F.col("item_shingles"))
+
+
+def clean(
+    docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, block_words: int = 1_000_000
+) -> DataFrame:
+    """The rows of `docs` that hold no item, by the search of `contamination`; nothing is shuffled.
+
+    Null and empty texts hold nothing and stay.
+    """
+    for part in _blocks(items, width, block_words):
+        docs = docs.where(~_holds(part, threshold)("text"))
+    return docs
+
+
+def _holds(items: Items, threshold: float):
+    def holds(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            found = np.zeros(len(column), bool)
+            for first, texts in slices(column):
+                for text, item, shared in items.find(texts):
+                    found[first + text] |= shared >= threshold * len(items.sets[item])
+            yield pa.array(found)
+
+    return F.arrow_udf(holds, "boolean")
+
+
+def _blocks(items: DataFrame, width: int, block_words: int) -> Iterator[Items]:
+    """The distinct items in blocks that fit a task."""
     classes = item_classes(items, width)
     own = items.join(classes.where("item_id = class_id").select("item_id").distinct(), "item_id", "left_semi")
-    own = own.where("text IS NOT NULL").select("item_id", "text")
+    own = own.where("text IS NOT NULL").groupBy("item_id").agg(F.min("text").alias("text"))
     total = own.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-total // (6 * block_words)))
-    found = None
     for k in range(blocks):
-        part = own.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).groupBy("item_id").agg(F.min("text").alias("text"))
-        rows = part.orderBy("item_id").collect()
-        one = _search(docs, Items([r["item_id"] for r in rows], [r["text"] for r in rows], width), threshold)
-        found = one if found is None else found.unionByName(one)
-    return found.withColumn("containment", F.col("shared") / F.col("item_shingles"))
+        rows = own.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id").collect()
+        yield Items([r["item_id"] for r in rows], [r["text"] for r in rows], width)
 
 
 def _search(docs: DataFrame, items: Items, threshold: float) -> DataFrame:

@@ -127,7 +127,7 @@ ROWS = pa.schema([("positive", pa.bool_()), ("unlabelled", pa.bool_()), ("featur
 def train(
     docs: DataFrame,
     positives: DataFrame,
-    usable=F.lit(True),
+    usable="true",
     prior: float = 0.1,
     max_positive: int = 12_000,
     max_unlabelled: int = 24_000,
