@@ -95,9 +95,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema
-    )
+    arrays = [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)]
+    return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
 def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -25,4 +25,6 @@ def load() -> None:
         import_module(f"hustings.llm.{name}")
 
 
-MODULES = ("token_files", "toxicity", "simhash", "decontaminate", "mixing")
+MODULES = (
+    "token_files", "decontaminate", "simhash", "quantise", "archives", "toxicity", "mixing", "secrets",
+)

@@ -257,7 +257,7 @@ def write_shards(
             for i in range(0, len(ids), 256):
                 if ids and writer is None:
                     fs, path, uri = attempt_file(folder, "tokens", ".tids")
-                    sink = fs.open_output_stream(path)
+                    sink = fs.open_output_stream(path, compression=None)
                     writer, first = ShardWriter(sink, width(encode.vocabulary), block), ids[0]
                 part = texts.slice(i, 256).to_pylist()
                 for doc_id, found in zip(ids[i : i + 256], encode.encode(part)):
