@@ -26,5 +26,5 @@ def load() -> None:
 
 
 MODULES = (
-    "token_files", "decontaminate", "simhash", "quantise", "language_model", "archives", "toxicity", "mixing", "secrets",
+    "passages", "token_files", "decontaminate", "simhash", "quantise", "language_model", "archives", "toxicity", "mixing", "secrets",
 )
