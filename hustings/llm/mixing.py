@@ -89,7 +89,7 @@ def mix(
     seed: int = 17,
     levels: Sequence[str] = LEVELS,
 ) -> DataFrame:
-    """The chosen rows of `docs` with `n_tokens` and `epoch` (from 1), a row once per epoch.
+    """The chosen rows of `docs` as (row, n_tokens, epoch), once per epoch (from 1); `row` is the struct of all columns.
 
     `docs` has doc_id, text and the columns `levels`; a null there is a node of its own. The
     budget defaults to all tokens of `docs`. Epoch e orders a leaf's rows by
@@ -103,50 +103,51 @@ def mix(
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
-    sized = docs.withColumn("n_tokens", token_count())
-    keys = {f"_{c}": F.coalesce(F.col(c), F.lit(NONE)) for c in levels}
-    path = list(keys)
-    narrow = scratch.save(sized.select("doc_id", "n_tokens", *[e.alias(c) for c, e in keys.items()]), "sizes")
+    path = list(levels)
+    sized = docs.select(
+        "doc_id",
+        *[F.coalesce(F.col(c).cast("string"), F.lit(NONE)).alias(c) for c in levels],
+        token_count().alias("n_tokens"),
+        F.struct(*docs.columns).alias("row"),
+    )
+    narrow = scratch.save(sized.drop("row"), "sizes")
     leaves = narrow.groupBy(*path).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0")
     leaves = scratch.save(leaves, "leaves")
     if budget is None:
         budget = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()["n"]
-    renamed = {tuple(p): w for p, w in (weights or {}).items()}
-    plan = budgets(leaves, budget, max_epochs, renamed, path)
+    plan = budgets(leaves, budget, max_epochs, weights, path)
     plan = scratch.save(
         plan.select(
             *path,
-            F.expr("budget div tokens").alias("_whole"),
-            (F.col("budget") % F.col("tokens")).alias("_rest"),
+            F.expr("budget div tokens").alias("whole"),
+            (F.col("budget") % F.col("tokens")).alias("rest"),
         ),
         "plan",
     )
-
-    def order(row: str = "doc_id") -> Column:
-        return F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col("_whole") + 1).cast("string"), F.col(row).cast("string")).cast("binary"))
-
-    part = F.substring(order(), 1, 3).alias("_part")
-    parts = narrow.join(plan.where("_rest > 0"), path).groupBy(*path, "_rest", part).agg(F.sum("n_tokens").alias("n"))
-    upto = Window.partitionBy(*path).orderBy("_part")
+    order = F.md5(
+        F.concat_ws(":", F.lit(str(seed)), (F.col("whole") + 1).cast("string"), F.col("doc_id").cast("string")).cast("binary")
+    )
+    part = F.substring(order, 1, 3).alias("part")
+    parts = narrow.join(plan.where("rest > 0"), path).groupBy(*path, "rest", part).agg(F.sum("n_tokens").alias("n"))
+    upto = Window.partitionBy(*path).orderBy("part")
     border = (
-        parts.withColumn("end", F.sum("n").over(upto)).where(F.col("end") > F.col("_rest"))
-        .groupBy(*path).agg(F.min("_part").alias("_border"), F.min_by(F.col("end") - F.col("n"), F.col("_part")).alias("_before"))
+        parts.withColumn("end", F.sum("n").over(upto)).where("end > rest")
+        .groupBy(*path).agg(F.min("part").alias("border"), F.min_by(F.col("end") - F.col("n"), "part").alias("before"))
     )
     plan = scratch.save(plan.join(border, path, "left"), "borders")
-    rows = sized.withColumns(keys).join(plan, path).withColumn("_order", order())
-    place = F.substring("_order", 1, 3)
-    epochs = F.when(place < F.col("_border"), F.col("_whole") + 1).otherwise(F.col("_whole"))
-    kept = [*docs.columns, "n_tokens"]
+    rows = sized.join(plan, path).withColumn("order", order)
+    place = F.substring("order", 1, 3)
+    epochs = F.when(place < F.col("border"), F.col("whole") + 1).otherwise(F.col("whole"))
     sure = rows.withColumn("epoch", F.explode(F.when(epochs > 0, F.sequence(F.lit(1).cast("long"), epochs))))
-    running = Window.partitionBy(*path).orderBy("_order", "doc_id", "n_tokens").rowsBetween(
+    running = Window.partitionBy(*path).orderBy("order", "doc_id", "n_tokens").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     edge = (
-        rows.where(place == F.col("_border")).withColumn("_sum", F.sum("n_tokens").over(running))
-        .where(F.col("_before") + F.col("_sum") <= F.col("_rest"))
-        .withColumn("epoch", F.col("_whole") + 1)
+        rows.where(place == F.col("border")).withColumn("sum", F.sum("n_tokens").over(running))
+        .where(F.col("before") + F.col("sum") <= F.col("rest"))
+        .withColumn("epoch", F.col("whole") + 1)
     )
-    return sure.select(*kept, "epoch").unionByName(edge.select(*kept, "epoch"))
+    return sure.select("row", "n_tokens", "epoch").unionByName(edge.select("row", "n_tokens", "epoch"))
 
 
 def domain(source: str = "source") -> Column:
@@ -196,4 +197,4 @@ FROM ordered
 @query("op9_mixing", ORACLE)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("domain", domain())
-    return mix(docs).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
+    return mix(docs).select("row.doc_id", "row.domain", "row.lang", "row.source", "n_tokens", "epoch")

@@ -20,6 +20,7 @@ from hustings.llm.registry import query
 
 PREFIXES = (3, 4, 5, 6, 7)
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”„’"
+THRESHOLD = 0.7
 MEMO = 1_000_000  # words whose features a Python worker remembers
 
 
@@ -121,7 +122,7 @@ def nnpu(
 
 
 COUNTS = pa.schema([("feature", pa.int64()), ("p", pa.int64()), ("u", pa.int64())])
-ROWS = pa.schema([("positive", pa.bool_()), ("unlabelled", pa.bool_()), ("features", pa.list_(pa.int64()))])
+ROWS = pa.schema([("positive", pa.bool_()), ("unlabelled", pa.bool_()), ("features", pa.binary())])
 
 
 def train(
@@ -195,16 +196,19 @@ def train(
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [sorted(place[f] for f in features_of(t) if f in place) for t in batch.column("text").to_pylist()]
+            own = [
+                np.array(sorted(place[f] for f in features_of(t) if f in place), "<i4").tobytes()
+                for t in batch.column("text").to_pylist()
+            ]
             yield batch_of(ROWS, batch.column("positive"), batch.column("unlabelled"), own)
 
     spread = sample.repartition(2 * docs.sparkSession.sparkContext.defaultParallelism)
-    projected = spread.mapInArrow(project, "positive boolean, unlabelled boolean, features array<long>").collect()
+    projected = spread.mapInArrow(project, "positive boolean, unlabelled boolean, features binary").toArrow()
     # The order of rows depends on the shuffle; sorted, the same rows give the same model.
-    projected.sort(key=lambda r: (r["positive"], r["unlabelled"], r["features"]))
+    rows = sorted(zip(*(projected[c].to_pylist() for c in ("features", "positive", "unlabelled"))))
     weights, bias = nnpu(
-        [np.array(r["features"], int) for r in projected if r["positive"]],
-        [np.array(r["features"], int) for r in projected if r["unlabelled"]],
+        [np.frombuffer(f, "<i4") for f, p, _ in rows if p],
+        [np.frombuffer(f, "<i4") for f, _, u in rows if u],
         len(chosen),
         min(max(prior, 1e-4), 0.9),
     )
@@ -214,10 +218,10 @@ def train(
     return model
 
 
-def score(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> DataFrame:
-    """`docs` with score (0 to 1) and predicted (1 from `threshold` up); no row leaves its place.
+def scorer(model: Model | None):
+    """The score of a text column (0 to 1); null and empty texts get that of a text without features.
 
-    Null and empty texts get the score of a text without features. Without a model all get 0.
+    Without a model every score is 0.
     """
 
     def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -225,13 +229,25 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> DataF
             rows = part.to_pylist()
             yield pa.array(model.score(rows) if model else np.zeros(len(rows)), pa.float64())
 
-    mark = F.arrow_udf(scored, "double")
+    return F.arrow_udf(scored, "double")
+
+
+def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
+    """`docs` with score and predicted (1 from `threshold` up); no row leaves its place.
+
+    Columns of `docs` with these names are replaced.
+    """
     rest = [c for c in docs.columns if c not in ("score", "predicted")]
-    return docs.select(*rest, mark("text").alias("score")).withColumn(
+    return docs.select(*rest, scorer(model)("text").alias("score")).withColumn(
         "predicted", (F.col("score") >= threshold).cast("int")
     )
 
 
+def clean(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs` that are not predicted toxic, as they are."""
+    return docs.where(scorer(model)("text") < threshold)
+
+
 def remainder(column="doc_id", by: int = 3):
     """crc32 of the id as text, modulo `by`; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % by
