@@ -24,14 +24,28 @@ RAW_COLUMNS = [
 ]
 
 
+def parse_rows(raw: DataFrame) -> DataFrame:
+    """The columns that the tables are built from; every expression over the raw text is here.
+
+    A missing cell is an empty text. Rows that are parsed already come back as they are, so a
+    caller that needs several tables can parse and store them once.
+    """
+    if "canonical_name" in raw.columns:
+        return raw
+    text = {c: F.coalesce(F.col(c), F.lit("")) for c in RAW_COLUMNS}
+    return raw.select(
+        text["ID"].try_cast("long").alias("division_id"),
+        v.norm_name(text["MemberName"]).alias("canonical_name"),
+        v.norm_position(text["MemberPosition"]).alias("position"),
+        v.parse_date(text["Date"]).alias("date"),
+        *[text[c].alias(c) for c in ("Reference", "Title", "PropositionTitle", "Vote")],
+        "row_no",
+    )
+
+
 def build_members(raw: DataFrame, active_years: list[int] = vocab.ACTIVE_YEARS) -> DataFrame:
     """One row a member: first and last date, active flag, positions by frequency."""
-    dated = raw.select(
-        v.norm_name(F.col("MemberName")).alias("canonical_name"),
-        v.norm_position(F.col("MemberPosition")).alias("position"),
-        v.parse_date(F.col("Date")).alias("date"),
-        "row_no",
-    ).where("date IS NOT NULL")
+    dated = parse_rows(raw).where("date IS NOT NULL").select("canonical_name", "position", "date", "row_no")
     positions = dated.groupBy("canonical_name", "position").agg(
         F.count("*").alias("count"),
         F.min("row_no").alias("first_row"),
@@ -64,7 +78,7 @@ def build_members(raw: DataFrame, active_years: list[int] = vocab.ACTIVE_YEARS)
 def build_propositions(raw: DataFrame) -> DataFrame:
     """One row a base reference, numbered by year, number and first appearance."""
     # References repeat on every vote; each distinct text is parsed once.
-    distinct = raw.groupBy("Reference").agg(
+    distinct = parse_rows(raw).groupBy("Reference").agg(
         F.min_by(F.struct(F.col("PropositionTitle").alias("title"), "row_no"), "row_no").alias("f")
     )
     parsed = distinct.select(
@@ -90,12 +104,10 @@ def build_propositions(raw: DataFrame) -> DataFrame:
 
 def first_rows(raw: DataFrame) -> DataFrame:
     """The first row with a readable date of every division."""
-    dated = raw.withColumn("parsed_date", v.parse_date(F.col("Date"))).where("parsed_date IS NOT NULL")
-    attributes = F.struct(
-        "row_no", "Title", "PropositionTitle", "Reference", F.col("parsed_date").alias("date")
-    )
+    attributes = F.struct("row_no", "Title", "PropositionTitle", "Reference", "date")
     return (
-        dated.groupBy(F.col("ID").cast("long").alias("division_id"))
+        parse_rows(raw).where("date IS NOT NULL")
+        .groupBy("division_id")
         .agg(F.min_by(attributes, "row_no").alias("f"))
         .select("division_id", "f.*")
     )
@@ -107,12 +119,8 @@ def member_votes(raw: DataFrame, members: DataFrame, firsts: DataFrame) -> DataF
     A row with an unreadable date counts once its division has been seen; only those
     rows are compared with the first row of the division.
     """
-    named = raw.select(
-        F.col("ID").cast("long").alias("division_id"),
-        v.norm_name(F.col("MemberName")).alias("canonical_name"),
-        F.col("Vote").alias("vote"),
-        "row_no",
-        v.parse_date(F.col("Date")).isNotNull().alias("dated"),
+    named = parse_rows(raw).select(
+        "division_id", "canonical_name", F.col("Vote").alias("vote"), "row_no", F.col("date").isNotNull().alias("dated")
     )
     late = (
         named.where("NOT dated")
@@ -126,13 +134,18 @@ def member_votes(raw: DataFrame, members: DataFrame, firsts: DataFrame) -> DataF
     )
 
 
+def is_active(vote):
+    """Whether a vote was cast; a missing vote was not."""
+    return F.coalesce(vote.isin(vocab.ACTIVE_VOTES), F.lit(False))
+
+
 def dedupe_votes(rows: DataFrame, keys=("division_id", "member_id")) -> DataFrame:
     """One vote per key: the first row, unless a later one is active and it is not.
 
     `min_by` is pre-aggregated before the shuffle, and the shuffle key holds both
     the division and the member, so a large division spreads over all tasks.
     """
-    idle = (~F.col("vote").isin(vocab.ACTIVE_VOTES)).alias("idle")
+    idle = (~is_active(F.col("vote"))).alias("idle")
     chosen = rows.groupBy(*keys).agg(F.min_by("vote", F.struct(idle, "row_no")).alias("vote"))
     return chosen.withColumn("vote_category", v.vote_category(F.col("vote")))
 
@@ -143,7 +156,7 @@ def division_tallies(votes: DataFrame) -> DataFrame:
         F.count_if(vote == "Pour").alias("pour_count"),
         F.count_if(vote == "Contre").alias("contre_count"),
         F.count_if(vote == "Abstained").alias("abstain_count"),
-        F.count_if(~vote.isin(vocab.ACTIVE_VOTES)).alias("absent_count"),
+        F.count_if(~is_active(vote)).alias("absent_count"),
         F.count("*").alias("total_eligible"),
     )
 
@@ -176,7 +189,8 @@ def build_divisions(firsts: DataFrame, propositions: DataFrame, votes: DataFrame
 
 
 def build_all(raw: DataFrame, active_years: list[int] = vocab.ACTIVE_YEARS) -> dict[str, DataFrame]:
-    """The four tables; first rows and votes are stored, since two tables need them."""
+    """The four tables. The raw file is read and parsed once, into a stored narrow table."""
+    raw = stage(parse_rows(raw), "parsed")
     firsts = stage(first_rows(raw), "firsts")
     members = build_members(raw, active_years)
     propositions = build_propositions(raw)
@@ -201,21 +215,20 @@ def integrity(
     `foreign` lists (table, column, parent table, parent column).
     """
 
-    def rows(df: DataFrame, rule: str, key) -> DataFrame:
-        return df.groupBy(key.cast("string").alias("key")).agg(F.count("*").alias("n")).select(
-            F.lit(rule).alias("rule"), "key", "n"
-        )
+    def rows(df: DataFrame, rule: str, columns: list[str]) -> DataFrame:
+        # Grouped by the columns themselves; their text is for the reader.
+        key = F.concat_ws("|", *[F.col(c).cast("string") for c in columns]) if columns else F.lit("null")
+        return df.groupBy(*columns).agg(F.count("*").alias("n")).select(F.lit(rule).alias("rule"), key.alias("key"), "n")
 
     found = []
     for table, keys in unique.items():
         for columns in keys:
-            key = F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
             present = tables[table].dropna(subset=columns)
-            found.append(rows(present, f"unique {table}({', '.join(columns)})", key).where("n > 1"))
+            found.append(rows(present, f"unique {table}({', '.join(columns)})", columns).where("n > 1"))
     for table, columns in required.items():
         for c in columns:
             missing = tables[table].where(F.col(c).isNull())
-            found.append(rows(missing, f"not null {table}({c})", F.lit("null")))
+            found.append(rows(missing, f"not null {table}({c})", []).where("n > 0"))
     for table, column, parent, parent_column in foreign:
         child = tables[table].where(F.col(column).isNotNull())
         dangling = child.join(
@@ -223,7 +236,7 @@ def integrity(
             F.col(column) == F.col("_p"),
             "left_anti",
         )
-        found.append(rows(dangling, f"foreign {table}({column})", F.col(column)))
+        found.append(rows(dangling, f"foreign {table}({column})", [column]))
     result = found[0]
     for more in found[1:]:
         result = result.unionByName(more)

@@ -9,22 +9,45 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from hustings.session import stage
+
+
+def _order(df: DataFrame, order: str | None):
+    """What orders the rows of a batch: a column, or else the rows themselves."""
+    return F.struct(F.col(order)) if order else F.struct(*[F.col(c) for c in df.columns])
+
 
 def upsert(
     old: DataFrame,
     new: DataFrame,
     keys: Sequence[str],
     policy: Mapping[str, str] | None = None,
+    order: str | None = None,
 ) -> DataFrame:
     """Insert or update by key. Columns of `policy`:
 
     `replace` takes the new value (the default), `fill` the new one unless it is null,
-    `keep` never changes a stored value. `new` has one row per key; columns it lacks
-    are kept, and null in inserted rows.
+    `keep` never changes a stored value. Columns that `new` lacks are kept, and null in
+    inserted rows.
+
+    A key may come several times in `new`: the result is that of one row after the other, by
+    the column `order` (which is not stored unless the table has it). Without one,
+    equal keys are ordered by their values, so the result is still one row per key.
     """
     policy = dict(policy or {})
-    given = [c for c in new.columns if c not in keys]
-    staged = new.select(*keys, F.struct(*given).alias("_new"))
+    given = [c for c in new.columns if c not in keys and c in old.columns]
+    at = _order(new, order)
+
+    def last(c: str):
+        rule = policy.get(c, "replace")
+        if rule == "fill":
+            return F.max_by(c, F.when(F.col(c).isNotNull(), at))
+        # What is never changed is what the first row inserted.
+        return (F.min_by if rule == "keep" else F.max_by)(F.struct(c), at)[c]
+
+    batch = stage(
+        new.groupBy(*keys).agg(F.struct(F.lit(True).alias("_seen"), *[last(c).alias(c) for c in given]).alias("_new")), "batch"
+    )
 
     def merged(c: str):
         rule = policy.get(c, "replace") if c in given else "keep"
@@ -35,13 +58,13 @@ def upsert(
             value = F.coalesce(value, F.col(c))
         return F.when(F.col("_new").isNotNull(), value).otherwise(F.col(c)).alias(c)
 
-    updated = old.join(staged, list(keys), "left").select(
+    updated = old.join(batch, list(keys), "left").select(
         *[F.col(c) if c in keys else merged(c) for c in old.columns]
     )
-    known = old.select(*keys).join(new.select(*keys), list(keys), "left_semi")
-    inserted = new.join(known, list(keys), "left_anti").select(
+    inserted = batch.join(old.select(*keys), list(keys), "left_anti").select(
         *[
-            F.col(c) if c in new.columns else F.lit(None).cast(old.schema[c].dataType).alias(c)
+            F.col(c) if c in keys
+            else (F.col(f"_new.{c}") if c in given else F.lit(None)).cast(old.schema[c].dataType).alias(c)
             for c in old.columns
         ]
     )
@@ -72,25 +95,44 @@ def replace_children(
     return kept.unionByName(new.select(*old.columns))
 
 
-def update_source(old: DataFrame, updates: DataFrame, key: str, now) -> DataFrame:
+def mark_classified(old: DataFrame, finished: DataFrame, key: str, now, column: str = "classified_at") -> DataFrame:
+    """Stamp the rows whose annotation is finished, so that work lists leave them out."""
+    done = finished.select(key).distinct().withColumn("_done", F.lit(True))
+    stamp = F.when(F.col("_done"), now).otherwise(F.col(column)).alias(column)
+    return old.join(done, key, "left").select(*[stamp if c == column else F.col(c) for c in old.columns])
+
+
+SOURCE_FIELDS = ["status", "text", "word_count", "source_url", "source_label", "notes"]
+# The columns of the candidate table that hold the outcome of a source search.
+CANDIDATE_SOURCE = {f: f"enhanced_manifesto_{f}" for f in [*SOURCE_FIELDS, "fetched_at"]}
+
+
+def update_source(
+    old: DataFrame,
+    updates: DataFrame,
+    key: str,
+    now,
+    columns: Mapping[str, str] | None = None,
+    order: str | None = None,
+) -> DataFrame:
     """Take over the outcome of a source search; the fetch time moves only when found.
 
     `updates` holds the key and status, text, word_count, source_url, source_label and
-    notes; a column it leaves null is stored as null.
+    notes; a column it leaves null is stored as null. `columns` names the columns of the
+    table, by default the same. Of several outcomes of a key the last by `order` is stored,
+    and the time moves if one of them was found.
     """
-    fields = ["status", "text", "word_count", "source_url", "source_label", "notes"]
-    staged = updates.select(key, F.struct(*fields).alias("_new"))
+    at = _order(updates, order)
+    outcome = updates.groupBy(key).agg(
+        F.max_by(F.struct(*SOURCE_FIELDS), at).alias("_new"), F.max(F.coalesce(F.col("status") == "found", F.lit(False))).alias("_found")
+    )
+    place = {f: (columns or {}).get(f, f) for f in [*SOURCE_FIELDS, "fetched_at"]}
     seen = F.col("_new").isNotNull()
-    columns = []
-    for c in old.columns:
-        if c == "fetched_at":
-            found = seen & (F.col("_new.status") == "found")
-            columns.append(F.when(found, now).otherwise(F.col(c)).alias(c))
-        elif c in fields:
-            columns.append(F.when(seen, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c))
-        else:
-            columns.append(F.col(c))
-    return old.join(staged, key, "left").select(*columns)
+    values = {place[f]: F.when(seen, F.col(f"_new.{f}")).otherwise(F.col(place[f])) for f in SOURCE_FIELDS}
+    values[place["fetched_at"]] = F.when(F.col("_found"), now).otherwise(F.col(place["fetched_at"]))
+    return old.join(outcome, key, "left").select(
+        *[values[c].alias(c) if c in values else F.col(c) for c in old.columns]
+    )
 
 
 def apply_topics(props: DataFrame, keyword: DataFrame, replied: DataFrame) -> DataFrame:
@@ -145,11 +187,11 @@ def soft_delete(table: DataFrame, requests: DataFrame, now, token: str = "correc
 def party_document(candidates: DataFrame, documents: DataFrame, now) -> DataFrame:
     """Give every member of a party the document the party publishes.
 
-    `documents` holds one row a party: party, text, word_count, source_url, notes.
+    `documents` holds party, text, word_count, source_url and notes; of several rows of a
+    party that with the greatest values is taken.
     """
-    shared = documents.where("text <> ''").select(
-        F.lower("party").alias("_party"), F.struct("text", "word_count", "source_url", "notes").alias("_doc")
-    )
+    content = F.struct("text", "word_count", "source_url", "notes")
+    shared = documents.where("text <> ''").groupBy(F.lower("party").alias("_party")).agg(F.max(content).alias("_doc"))
     doc = F.col("_doc")
     values = {
         "enhanced_manifesto_status": F.lit("found"),

@@ -37,13 +37,8 @@ STAGES = [
     "procedural",
     "other",
 ]
-SPREAD = {
-    "lineitem": ["l_partkey", "l_suppkey"],
-    "orders": ["o_orderkey"],
-    "documents": ["doc_id"],
-    "pages": ["page_id"],
-    "conversations": ["conv_id", "turn"],
-}
+# Small files whose rows take long: one file is one task, so the rows are dealt out by key.
+SPREAD = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"]}
 LINE_ORDER = "l_orderkey, l_linenumber, l_shipdate, l_quantity, l_extendedprice"
 
 
@@ -69,16 +64,11 @@ class Views:
         self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        """A driver table.
-
-        A file of one row group is one task, whatever the number of cores; such a small
-        input is spread by key. Inputs with enough splits are read as they are.
-        """
+        """A driver table; tables of texts are dealt out by key."""
         if name not in self._tables:
             df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
-            cores = self.spark.sparkContext.defaultParallelism
-            if name in SPREAD and df.rdd.getNumPartitions() < cores:
-                df = df.repartition(cores, *SPREAD[name])
+            if name in SPREAD:
+                df = df.repartition(*SPREAD[name])
             self._tables[name] = df
         return self._tables[name]
 
@@ -157,10 +147,10 @@ class Views:
             F.when(F.col("l_tax") == 0.08, "unknown")
             .otherwise(F.date_format("l_shipdate", "dd/MM/yyyy HH:mm:ss"))
             .alias("Date"),
-            reference.alias("Reference"),
-            pick(STAGE_WORDS, part % 9).alias("Title"),
-            measure.alias("PropositionTitle"),
-            F.col("vote").alias("Vote"),
+            F.when(part % 23 == 0, "").otherwise(reference).alias("Reference"),
+            F.when(part % 17 == 0, "").otherwise(pick(STAGE_WORDS, part % 9)).alias("Title"),
+            F.when(part % 19 == 0, "").otherwise(measure).alias("PropositionTitle"),
+            F.when(F.col("l_quantity") % 9 == 0, "").otherwise(F.col("vote")).alias("Vote"),
             "row_no",
         )
 
@@ -459,17 +449,17 @@ VIEWS: dict[str, tuple[list[str], str]] = {
             AS MemberPosition,
           CASE WHEN l_tax = CAST(0.08 AS DOUBLE) THEN 'unknown'
                ELSE strftime(l_shipdate, '%d/%m/%Y %H:%M:%S') END AS "Date",
-          CASE l_partkey % 6
+          CASE WHEN l_partkey % 23 = 0 THEN '' ELSE CASE l_partkey % 6
             WHEN 0 THEN base WHEN 1 THEN base || '(Amd)'
             WHEN 2 THEN base || '(Amd)(' || (l_partkey % 4 + 2) || ')'
             WHEN 3 THEN base || ' Re-issue' WHEN 4 THEN '{{0A-B1}}|' || base || ' '
-            ELSE 'Statement ' || (l_partkey % 40) END AS Reference,
-          {sql_pick(STAGE_WORDS, "l_partkey % 9")} AS Title,
-          'Draft measure ' || (l_partkey // 3)
+            ELSE 'Statement ' || (l_partkey % 40) END END AS Reference,
+          CASE WHEN l_partkey % 17 = 0 THEN '' ELSE {sql_pick(STAGE_WORDS, "l_partkey % 9")} END AS Title,
+          CASE WHEN l_partkey % 19 = 0 THEN '' ELSE 'Draft measure ' || (l_partkey // 3)
             || CASE WHEN l_partkey % 11 = 0 THEN ' (lodged) principles'
                     WHEN l_partkey % 13 = 0 THEN ' - motion of closure' ELSE '' END
-            || ' text ' || (l_linenumber % 2) AS PropositionTitle,
-          vote AS Vote, row_no
+            || ' text ' || (l_linenumber % 2) END AS PropositionTitle,
+          CASE WHEN l_quantity % 9 = 0 THEN '' ELSE vote END AS Vote, row_no
         FROM (SELECT *, 'P.' || (l_partkey // 3) || '/' || (1995 + l_partkey % 7) AS base FROM lines)""",
     ),
     "members": (

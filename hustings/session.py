@@ -27,17 +27,27 @@ def local_session(cpus: str = "8", app: str = "hustings", memory: str = "8g") ->
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: the cluster's checkpoint folder.
 
-    Only where the cluster names none (a test run) is a local one used.
+    Where the session names none, a local run gets a folder of its own; on a cluster that
+    would be a different disk for every executor, so there it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="hustings-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+_staged: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; `release` removes what was written there."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _staged.append(path)
+    return path
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -49,3 +59,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Remove all staged tables; call it when no result that reads them is needed any more."""
+    conf = spark._jsc.hadoopConfiguration()
+    removed = 0
+    while _staged:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        removed += path.getFileSystem(conf).delete(path, True)
+    return removed

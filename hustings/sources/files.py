@@ -15,6 +15,7 @@ def scan_votes(spark: SparkSession, path: str, multi_line: bool = True) -> DataF
 
     A file with line breaks inside quotes cannot be split and is one task; convert a
     large one once with `write_tables`, or pass `multi_line=False` when it has none.
+    An empty cell is an empty text, never null.
     """
     rows = (
         spark.read.schema(RAW_SCHEMA)
@@ -25,7 +26,7 @@ def scan_votes(spark: SparkSession, path: str, multi_line: bool = True) -> DataF
         .csv(path)
     )
     return rows.select(
-        "*",
+        *[F.coalesce(c, F.lit("")).alias(c) for c in RAW_COLUMNS],
         F.struct(
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
