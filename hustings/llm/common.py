@@ -160,19 +160,20 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
     for k in range(1, rounds + 1):
         # Edges point from the larger id a to the smaller id b.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"))
+        # Written, so that the join shuffles both sides itself and can split a frequent id.
+        least = scratch.save(both.groupBy("a").agg(F.min("b").alias("m")), f"least-{name}-{k}")
         large = both.join(least, "a").where("b > a").select(
             F.col("b").alias("a"), F.least("a", "m").alias("b")
         ).distinct()
         large = scratch.save(large, f"large-{name}-{k}")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(
+        lower = scratch.save(large.groupBy("a").agg(F.min("b").alias("m")), f"lower-{name}-{k}")
+        small = large.join(lower, "a").select(
             F.explode(
                 F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
             ).alias("e")
         ).select("e.a", "e.b").where("a <> b").distinct()
         old, now = now, scratch.save(small, f"edges-{name}-{k}")
-        scratch.drop(f"large-{name}-{k}", f"edges-{name}-{k - 1}")
+        scratch.drop(*(f"{x}-{name}-{k}" for x in ("large", "least", "lower")), f"edges-{name}-{k - 1}")
         before, state = state, _state(now)
         if state == before:
             return now.select(F.col("a").alias("id"), F.col("b").alias("component"))

@@ -24,9 +24,22 @@ LATEST = """latest AS (SELECT * FROM events
     QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)"""
 
 
+def profile_events(t: Views):
+    """Every event as a profile update, many per key; some keys are not stored yet."""
+    kind = F.col("event_type")
+    return t.table("events").select(
+        (F.col("user_id") * 13).alias("c_custkey"),
+        kind.alias("full_name"),
+        F.when(kind != "click", kind).alias("role"),
+        F.when(kind == "view", F.col("props")).alias("party"),
+        F.col("value").alias("balance"),
+        F.date_add(F.lit("2026-02-02").cast("date"), (F.col("event_id") % 5).cast("int")).alias("opted_out_at"),
+        F.struct("ts", "event_id").alias("at"),
+    )
+
+
 def stored_profiles(t: Views):
-    """Customers with an odd-length market segment, so that some updates insert."""
-    return t.table("customer").where(F.length("c_mktsegment") % 2 == 1).select(
+    return t.table("customer").select(
         "c_custkey",
         F.col("c_name").alias("full_name"),
         F.col("c_mktsegment").alias("role"),
@@ -38,16 +51,18 @@ def stored_profiles(t: Views):
 
 STORED = """stored AS (SELECT c_custkey, c_name AS full_name, c_mktsegment AS role,
     CASE WHEN c_acctbal > 5000 THEN c_mktsegment END AS party, c_acctbal AS balance,
-    CASE WHEN c_acctbal < 0 THEN DATE '2026-01-01' END AS opted_out_at
-    FROM customer WHERE length(c_mktsegment) % 2 = 1)"""
+    CASE WHEN c_acctbal < 0 THEN DATE '2026-01-01' END AS opted_out_at FROM customer)"""
 
 
 @query(
     "upsert_profiles",
-    f"""WITH {LATEST}, {STORED}, batch AS (SELECT user_id AS c_custkey, event_type AS full_name,
-          CASE WHEN event_type <> 'click' THEN event_type END AS role,
-          CASE WHEN event_type = 'view' THEN props END AS party, value AS balance,
-          DATE '2026-02-02' AS opted_out_at FROM latest)
+    f"""WITH {STORED}, given AS (SELECT user_id * 13 AS c_custkey, event_type,
+          CASE WHEN event_type <> 'click' THEN event_type END AS role, CASE WHEN event_type = 'view' THEN props END AS party,
+          value, DATE '2026-02-02' + CAST(event_id % 5 AS INTEGER) AS opted_out_at, row_number() OVER (ORDER BY ts, event_id) AS ord
+          FROM events),
+        batch AS (SELECT c_custkey, arg_max(event_type, ord) AS full_name, arg_max(role, ord) FILTER (role IS NOT NULL) AS role,
+          arg_max(party, ord) FILTER (party IS NOT NULL) AS party, arg_max(value, ord) AS balance,
+          arg_min(opted_out_at, ord) AS opted_out_at FROM given GROUP BY c_custkey)
         SELECT c_custkey, CASE WHEN b.c_custkey IS NOT NULL THEN b.full_name ELSE s.full_name END AS full_name,
           coalesce(b.role, s.role) AS role, coalesce(b.party, s.party) AS party,
           coalesce(b.balance, s.balance) AS balance,
@@ -55,16 +70,7 @@ STORED = """stored AS (SELECT c_custkey, c_name AS full_name, c_mktsegment AS ro
         FROM stored s FULL JOIN batch b USING (c_custkey)""",
 )
 def upsert_profiles(t: Views):
-    kind = F.col("event_type")
-    batch = latest_events(t).select(
-        "c_custkey",
-        kind.alias("full_name"),
-        F.when(kind != "click", kind).alias("role"),
-        F.when(kind == "view", F.col("props")).alias("party"),
-        F.col("value").alias("balance"),
-        F.lit("2026-02-02").cast("date").alias("opted_out_at"),
-    )
-    return merge.upsert(stored_profiles(t), batch, ["c_custkey"], merge.PROFILE_POLICY)
+    return merge.upsert(stored_profiles(t), profile_events(t), ["c_custkey"], merge.PROFILE_POLICY, order="at")
 
 
 @query(
@@ -141,6 +147,59 @@ def update_source(t: Views):
     return merge.update_source(old, updates, "c_custkey", F.lit("2026-04-01").cast("date"))
 
 
+@query(
+    "update_candidate_source",
+    """, found AS (SELECT user_id AS candidate_id, event_id, ts, event_type, props FROM events),
+         outcome AS (SELECT candidate_id, arg_max(event_id, (ts, event_id)) AS event_id,
+           bool_or(event_type IN ('view', 'click')) AS any_found FROM found GROUP BY candidate_id),
+         last AS (SELECT o.candidate_id, o.any_found, e.event_id, e.event_type, e.props FROM outcome o JOIN events e USING (event_id))
+       SELECT candidate_id, CASE WHEN event_id IS NULL THEN enhanced_manifesto_status
+           WHEN event_type IN ('view', 'click') THEN 'found' ELSE 'not_found' END AS status,
+         CASE WHEN event_id IS NULL THEN enhanced_manifesto_text ELSE props END AS text,
+         CASE WHEN event_id IS NULL THEN enhanced_manifesto_word_count ELSE CAST(event_id % 100 AS INTEGER) END AS word_count,
+         CASE WHEN event_id IS NULL THEN enhanced_manifesto_source_label ELSE event_type END AS label,
+         CASE WHEN any_found THEN DATE '2026-04-01' ELSE CAST(enhanced_manifesto_fetched_at AS DATE) END AS fetched
+       FROM candidates LEFT JOIN last USING (candidate_id)""",
+    "candidates",
+)
+def update_candidate_source(t: Views):
+    """Every event as the outcome of a search for a candidate's text, the last one wins."""
+    kind = F.col("event_type")
+    updates = t.table("events").select(
+        F.col("user_id").alias("candidate_id"),
+        F.when(kind.isin("view", "click"), "found").otherwise("not_found").alias("status"),
+        F.col("props").alias("text"),
+        (F.col("event_id") % 100).cast("int").alias("word_count"),
+        F.lit("https://example.org/").alias("source_url"),
+        kind.alias("source_label"),
+        F.lit(None).cast("string").alias("notes"),
+        F.struct("ts", "event_id").alias("at"),
+    )
+    now = F.lit("2026-04-01 00:00:00").cast("timestamp_ntz")
+    stored = merge.update_source(t.candidates, updates, "candidate_id", now, merge.CANDIDATE_SOURCE, order="at")
+    return stored.select(
+        "candidate_id",
+        F.col("enhanced_manifesto_status").alias("status"),
+        F.col("enhanced_manifesto_text").alias("text"),
+        F.col("enhanced_manifesto_word_count").alias("word_count"),
+        F.col("enhanced_manifesto_source_label").alias("label"),
+        F.to_date("enhanced_manifesto_fetched_at").alias("fetched"),
+    )
+
+
+@query(
+    "mark_classified",
+    """SELECT candidate_id, CASE WHEN candidate_id IN (SELECT user_id FROM events WHERE event_type = 'purchase')
+         THEN DATE '2026-06-06' ELSE CAST(classified_at AS DATE) END AS classified FROM candidates""",
+    "candidates",
+)
+def mark_classified(t: Views):
+    finished = t.table("events").where("event_type = 'purchase'").select(F.col("user_id").alias("candidate_id"))
+    now = F.lit("2026-06-06 00:00:00").cast("timestamp_ntz")
+    stamped = merge.mark_classified(t.candidates, finished, "candidate_id", now)
+    return stamped.select("candidate_id", F.to_date("classified_at").alias("classified"))
+
+
 @query(
     "apply_topics",
     r""", ruled AS (SELECT proposition_id, CASE

@@ -1,6 +1,7 @@
 """Table jobs on small frames: traps, properties and brute-force comparisons."""
 
 import itertools
+import os
 import random
 from difflib import SequenceMatcher
 from functools import partial
@@ -10,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from hustings import vocab
+from hustings import session, vocab
 from hustings.operators import (
     alignment,
     annotate,
@@ -526,21 +527,93 @@ def test_upsert_policies(spark):
     assert sorted(map(tuple, twice.collect())) == sorted(map(tuple, once.collect()))
 
 
+def test_repeated_keys_are_applied_one_after_the_other(spark):
+    schema = "slug string, full_name string, role string, correction_token string"
+    old = spark.createDataFrame([("a", "A", None, "t0"), ("z", "Z", "Senator", "t9")], schema)
+    batch = [("a", "A1", "Deputy", "x", 1), ("a", "A2", None, "y", 2), ("b", "B1", None, "t1", 4), ("b", None, "Deputy", "t2", 5), ("b", "B0", "Senator", "t3", 3)]
+    new = spark.createDataFrame(batch, f"{schema}, at int").repartition(4)
+    policy = {"role": "fill", "correction_token": "keep"}
+    expected = [("a", "A2", "Deputy", "t0"), ("b", None, "Deputy", "t3"), ("z", "Z", "Senator", "t9")]
+    assert sorted(tuple(r) for r in merge.upsert(old, new, ["slug"], policy, order="at").collect()) == expected
+    assert merge.upsert(old, new, ["slug"], policy).count() == 3
+    assert merge.upsert(old, new.limit(0), ["slug"]).count() == 2
+
+
+def test_candidate_sources_and_stamps(spark):
+    fields = "status string, text string, word_count int, source_url string, source_label string, notes string"
+    table = spark.createDataFrame(
+        [(1, "pending", None, None, None, None, None, "2026-01-01"), (2, "found", "t", 1, "u", "l", "n", "2026-01-02")],
+        "id long, " + ", ".join(f"enhanced_manifesto_{f}" for f in fields.split(", ")) + ", enhanced_manifesto_fetched_at string",
+    )
+    updates = spark.createDataFrame(
+        [(1, "found", "x", 3, "u", None, None, 1), (1, "not_found", None, None, None, None, "gone", 2)], f"id long, {fields}, at int"
+    )
+    found = merge.update_source(table, updates, "id", F.lit("now"), merge.CANDIDATE_SOURCE, "at").orderBy("id").collect()
+    assert [tuple(r) for r in found] == [(1, "not_found", None, None, None, None, "gone", "now"), (2, "found", "t", 1, "u", "l", "n", "2026-01-02")]
+    stamped = merge.mark_classified(table, updates, "id", F.lit("done"), "enhanced_manifesto_fetched_at").orderBy("id").collect()
+    assert [r["enhanced_manifesto_fetched_at"] for r in stamped] == ["done", "2026-01-02"]
+
+
+def test_empty_cells_are_text(spark, tmp_path):
+    lines = ["ID,MemberName,MemberPosition,Date,Reference,Title,PropositionTitle,Vote"]
+    lines += [f"1,{n},Mr.,01/02/2003 00:00:00,,,,{vote}" for n, vote in (("Ann", "Pour"), ("Ann", ""), ("Bob", ""))]
+    path = tmp_path / "votes.csv"
+    path.write_text("\n".join(lines) + "\n")
+    raw = files.scan_votes(spark, str(path))
+    assert raw.where("Vote IS NULL OR Reference IS NULL OR Title IS NULL").count() == 0
+    for rows in (raw, raw.withColumn("Vote", F.nullif("Vote", F.lit("")))):
+        tables = ingest.build_all(rows)
+        votes = tables["votes"].join(tables["members"], "member_id").select("canonical_name", F.coalesce("vote", F.lit("")).alias("v"))
+        assert sorted(tuple(r) for r in votes.collect()) == [("Ann", "Pour"), ("Bob", "")]
+        division = tables["divisions"].first()
+        assert (division["pour_count"], division["absent_count"], division["total_eligible"]) == (1, 1, 2)
+        assert division["proposition_id"] == 1 and division["reference"] == ""
+
+
+def test_integrity_compares_columns(spark):
+    table = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("d", "e"), ("d", "e")], "x string, y string")
+    found = ingest.integrity({"t": table}, {"t": [["x", "y"]]}, {"t": ["x"]}, []).collect()
+    assert [tuple(r) for r in found] == [("unique t(x, y)", "d|e", 2)]
+
+
+def test_staged_tables_are_safe_and_removed(spark):
+    class Conf:
+        def __init__(self, **values):
+            self.values = values
+
+        def get(self, name, default=None):
+            return self.values.get(name, default)
+
+    class Session:
+        conf = Conf(**{"spark.master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError):
+        session.shared_folder(Session())
+    Session.conf = Conf(**{"spark.master": "spark://host:7077", "spark.checkpoint.dir": "hdfs://x/y/"})
+    assert session.shared_folder(Session()) == "hdfs://x/y"
+    table = session.stage(spark.range(3), "test")
+    folder = table.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert table.count() == 3 and os.path.isdir(folder)
+    assert session.release(spark) >= 1 and not os.path.exists(folder)
+
+
 def test_stream_of_updates(spark, tmp_path):
     schema = "slug string, full_name string, role string"
     source, root = tmp_path / "in", str(tmp_path / "table")
-    spark.createDataFrame([("a", "A", "Deputy")], schema).write.parquet(str(source / "0"))
+    spark.createDataFrame([("a", "A", "Deputy"), ("a", "A1", None)], schema).coalesce(1).write.parquet(str(source / "0"))
     incremental.seed(spark.createDataFrame([("a", "old", "Senator"), ("z", "Z", None)], schema), root)
-    for n, rows in enumerate([[("b", "B", None)], [("a", "A3", None)]]):
-        spark.createDataFrame(rows, schema).write.parquet(str(source / str(n + 1)))
+    for n, rows in enumerate([[("b", "B", None)], [("a", "A3", None), ("a", "A2", None)], [("z", "Z2", None)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(source / str(n + 1)))
         stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(source))
-        dedupe = lambda b: b.groupBy("slug").agg(F.max("full_name").alias("full_name"), F.max("role").alias("role"))
         query = incremental.merge_stream(
-            stream, root, lambda t, b: merge.upsert(t, dedupe(b), ["slug"], {"role": "fill"}), str(tmp_path / "ck")
+            stream, root, lambda t, b: merge.upsert(t, b, ["slug"], {"role": "fill"}, order="full_name"), str(tmp_path / "ck"), keep=2
         )
         query.awaitTermination()
     found = sorted(tuple(r) for r in incremental.current(spark, root).collect())
-    assert found == [("a", "A3", "Deputy"), ("b", "B", None), ("z", "Z", None)]
+    assert found == [("a", "A3", "Deputy"), ("b", "B", None), ("z", "Z2", None)]
+    assert incremental.versions(spark, root) == [1, 2]
+    (tmp_path / "table" / "version-9").mkdir()  # a version that was never finished
+    assert incremental.versions(spark, root) == [1, 2]
 
 
 def test_templates_do_not_read_fields_in_values(spark):
