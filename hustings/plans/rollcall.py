@@ -635,10 +635,63 @@ def respondent_match(t: Views):
 # --- spectrum ---------------------------------------------------------------------
 
 
-@query("pca_members")
+def axes_sql(cells: str, k: int, scale: str = "1") -> str:
+    """The first k principal axes of active members, by squaring the matrix of products.
+
+    `cells` selects (member_id, division_id, v). A power of a matrix turns to its first axis; the
+    axis is taken out and the rest is squared again. `scale` divides the coordinates.
+    """
+    parts = [
+        f"""cells AS MATERIALIZED ({cells}),
+  people AS MATERIALIZED (SELECT member_id, canonical_name FROM members WHERE is_currently_active),
+  raw AS MATERIALIZED (SELECT x.member_id AS a, y.member_id AS b, coalesce(g, 0) AS g FROM people x CROSS JOIN people y
+    LEFT JOIN (SELECT p.member_id AS pa, q.member_id AS qa, CAST(sum(p.v * q.v) AS DOUBLE) AS g FROM cells p
+      JOIN cells q USING (division_id) GROUP BY ALL) ON pa = x.member_id AND qa = y.member_id),
+  g1 AS MATERIALIZED (SELECT a, b, g - avg(g) OVER (PARTITION BY a) - avg(g) OVER (PARTITION BY b) + avg(g) OVER () AS g FROM raw)"""
+    ]
+    for c in range(1, k + 1):
+        parts.append(
+            f"s{c}_0 AS MATERIALIZED (SELECT a, b, g / greatest((SELECT sum(g) FROM g{c} WHERE a = b), 1e-300) AS g FROM g{c})"
+        )
+        for i in range(1, 14):
+            parts.append(
+                f"""t{c}_{i} AS MATERIALIZED (SELECT x.a, y.b, sum(x.g * y.g) AS g FROM s{c}_{i - 1} x JOIN s{c}_{i - 1} y ON y.a = x.b GROUP BY ALL),
+  s{c}_{i} AS MATERIALIZED (SELECT a, b, g / greatest((SELECT sum(g) FROM t{c}_{i} WHERE a = b), 1e-300) AS g FROM t{c}_{i})"""
+            )
+        parts.append(
+            f"""v{c} AS MATERIALIZED (SELECT a, g / sqrt(sum(g * g) OVER ()) AS x FROM s{c}_13
+    WHERE b = (SELECT arg_max(a, g) FROM s{c}_13 WHERE a = b)),
+  l{c} AS MATERIALIZED (SELECT sum(g * p.x * q.x) AS l FROM g{c} JOIN v{c} p ON p.a = g{c}.a JOIN v{c} q ON q.a = g{c}.b),
+  c{c} AS MATERIALIZED (SELECT a, x * sqrt(l) / {scale} * (SELECT sign(arg_max(x, abs(x))) FROM v{c}) AS pc FROM v{c}, l{c}),
+  g{c + 1} AS MATERIALIZED (SELECT g{c}.a, g{c}.b, g - l * p.x * q.x AS g FROM g{c} JOIN v{c} p ON p.a = g{c}.a
+    JOIN v{c} q ON q.a = g{c}.b CROSS JOIN l{c})"""
+        )
+    return ",\n  ".join(parts)
+
+
+def rounded(df, *columns: str):
+    """Coordinates to four places: what any exact solution agrees on."""
+    return df.withColumns({c: F.round(c, 4) + 0.0 for c in columns})
+
+
+TOPIC_CELLS = f"""SELECT member_id, division_id, CASE vote WHEN 'Pour' THEN 1 ELSE -1 END AS v FROM votes
+    JOIN divisions USING (division_id) JOIN props USING (proposition_id) JOIN members USING (member_id)
+    WHERE is_currently_active AND vote IN ('Pour', 'Contre') AND date >= '{SINCE}' AND division_stage IN {KEY_STAGES}
+      AND topic_primary IN ('{PART_TYPES[0]}', '{PART_TYPES[1]}')"""
+
+
+@query(
+    "pca_members",
+    f""", {axes_sql(f"""SELECT member_id, division_id, CASE vote WHEN 'Pour' THEN 1 ELSE -1 END AS v FROM votes
+    JOIN divisions USING (division_id) JOIN members USING (member_id)
+    WHERE is_currently_active AND vote IN ('Pour', 'Contre') AND date >= '{SINCE}' AND division_stage IN {KEY_STAGES}""", 3)}
+      SELECT member_id, canonical_name, round(c1.pc, 4) + 0.0 AS pc1, round(c2.pc, 4) + 0.0 AS pc2, round(c3.pc, 4) + 0.0 AS pc3
+      FROM people JOIN c1 ON c1.a = member_id JOIN c2 ON c2.a = member_id JOIN c3 ON c3.a = member_id""",
+    "votes divisions members",
+)
 def pca_members(t: Views):
     values, active, _ = matrix(t)
-    return spectrum.positions(values, active, 3)[0]
+    return rounded(spectrum.positions(values, active, 3)[0], "pc1", "pc2", "pc3")
 
 
 def topic_points(t: Views):
@@ -650,17 +703,51 @@ def topic_points(t: Views):
     return placed.withColumnsRenamed({"pc1": "x", "pc2": "y"})
 
 
-@query("pca_by_topic")
+POINTS_SQL = f"""{axes_sql(TOPIC_CELLS, 2, "sqrt((SELECT count(DISTINCT division_id) FROM cells))")},
+  points AS MATERIALIZED (SELECT member_id, canonical_name, c1.pc AS x, c2.pc AS y
+    FROM people JOIN c1 ON c1.a = member_id JOIN c2 ON c2.a = member_id)"""
+
+
+@query(
+    "pca_by_topic",
+    f", {POINTS_SQL} SELECT member_id, canonical_name, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y FROM points",
+    "votes divisions members props",
+)
 def pca_by_topic(t: Views):
-    return topic_points(t)
+    return rounded(topic_points(t), "x", "y")
+
+
+# Each round names the nearest of five centres for every point and takes their means; a bloc
+# without points moves to the origin.
+BLOCS_SQL = f""" RECURSIVE {{views}}, {POINTS_SQL},
+  numbered AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY x, canonical_name, member_id) - 1 AS i FROM points),
+  starts AS (SELECT c, x AS cx, y AS cy FROM numbered JOIN (SELECT unnest(range(5)) AS c) ON i = floor(c / 4.0 * (SELECT count(*) - 1 FROM numbered))),
+  rounds AS (SELECT 0 AS round, list(struct_pack(c := c, x := cx, y := cy) ORDER BY c) AS centres FROM starts
+    UNION ALL
+    SELECT round + 1, (SELECT list(struct_pack(c := c, x := coalesce(mx, 0), y := coalesce(my, 0)) ORDER BY c)
+      FROM (SELECT unnest(range(5)) AS c) LEFT JOIN (SELECT near, avg(x) AS mx, avg(y) AS my FROM (
+        SELECT x, y, list_sort(list_transform(centres, lambda k: struct_pack(d := (x - k.x) * (x - k.x) + (y - k.y) * (y - k.y), c := k.c)))[1].c AS near
+        FROM numbered) GROUP BY near) ON near = c)
+    FROM rounds WHERE round < 49),
+  blocs AS (SELECT member_id, canonical_name, x, y,
+    list_sort(list_transform(centres, lambda k: struct_pack(d := (x - k.x) * (x - k.x) + (y - k.y) * (y - k.y), c := k.c)))[1].c AS bloc
+    FROM numbered CROSS JOIN (SELECT centres FROM rounds WHERE round = 49))"""
 
 
-@query("blocs")
+@query(
+    "blocs",
+    f"{BLOCS_SQL} SELECT member_id, canonical_name, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y, CAST(bloc AS INTEGER) AS bloc FROM blocs",
+    "votes divisions members props",
+)
 def blocs(t: Views):
-    return spectrum.blocs(topic_points(t))
+    return rounded(spectrum.blocs(topic_points(t)), "x", "y")
 
 
-@query("bloc_roster")
+@query(
+    "bloc_roster",
+    f"""{BLOCS_SQL} SELECT CAST(bloc AS INTEGER) AS bloc, member_id, canonical_name, count(*) OVER (PARTITION BY bloc) AS size FROM blocs""",
+    "votes divisions members props",
+)
 def bloc_roster(t: Views):
     return spectrum.bloc_roster(spectrum.blocs(topic_points(t)))
 

@@ -183,14 +183,16 @@ def test_alignment_of_strangers(spark):
     assert similar[(0, 0)] == 1.0 and similar[(2, 2)] == 0.0 and similar[(0, 1)] == 0.0
 
 
-def test_positions_agree_and_reproduce_the_products(spark):
+def test_positions_agree_and_reproduce_the_products(spark, monkeypatch):
     values, x = matrix(spark, 12, 60)
     members = people(spark, 12)
     centred = x - x.mean(axis=0)
     gram = centred @ centred.T
     expected = np.sort(np.linalg.eigvalsh(gram))[::-1][:3]
-    for local in (2048, 1):
-        placed, shares = spectrum.positions(values, members, 3, local=local)
+    # All directions in one block, and a long chain of small ones.
+    for guard in (spectrum.GUARD, 0):
+        monkeypatch.setattr(spectrum, "GUARD", guard)
+        placed, shares = spectrum.positions(values, members, 3)
         c = np.array([[r.pc1, r.pc2, r.pc3] for r in placed.orderBy("member_id").collect()])
         assert np.allclose(c.sum(axis=0), 0, atol=1e-8)
         assert np.allclose(c.T @ c, np.diag(expected), atol=1e-6)
@@ -237,11 +239,10 @@ def ward_by_hand(x, k):
     return {frozenset(g) for g in group.values()}
 
 
-@pytest.mark.parametrize("local", [512, 6])
-def test_ward_blocs(spark, local):
+def test_ward_blocs(spark):
     values, x = matrix(spark, 21, 50, seed=11)
     divisions = spark.range(50).select(F.col("id").alias("division_id"))
-    found = spectrum.hier_blocs(values, people(spark, 21), divisions, 5, local).collect()
+    found = spectrum.hier_blocs(values, people(spark, 21), divisions, 5).collect()
     groups = {}
     for r in found:
         groups.setdefault(r["bloc"], set()).add(r["member_id"])
