@@ -142,14 +142,21 @@ def _text(value: Column) -> Column:
     return trim_spaces(F.coalesce(value, F.lit("")))
 
 
-def _with_source(parsed: DataFrame, docs: DataFrame, items: Column) -> DataFrame:
-    """One row an item, with the normalised text it quotes; normalised once a document."""
+def _checked(parsed: DataFrame, docs: DataFrame, items: Column) -> DataFrame:
+    """(doc_id, i, ok): one row an item, and whether the document holds its quote.
+
+    The quotes are looked up before the items are taken apart, so a document's text is
+    normalised once and never copied to its items.
+    """
     sources = docs.select("doc_id", norm_quote(F.col("text")).alias("_source"))
+    found = F.transform("_items", lambda x: F.struct(x.alias("i"), _verified(_text(x["source_quote"])).alias("ok")))
     return (
         parsed.select("doc_id", items.alias("_items"))
         .where(F.size("_items") > 0)
         .join(sources, "doc_id")
-        .select("doc_id", "_source", F.explode("_items").alias("i"))
+        .select("doc_id", found.alias("_found"))
+        .select("doc_id", F.explode("_found").alias("_f"))
+        .select("doc_id", "_f.i", "_f.ok")
     )
 
 
@@ -163,12 +170,12 @@ def clean_topics(
     """Known topics with clamped salience; a quote that is not in the text is blanked."""
     items = _first_of_each(F.col("parsed"), "topic", lambda x: x["topic"].isin(list(topics)))
     quote = _text(F.col("i.source_quote"))
-    return _with_source(parsed, docs, items).select(
+    return _checked(parsed, docs, items).select(
         "doc_id",
         F.col("i.topic").alias("topic"),
         _number(F.col("i.salience")).alias("salience"),
         _text(F.col("i.summary")).alias("summary"),
-        F.when(_verified(quote), quote).otherwise("").alias("source_quote"),
+        F.when(F.col("ok"), quote).otherwise("").alias("source_quote"),
     )
 
 
@@ -177,8 +184,8 @@ def clean_stances(parsed: DataFrame, docs: DataFrame, questions: DataFrame) -> D
     items = _first_of_each(F.col("parsed"), "question_id", lambda x: x["question_id"].isNotNull())
     quote = _text(F.col("i.source_quote"))
     stance = F.when(F.col("i.stance").isin(vocab.STANCES), F.col("i.stance")).otherwise("not_addressed")
-    kept = F.when(_verified(quote), stance).otherwise("not_addressed")
-    checked = _with_source(parsed, docs, items).select(
+    kept = F.when(F.col("ok"), stance).otherwise("not_addressed")
+    checked = _checked(parsed, docs, items).select(
         "doc_id",
         F.col("i.question_id").alias("question_id"),
         kept.alias("stance"),
@@ -188,21 +195,34 @@ def clean_stances(parsed: DataFrame, docs: DataFrame, questions: DataFrame) -> D
     return checked.join(questions.select("question_id"), "question_id", "left_semi")
 
 
-def fill_stances(stances: DataFrame, docs: DataFrame, questions: DataFrame) -> DataFrame:
+QUESTION_BLOCK = 256
+
+
+def fill_stances(stances: DataFrame, docs: DataFrame, questions: DataFrame, block: int = QUESTION_BLOCK) -> DataFrame:
     """Add a `not_addressed` row for every question a document has none for.
 
-    Only the missing ids are exploded. The list of all ids is the question set, a
-    vocabulary; a document's own list is never longer.
+    Questions are dealt to blocks of about `block` ids. A document and a block are a row, whose
+    lists (the block's ids and those the document has) are never longer than a block;
+    only the missing ids are exploded.
     """
-    every = questions.agg(F.collect_set("question_id")).scalar()
-    present = stances.groupBy("doc_id").agg(F.collect_set("question_id").alias("present"))
+    ids = questions.select("question_id").distinct()
+    blocks = ids.select(F.greatest(F.ceil(F.count("*") / block), F.lit(1)).cast("int")).scalar()
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.withColumn("block", F.pmod(F.xxhash64("question_id"), blocks).cast("int"))
+
+    every = dealt(ids).groupBy("block").agg(F.collect_set("question_id").alias("every"))
+    present = dealt(stances.select("doc_id", "question_id")).groupBy("doc_id", "block").agg(
+        F.collect_set("question_id").alias("present")
+    )
     none = F.array().cast("array<string>")
     missing = (
-        docs.select("doc_id")
-        .join(present, "doc_id", "left")
+        docs.select("doc_id", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+        .join(every, "block")
+        .join(present, ["doc_id", "block"], "left")
         .select(
             "doc_id",
-            F.explode(F.array_except(every, F.coalesce("present", none))).alias("question_id"),
+            F.explode(F.array_except("every", F.coalesce("present", none))).alias("question_id"),
         )
         .select(
             "doc_id",

@@ -79,13 +79,15 @@ def internal_links(
         & a["url"].rlike("(?i)^https?://")
         & web.same_site(web.host_of(a["url"]), web.host_of(F.col("url"))),
     )
-    fresh = F.filter(
-        F.col("own"),
-        lambda a, i: F.array_position(F.col("own.url"), a["url"]) == i + 1,
+    # The first `cap` different addresses, then the first link of each: a page may have any
+    # number of links, and only the kept ones are looked up.
+    fresh = F.transform(
+        F.slice(F.array_distinct("own.url"), 1, cap),
+        lambda u: F.element_at("own", F.array_position(F.col("own.url"), u).cast("int")),
     )
     return (
         staged.select(key, own.alias("own"))
-        .select(key, F.posexplode(F.slice(fresh, 1, cap)).alias("position", "link"))
+        .select(key, F.posexplode(fresh).alias("position", "link"))
         .select(key, (F.col("position") + 1).alias("position"), "link.text", "link.url")
     )
 
@@ -137,10 +139,10 @@ def assemble_document(
     """Parts of each document in order, joined and cut at `limit` characters.
 
     Only parts that begin before the limit are collected, so a document's list
-    never holds more than `limit` characters however many parts it has. Where a
-    part begins comes from lengths alone: lengths are summed for runs of `span`
-    order values before the shuffle, and runs past the limit are dropped before
-    single parts are ordered.
+    never holds more than `limit` characters however many parts it has; `parts` counts
+    all of them. Where a part begins comes from lengths alone: lengths are summed for runs of
+    `span` order values and for runs of `span` runs before the shuffle, and what lies past the
+    limit is dropped at each level, so no window holds all runs of a document.
     """
     # A separator belongs to the part after it and may reach below the limit.
     reach = limit + len(separator)
@@ -151,11 +153,23 @@ def assemble_document(
         (F.length(text) + len(separator)).alias("size"),
         text,
     )
-    runs = sized.groupBy(key, "run").agg(F.sum("size").alias("run_size"))
-    earlier = Window.partitionBy(key).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    starts = runs.select(
-        key, "run", F.coalesce(F.sum("run_size").over(earlier), F.lit(0)).alias("run_start")
-    ).where(F.col("run_start") < reach)
+    runs = sized.groupBy(key, "run").agg(F.sum("size").alias("run_size"), F.count("*").alias("n"))
+    runs = runs.withColumn("far", F.floor(F.col("run") / span))
+
+    def before(*names: str):
+        return Window.partitionBy(key, *names[:-1]).orderBy(names[-1]).rowsBetween(Window.unboundedPreceding, -1)
+
+    def begins(size: str, window):
+        return F.coalesce(F.sum(size).over(window), F.lit(0))
+
+    fars = runs.groupBy(key, "far").agg(F.sum("run_size").alias("far_size"))
+    fars = fars.select(key, "far", begins("far_size", before("far")).alias("far_start")).where(F.col("far_start") < reach)
+    starts = (
+        runs.join(fars, [key, "far"])
+        .withColumn("run_start", F.col("far_start") + begins("run_size", before("far", "run")))
+        .where(F.col("run_start") < reach)
+        .select(key, "run", "run_start")
+    )
     inside = Window.partitionBy(key, "run").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         sized.join(starts, [key, "run"])
@@ -164,9 +178,6 @@ def assemble_document(
         .select(key, order, F.substring(text, 1, limit).alias(text))
     )
     ordered = F.array_sort(F.collect_list(F.struct(order, text)))
-    return placed.groupBy(key).agg(
-        F.count("*").alias("parts"),
-        F.substring(F.array_join(F.transform(ordered, lambda p: p[text]), separator), 1, limit).alias(
-            "document"
-        ),
-    )
+    joined = F.array_join(F.transform(ordered, lambda p: p[text]), separator)
+    counted = runs.groupBy(key).agg(F.sum("n").alias("parts"))
+    return counted.join(placed.groupBy(key).agg(F.substring(joined, 1, limit).alias("document")), key)
