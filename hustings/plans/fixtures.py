@@ -393,9 +393,9 @@ class Views:
 
     @cached_property
     def person_candidates(self) -> DataFrame:
-        """Documents without a label stand for candidates."""
-        labelled = self.table("labels").select("doc_id")
-        return self._named_documents.join(labelled, "doc_id", "left_anti").select(
+        """All other documents stand for candidates."""
+        good = self.table("labels").where("quality = 1").select("doc_id")
+        return self._named_documents.join(good, "doc_id", "left_anti").select(
             F.col("doc_id").alias("candidate_id"),
             F.concat(F.lit("doc-"), text_of("doc_id")).alias("slug"),
             "name",
@@ -593,7 +593,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         ["named_documents"],
         """SELECT d.*, CASE WHEN instr(canon, ' ') > 0
             THEN canon[1] || ' ' || string_split(canon, ' ')[-1] END AS key,
-          CASE WHEN l.doc_id IS NULL THEN 'candidate' WHEN l.quality = 1 THEN 'member' END AS kind
+          CASE WHEN l.quality = 1 THEN 'member' ELSE 'candidate' END AS kind
         FROM named_documents d LEFT JOIN labels l USING (doc_id)""",
     ),
 }

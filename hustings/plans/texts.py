@@ -391,13 +391,25 @@ def assemble_document(t: Views):
 
 # --- quotes and replies ----------------------------------------------------------
 
+# A piece of each document, from anywhere in its text.
+def sql_piece(size: int, step: int) -> str:
+    return f"substr(text, doc_id * {step} % greatest(length(text) - {size}, 1) + 1, {size})"
+
+
+def piece(size: int, step: int):
+    start = F.col("doc_id") * step % F.greatest(F.length("text") - size, F.lit(1)) + 1
+    return F.substr("text", start.cast("int"), F.lit(size))
+
+
 # A quote of each document: as it stands, with typographic marks, or damaged.
-QUOTE = """CASE doc_id % 5 WHEN 0 THEN trim(text[11:70]) || ' zzqx' WHEN 1 THEN translate(text[11:70], 'abcdefghijklm', 'ABCDEFGHIJKLM')
-  WHEN 2 THEN replace(trim(text[11:70]), ' ', '   ') WHEN 3 THEN '' ELSE text[11:70] END"""
+FIRST, SECOND = (60, 37), (40, 101)
+QUOTE = f"""CASE doc_id % 5 WHEN 0 THEN trim({sql_piece(*FIRST)}) || ' zzqx'
+  WHEN 1 THEN translate({sql_piece(*FIRST)}, 'abcdefghijklm', 'ABCDEFGHIJKLM')
+  WHEN 2 THEN replace(trim({sql_piece(*FIRST)}), ' ', '   ') WHEN 3 THEN '' ELSE {sql_piece(*FIRST)} END"""
 
 
 def quote_of():
-    part = F.substring("text", 11, 60)
+    part = piece(*FIRST)
     doc = F.col("doc_id") % 5
     return (
         F.when(doc == 0, F.concat(F.trim(part), F.lit(" zzqx")))
@@ -448,7 +460,7 @@ def topic_replies(t: Views):
             quote.alias("source_quote"),
         )
 
-    items = F.array(item(0, quote_of()), item(3, F.substring("text", 31, 40)), item(16, F.lit("")))
+    items = F.array(item(0, quote_of()), item(3, piece(*SECOND)), item(16, F.lit("")))
     return t.table("documents").select("doc_id", reply_of(items).alias("response_text"))
 
 
@@ -464,7 +476,7 @@ def topic_reply_sql() -> str:
       CASE WHEN doc_id % 13 = 0 THEN 'a"bout ' ELSE 'about ' END || source AS summary, {quote} AS quote
       FROM documents WHERE doc_id % 17 <> 0"""
     topics = "[" + ", ".join(f"'{x}'" for x in vocab.TOPICS) + "]"
-    quotes = [(0, QUOTE), (3, "text[31:70]"), (16, "''")]
+    quotes = [(0, QUOTE), (3, sql_piece(*SECOND)), (16, "''")]
     return " UNION ALL ".join(
         one.format(no=i, s=s, topics=topics, quote=q) for i, (s, q) in enumerate(quotes)
     )
@@ -521,7 +533,7 @@ def stance_replies(t: Views):
             quote.alias("source_quote"),
         )
 
-    items = F.array(item(0, quote_of()), item(3, F.substring("text", 31, 40)), item(53, F.lit("no such words")))
+    items = F.array(item(0, quote_of()), item(3, piece(*SECOND)), item(53, F.lit("no such words")))
     return t.table("documents").select("doc_id", reply_of(items).alias("response_text"))
 
 
@@ -530,7 +542,7 @@ def _stance_sql() -> str:
     one = """SELECT doc_id, {no} AS no, text, 'q' || ((doc_id * 7 + {s}) % 50) AS question_id,
       {words}[CAST((doc_id + {s}) % 5 + 1 AS INTEGER)] AS stance, CAST((doc_id + {s}) % 11 AS DOUBLE) / 10 AS confidence,
       {quote} AS quote FROM documents WHERE doc_id % 17 <> 0"""
-    quotes = [(0, QUOTE), (3, "text[31:70]"), (53, "'no such words'")]
+    quotes = [(0, QUOTE), (3, sql_piece(*SECOND)), (53, "'no such words'")]
     items = " UNION ALL ".join(one.format(no=i, s=s, words=words, quote=q) for i, (s, q) in enumerate(quotes))
     return rf"""items AS ({items}), known AS (SELECT * REPLACE (regexp_replace(quote, {STRIP}) AS quote) FROM items
         WHERE question_id IN (SELECT 'q' || item_id FROM benchmark)
