@@ -149,8 +149,10 @@ def participation(
     """Attendance of active members since a date."""
     chosen = eligible_divisions(divisions, since, None).select("division_id")
     category = F.col("vote_category")
+    active = members.where("is_currently_active").select("member_id", "canonical_name")
     counted = (
         votes.join(chosen, "division_id", "left_semi")
+        .join(active.select("member_id"), "member_id", "left_semi")
         .groupBy("member_id")
         .agg(
             F.count("*").alias("total_divisions"),
@@ -161,9 +163,7 @@ def participation(
         )
     )
     return (
-        counted.join(
-            members.where("is_currently_active").select("member_id", "canonical_name"), "member_id"
-        )
+        counted.join(active, "member_id")
         .withColumn("participation_rate", v.rate(F.col("active_votes"), F.col("total_divisions")))
         .withColumn("unexcused_rate", v.rate(F.col("unexcused_absences"), F.col("total_divisions")))
         .drop("member_id")

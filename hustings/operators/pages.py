@@ -127,6 +127,40 @@ def chapter_text(title, body, nav_pattern: str | None = None):
     return F.concat(F.lit("## "), title, F.lit("\n\n"), F.when(repeated, rest).otherwise(clean))
 
 
+def page_heading(url):
+    """The last segment of an address's path; the address itself if there is none."""
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    last = F.regexp_replace(F.substring_index(F.regexp_replace(path, "/+$", ""), "/", -1), ";.*$", "")
+    return F.coalesce(F.nullif(last, F.lit("")), url)
+
+
+def merged_links(links: DataFrame, key: str, cap: int = vocab.MAX_LINKS) -> DataFrame:
+    """Links (key, page, position, url, text) of several pages as one list: the first of each url, at most `cap`."""
+    first = F.min_by(F.struct("page", "position", "text"), F.struct("page", "position")).alias("first")
+    once = links.groupBy(key, "url").agg(first).select(key, "url", "first.*")
+    place = F.row_number().over(Window.partitionBy(key).orderBy("page", "position"))
+    return once.withColumn("place", place).where(F.col("place") <= cap)
+
+
+def aggregate_pages(
+    pages: DataFrame, links: DataFrame, key: str, cap: int = vocab.MAX_LINKS, limit: int = vocab.MAX_DOCUMENT_CHARS
+) -> tuple[DataFrame, DataFrame]:
+    """Sub-pages (key, page, url, text) as one document, and their merged links.
+
+    `page` is the place of a sub-page in its list; pages without text are left out. Once the
+    links reach `cap`, the pages after the one that filled it are not read any more.
+    """
+    usable = pages.where("text <> ''")
+    own = links.join(usable.select(key, "page"), [key, "page"], "left_semi")
+    kept = merged_links(own, key, cap)
+    full = kept.where(F.col("place") == cap).select(key, F.col("page").alias("_last"))
+    read = usable.join(full, key, "left").where(F.col("_last").isNull() | (F.col("page") <= F.col("_last")))
+    parts = read.select(
+        key, "page", F.concat(F.lit("## "), page_heading(F.col("url")), F.lit("\n\n"), "text").alias("part")
+    )
+    return assemble_document(parts, key, "page", limit=limit), kept.select(key, "place", "url", "text")
+
+
 def assemble_document(
     parts: DataFrame,
     key: str,

@@ -10,6 +10,7 @@ from hustings.functions import votes as v
 from hustings.functions.text import slug
 from hustings.operators.alignment import eligible_divisions
 from hustings.operators.scoring import in_area
+from hustings.session import stage as staged
 
 
 def _pour():
@@ -166,6 +167,7 @@ def vote_list(
         matches = matches.where(F.col("topic_primary") == topic)
     if stage:
         matches = matches.where(F.col("division_stage") == stage)
+    matches = staged(matches, "matches")  # counted and paged
     total = matches.select(F.count("*")).scalar()
     return (
         matches.orderBy(F.desc("date"), "division_id")

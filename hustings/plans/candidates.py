@@ -206,6 +206,21 @@ def question_coverage(t: Views):
     return scoring.question_coverage(t.stances, t.questions)
 
 
+@query(
+    "read_questions",
+    """SELECT question_id, topic, statement, CAST(NULL AS VARCHAR) AS explainer, 2026 AS election_year,
+         CAST(row_number() OVER (ORDER BY question_id) - 1 AS INTEGER) AS sort_order FROM questions""",
+    "questions",
+)
+def read_questions(t: Views):
+    """The questions written as a question set and read again; the order of the list counts."""
+    item = F.struct(F.col("question_id").alias("id"), "topic", "statement")
+    listed = t.questions.agg(F.array_sort(F.collect_list(item)).alias("questions"))
+    path = new_path(t.spark, "question-set")
+    listed.write.json(path)
+    return files.read_questions(t.spark, path)
+
+
 @query(
     "question_check",
     """SELECT question_id, topic, topic <> 'PROMO' AS known FROM questions""",

@@ -389,6 +389,47 @@ def assemble_document(t: Views):
     return pages.assemble_document(parts, "conv_id", "turn")
 
 
+def sub_pages(t: Views):
+    """Stored pages as sub-pages of 17 indexes, each with two made-up links from its id."""
+    sub = t.table("pages").select(
+        (F.col("page_id") % 17).alias("index_id"), F.col("page_id").alias("page"), "url",
+        F.when(F.col("page_id") % 5 != 0, F.concat(F.lit("About "), "url")).otherwise("").alias("text"),
+    )
+    target = F.explode(F.array(F.col("page") % 97, F.col("page") * 7 % 89)).alias("n")
+    links = sub.select("index_id", "page", target).select(
+        "index_id", "page", F.col("n").alias("position"), F.concat(F.lit("https://l.example/"), F.col("n").cast("string")).alias("url"),
+        F.concat(F.lit("to "), F.col("n").cast("string")).alias("text"),
+    )
+    return pages.aggregate_pages(sub, links, "index_id", cap=12)
+
+
+SUB_PAGES = r"""sub AS (SELECT page_id % 17 AS index_id, page_id AS page, url,
+    coalesce(nullif(regexp_extract(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '([^/]*?)(;[^/]*)?/*$', 1), ''), url) AS heading
+    FROM pages WHERE page_id % 5 <> 0),
+  links AS (SELECT index_id, page, unnest([page % 97, page * 7 % 89]) AS n FROM sub),
+  firsts AS (SELECT index_id, n, min((page, n)) AS pos FROM links GROUP BY ALL),
+  kept AS (SELECT index_id, n, pos[1] AS page, row_number() OVER (PARTITION BY index_id ORDER BY pos) AS place FROM firsts QUALIFY place <= 12)"""
+
+
+@query(
+    "subpage_document",
+    f"""WITH {SUB_PAGES} SELECT index_id, count(*) AS parts,
+          string_agg('## ' || heading || chr(10) || chr(10) || 'About ' || url, chr(10) || chr(10) ORDER BY page)[1:200000] AS document
+        FROM sub LEFT JOIN (SELECT index_id, page AS stop_page FROM kept WHERE place = 12) USING (index_id)
+        WHERE stop_page IS NULL OR page <= stop_page GROUP BY index_id""",
+)
+def subpage_document(t: Views):
+    return sub_pages(t)[0]
+
+
+@query(
+    "subpage_links",
+    f"""WITH {SUB_PAGES} SELECT index_id, CAST(place AS INTEGER) AS place, 'https://l.example/' || n AS url, 'to ' || n AS text FROM kept""",
+)
+def subpage_links(t: Views):
+    return sub_pages(t)[1]
+
+
 # --- quotes and replies ----------------------------------------------------------
 
 # A piece of each document, from anywhere in its text.

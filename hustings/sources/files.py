@@ -56,6 +56,21 @@ def scan_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("page_id", "url", "html")
 
 
+QUESTION_SET = (
+    "election_year int, questions array<struct<id: string, topic: string, statement: string, explainer: string>>"
+)
+
+
+def read_questions(spark: SparkSession, path: str, default_year: int = 2026) -> DataFrame:
+    """A question set: one JSON document (`election_year`, `questions`), in the order of its list."""
+    document = spark.read.schema(QUESTION_SET).option("multiLine", True).json(path)
+    year = F.coalesce("election_year", F.lit(default_year)).alias("election_year")
+    rows = document.select(year, F.posexplode("questions").alias("sort_order", "q"))
+    return rows.select(
+        F.col("q.id").alias("question_id"), "q.topic", "q.statement", "q.explainer", "election_year", "sort_order"
+    )
+
+
 def check_questions(questions: DataFrame, topics: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid, unknown): questions whose topic is in the vocabulary, and the others."""
     known = topics.select("topic").distinct()

@@ -183,6 +183,21 @@ def test_alignment_of_strangers(spark):
     assert similar[(0, 0)] == 1.0 and similar[(2, 2)] == 0.0 and similar[(0, 1)] == 0.0
 
 
+def test_sparse_and_filled_products_are_equal(monkeypatch):
+    rng = np.random.default_rng(8)
+
+    def side(n):
+        cells = rng.choice(60 * 500, n, replace=False)
+        return pd.DataFrame({"id": cells // 500, "key": cells % 500, "v": rng.choice([-1, 1], n)})
+
+    for n in (0, 1, 40, 900):  # on both sides of the border between the two ways
+        left, right = side(n), side(max(n, 5))
+        found = blocks.pair_sums(left, right)
+        for work in (-1, 1 << 60):
+            monkeypatch.setattr(blocks, "SPARSE_WORK", work)
+            assert all((x == y).all() for x, y in zip(blocks.pair_sums(left, right), found))
+
+
 def test_positions_agree_and_reproduce_the_products(spark, monkeypatch):
     values, x = matrix(spark, 12, 60)
     members = people(spark, 12)
@@ -571,6 +586,25 @@ def test_empty_cells_are_text(spark, tmp_path):
         assert division["proposition_id"] == 1 and division["reference"] == ""
 
 
+def test_headings_of_sub_pages(spark):
+    urls = ["https://a.b/x/y/", "https://a.b/x/y?q=1#z", "https://a.b", "https://a.b/", "https://a.b//p;v=1/", "nonsense"]
+    df = spark.createDataFrame([(u,) for u in urls], "u string").select(pages.page_heading(F.col("u")).alias("h"))
+    assert [r["h"] for r in df.collect()] == ["y", "y", "https://a.b", "https://a.b/", "p", "nonsense"]
+
+
+def test_question_sets_and_areas(spark, tmp_path):
+    path = tmp_path / "set.json"
+    path.write_text('{"questions": [\n {"id": "q2", "topic": "T", "statement": "s", "explainer": "e"}, {"id": "q1", "topic": "U", "statement": "t"}]}')
+    rows = files.read_questions(spark, str(path))
+    assert [tuple(r) for r in rows.collect()] == [("q2", "T", "s", "e", 2026, 0), ("q1", "U", "t", None, 2026, 1)]
+    topics = spark.createDataFrame([("T",)], "topic string")
+    with pytest.raises(ValueError):
+        files.require_known_topics(rows, topics)
+    people = spark.createDataFrame([(1, "St John", "Deputy"), (2, "Else", "Senator")], "candidate_id long, constituency string, role string")
+    assert scoring.area_filter(people, "  ").count() == 2
+    assert [r["candidate_id"] for r in scoring.area_filter(people, " St John ", {}).collect()] == [1]
+
+
 def test_integrity_compares_columns(spark):
     table = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("d", "e"), ("d", "e")], "x string, y string")
     found = ingest.integrity({"t": table}, {"t": [["x", "y"]]}, {"t": ["x"]}, []).collect()
