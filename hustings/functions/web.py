@@ -55,15 +55,15 @@ def unescape(text: Column) -> Column:
 
 def _lines_for_blocks(text: Column) -> Column:
     broken = F.regexp_replace(text, rf"(?U)<br{SPACE}*/?>", "\n")
-    return F.regexp_replace(broken, r"</(p|h[1-6]|div|li|tr)>", "\n")
+    return F.regexp_replace(broken, vocab.BLOCK_ENDS, "\n")
 
 
 def strip_tags(html: Column, scripts: bool = False) -> Column:
     """Text of a page; `scripts=True` also drops script and style elements."""
     text = unescape(html)
     if scripts:
-        text = F.regexp_replace(text, r"(?isU)<script\b.*?</script>", " ")
-        text = F.regexp_replace(text, r"(?isU)<style\b.*?</style>", " ")
+        for element in vocab.SCRIPT_ELEMENTS:
+            text = F.regexp_replace(text, element, " ")
     text = F.regexp_replace(_lines_for_blocks(text), "<[^>]+>", " ")
     text = F.regexp_replace(text, "[ \t]+", " ")
     text = F.regexp_replace(text, rf"(?U)\n{SPACE}*\n+", "\n\n")
@@ -72,15 +72,10 @@ def strip_tags(html: Column, scripts: bool = False) -> Column:
 
 def article_text(html: Column) -> Column:
     """Text inside the first article element, without style-sheet leftovers."""
-    text = unescape(F.regexp_extract(html, "(?s)<article[^>]*>(.*?)</article>", 1))
+    text = unescape(F.regexp_extract(html, vocab.ARTICLE_PATTERN, 1))
     text = F.regexp_replace(_lines_for_blocks(text), "<[^>]+>", " ")
-    for leftover in (
-        rf"body{SPACE}*\{{[^}}]*\}}",
-        rf"p{SPACE}*\{{[^}}]*\}}",
-        rf"li,{SPACE}*table{SPACE}*\{{[^}}]*\}}",
-        r"\.awlist\d+[^}]*\}",
-    ):
-        text = F.regexp_replace(text, "(?U)" + leftover, "")
+    for leftover in vocab.STYLE_LEFTOVERS:
+        text = F.regexp_replace(text, "(?U)" + leftover.replace(r"\s", SPACE), "")
     text = F.regexp_replace(text, "[ \t]+", " ")
     text = F.regexp_replace(text, rf"(?U)\n{SPACE}*\n", "\n\n")
     return trim_spaces(text)
@@ -93,23 +88,14 @@ def page_meta(html: Column) -> Column:
         found = F.regexp_extract_all(html, F.lit(rf"(?U){label}{SPACE}*:{SPACE}*([^<\n]+)"), F.lit(1))
         return trim_spaces(F.try_element_at(found, F.lit(1)))
 
-    return F.struct(
-        labelled("Lodged by").alias("lodged_by"),
-        labelled("Published on").alias("published_date"),
-        labelled("Debate date").alias("debate_date"),
-    )
+    return F.struct(*[labelled(label).alias(name) for name, label in vocab.PAGE_LABELS.items()])
 
 
 def main_block(html: Column) -> Column:
     """Text of the structural manifesto block of a profile page, '' when it has none."""
-    inner = F.regexp_extract(
-        html,
-        r'(?s)<div class="main-content inline-col[^"]*"[^>]*>(.*?)'
-        r'(?=<div id="js-main-content"|<aside|Names of Proposers and Seconders)',
-        1,
-    )
-    inner = F.regexp_replace(inner, "(?s)<iframe.*?</iframe>", "")
-    inner = F.regexp_replace(inner, '(?s)<div class="embed[^"]*"[^>]*>.*?</div>', "")
+    inner = F.regexp_extract(html, vocab.MAIN_BLOCK_PATTERN, 1)
+    for embed in vocab.EMBED_PATTERNS:
+        inner = F.regexp_replace(inner, embed, "")
     return strip_tags(inner)
 
 
@@ -149,33 +135,29 @@ def title_case(text: Column) -> Column:
 
 
 def figures(html: Column) -> Column:
-    return F.regexp_extract_all(
-        html, F.lit(r'(?s)<figure[^>]*data-testid="profile-card"[^>]*>(.*?)</figure>'), F.lit(1)
-    )
+    return F.regexp_extract_all(html, F.lit(vocab.CARD_PATTERN), F.lit(1))
 
 
 def card(figure: Column, site: str) -> Column:
     """One profile card: slug, URL, name, photo, role, constituency, party."""
     path = F.rtrim(
         F.regexp_replace(
-            _first(figure, r'<a[^>]+href="(https?://[^"]*?/candidates/\d+/[^"?#]+)'),
+            _first(figure, vocab.CARD_LINK_PATTERN),
             "^https?://[^/]*",
             "",
         ),
         F.lit("/"),
     )
     path = F.concat(path, F.lit("/"))
-    key = _first(path, r"^.*/candidates/\d+/([^/]+)")
-    heading = F.regexp_extract(
-        figure, r'(?s)<h5[^>]*data-testid="profile-card-heading"[^>]*>(.*?)</h5>', 1
-    )
+    key = _first(path, vocab.CARD_KEY_PATTERN)
+    heading = F.regexp_extract(figure, vocab.CARD_HEADING_PATTERN, 1)
     name = F.nullif(
-        trim_spaces(unescape(F.regexp_extract(heading, "<a[^>]*>([^<]+)</a>", 1))), F.lit("")
+        trim_spaces(unescape(F.regexp_extract(heading, vocab.CARD_NAME_PATTERN, 1))), F.lit("")
     )
-    listed = F.regexp_extract_all(figure, F.lit("(?s)<li[^>]*>(.*?)</li>"), F.lit(1))
+    listed = F.regexp_extract_all(figure, F.lit(vocab.CARD_ITEM_PATTERN), F.lit(1))
     items = F.transform(F.split(strip_tags(F.array_join(listed, "\x02")), "\x02"), trim_spaces)
     items = F.filter(items, lambda t: t != "")
-    standing = rf"(?iU)^Standing for{SPACE}+(.+?){SPACE}*$"
+    standing = "(?iU)" + vocab.STANDING_PATTERN.replace(r"\s", SPACE)
     roles = F.filter(items, lambda t: t.rlike(standing))
     labels = F.filter(items, lambda t: ~t.rlike(standing))
     role = title_case(
@@ -189,7 +171,7 @@ def card(figure: Column, site: str) -> Column:
         key.alias("slug"),
         F.concat(F.lit(site), path).alias("profile_url"),
         F.coalesce(name, title_case(F.replace(key, F.lit("-"), F.lit(" ")))).alias("full_name"),
-        _first(figure, r'<img[^>]+src="([^"]+)"').alias("photo_url"),
+        _first(figure, vocab.CARD_PHOTO_PATTERN).alias("photo_url"),
         F.when(F.lower(role).rlike("^conn[eé]table"), "Connétable").otherwise(role).alias("role"),
         trim_spaces(F.regexp_replace(area, rf"(?U)\bSt\.{SPACE}*", "St ")).alias("constituency"),
         F.when(~F.lower(party).isin(vocab.NO_PARTY_LABELS), party).alias("party"),

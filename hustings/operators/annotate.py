@@ -44,29 +44,24 @@ def clean_reply(text: Column, shape: str = "array") -> Column:
     `array`: as it stands. `block`: the outermost {…} unless it starts with one.
     `outermost`: every fence removed, then from the first { to the last }.
     """
-    block = r"(?s)\{.*\}"
     if shape == "outermost":
-        bare = F.regexp_replace(text, r"(?U)```\w*\n?", "")
-        found = F.regexp_extract(bare, block, 0)
+        bare = F.regexp_replace(text, vocab.FENCE_PATTERN, "")
+        found = F.regexp_extract(bare, vocab.OBJECT_PATTERN, 0)
         return F.when(found != "", found).otherwise(bare)
     bare = trim_spaces(text)
-    opened = F.regexp_replace(bare, r"(?U)^```\w*\n?", "")
+    opened = F.regexp_replace(bare, vocab.OPENING_FENCE_PATTERN, "")
     fenced = F.when(
-        F.startswith(bare, F.lit("```")), F.regexp_replace(opened, r"\n?```\n?\z", "")
+        F.startswith(bare, F.lit("```")), F.regexp_replace(opened, vocab.CLOSING_FENCE_PATTERN, "")
     ).otherwise(bare)
     if shape == "array":
         return fenced
-    found = F.regexp_extract(fenced, block, 0)
+    found = F.regexp_extract(fenced, vocab.OBJECT_PATTERN, 0)
     return F.when(~F.startswith(fenced, F.lit("{")) & (found != ""), found).otherwise(fenced)
 
 
 def repair_quotes(json: Column) -> Column:
     """Escape a quotation mark left bare inside a value."""
-    return F.regexp_replace(
-        json,
-        r'(:\s*"(?:[^"\\]++|\\.)*+)"((?:[^"\\]++|\\.)*+)("\s*[,}\]])',
-        r'$1\\"$2$3',
-    )
+    return F.regexp_replace(json, vocab.BARE_QUOTE_PATTERN, r'$1\\"$2$3')
 
 
 def _valid(json: Column) -> Column:

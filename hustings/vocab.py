@@ -113,4 +113,31 @@ CONVICTION_ANCHORS = ["No previous convictions", "Previous convictions"]
 PROPOSER_ANCHORS = ["Names of Proposers and Seconders", "Proposers and Seconders"]
 PROPOSITION_URL = "https://statesassembly.je/publications/propositions/{year}/p-{number}-{year}"
 
+# Page formats; a plain \s stands for any white space that the page's readers know.
+SCRIPT_ELEMENTS = [r"(?isU)<script\b.*?</script>", r"(?isU)<style\b.*?</style>"]
+BLOCK_ENDS = r"</(p|h[1-6]|div|li|tr)>"
+ARTICLE_PATTERN = "(?s)<article[^>]*>(.*?)</article>"
+STYLE_LEFTOVERS = [r"body\s*\{[^}]*\}", r"p\s*\{[^}]*\}", r"li,\s*table\s*\{[^}]*\}", r"\.awlist\d+[^}]*\}"]
+PAGE_LABELS = {"lodged_by": "Lodged by", "published_date": "Published on", "debate_date": "Debate date"}
+MAIN_BLOCK_PATTERN = (
+    r'(?s)<div class="main-content inline-col[^"]*"[^>]*>(.*?)'
+    r'(?=<div id="js-main-content"|<aside|Names of Proposers and Seconders)'
+)
+EMBED_PATTERNS = ["(?s)<iframe.*?</iframe>", '(?s)<div class="embed[^"]*"[^>]*>.*?</div>']
+CARD_PATTERN = r'(?s)<figure[^>]*data-testid="profile-card"[^>]*>(.*?)</figure>'
+CARD_LINK_PATTERN = r'<a[^>]+href="(https?://[^"]*?/candidates/\d+/[^"?#]+)'
+CARD_KEY_PATTERN = r"^.*/candidates/\d+/([^/]+)"
+CARD_HEADING_PATTERN = r'(?s)<h5[^>]*data-testid="profile-card-heading"[^>]*>(.*?)</h5>'
+CARD_NAME_PATTERN = "<a[^>]*>([^<]+)</a>"
+CARD_ITEM_PATTERN = "(?s)<li[^>]*>(.*?)</li>"
+CARD_PHOTO_PATTERN = r'<img[^>]+src="([^"]+)"'
+STANDING_PATTERN = r"^Standing for\s+(.+?)\s*$"
+
+# Replies
+FENCE_PATTERN = r"(?U)```\w*\n?"
+OPENING_FENCE_PATTERN = r"(?U)^```\w*\n?"
+CLOSING_FENCE_PATTERN = r"\n?```\n?\z"
+OBJECT_PATTERN = r"(?s)\{.*\}"
+BARE_QUOTE_PATTERN = r'(:\s*"(?:[^"\\]++|\\.)*+)"((?:[^"\\]++|\\.)*+)("\s*[,}\]])'
+
 # --- End of fixed values ---
