@@ -164,7 +164,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = "<u2" if self.vocabulary <= 1 << 16 else "<u4"
-        self.words: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.letters = self._byte_letters()
 
@@ -193,38 +193,41 @@ class Encoder:
             ids = self.pieces[piece] = np.array([t.id for t in tokens], self.kind).tobytes()
         return ids
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: set[bytes]) -> None:
         rest = []
         for word in words:
-            plain = PLAIN.fullmatch(word.lower()) if self.letters else None
+            text = word.decode("utf-8", "replace")
+            plain = PLAIN.fullmatch(text.lower()) if self.letters else None
             if plain:
                 first, second = plain.groups()
                 self.words[word] = (self._piece(first) if first else b"") + (self._piece(second) if second else b"")
             else:
-                rest.append(word)
+                rest.append((word, text))
         for i in range(0, len(rest), 4096):
             part = rest[i : i + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
+            encoded = self.tokenizer.encode_batch([t for _, t in part], add_special_tokens=False)
+            for (word, _), found in zip(part, encoded):
                 self.words[word] = np.array(found.ids, self.kind).tobytes()
 
-    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+    def encode(self, texts: list[str | None], end_id: int) -> Iterator[np.ndarray]:
+        """The ids of each text and `end_id`."""
         if len(self.words) > MEMO:
             self.words.clear()
             self.pieces.clear()
-        # Only ASCII white space separates: other spaces are left to the tokenizer.
-        split = [SPACES.split(t) if t else [] for t in texts]
-        new: set[str] = set()
-        for words in split:
-            new.update(words)
-        new.difference_update(self.words)
-        new.discard("")
-        self.words[""] = b""
+        end = np.array([end_id], self.kind).tobytes()
+        get = self.words.get
+        # Bytes are split at ASCII white space alone: other spaces are left to the tokenizer.
+        split = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
+        ids = [list(map(get, words)) for words in split]
+        new: set[bytes] = set()
+        for words, own in zip(split, ids):
+            if None in own:
+                new.update(w for w, i in zip(words, own) if i is None)
         self._learn(new)
-        for words in split:
-            yield np.frombuffer(b"".join(map(self.words.__getitem__, words)), self.kind)
-
-
-SPACES = re.compile(r"[\x20\x09-\x0D]+")
+        for words, own in zip(split, ids):
+            if None in own:
+                own = map(get, words)
+            yield np.frombuffer(b"".join(own) + end, self.kind)
 
 
 def encoder(path: str) -> Encoder:
@@ -260,8 +263,8 @@ def write_shards(
                     sink = fs.open_output_stream(path, compression=None)
                     writer, first = ShardWriter(sink, width(encode.vocabulary), block), ids[0]
                 part = texts.slice(i, 256).to_pylist()
-                for doc_id, found in zip(ids[i : i + 256], encode.encode(part)):
-                    writer.add(doc_id, np.append(found, found.dtype.type(end_id)))
+                for doc_id, found in zip(ids[i : i + 256], encode.encode(part, end_id)):
+                    writer.add(doc_id, found)
                     last = doc_id
         if writer is not None:
             writer.close()
