@@ -49,10 +49,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keeper(name: str) -> dict:
-    """A dict that lives as long as the Python worker, across the tasks it runs."""
-    holder = sys.modules.setdefault("_corpus_worker_state", types.ModuleType("_corpus_worker_state"))
-    return holder.__dict__.setdefault(name, {})
+def keeper(name: str, small: bool = False) -> dict:
+    """A dict that lives as long as the Python worker, across the tasks it runs.
+
+    A worker serves one operator after the other: what an earlier one kept is dropped, but
+    for `small` things that several use.
+    """
+    holder = sys.modules.setdefault("_corpus_worker_state", types.ModuleType("_corpus_worker_state")).__dict__
+    if small:
+        return holder.setdefault(f"small_{name}", {})
+    for other in [k for k in holder if k.startswith("kept_") and k != f"kept_{name}"]:
+        del holder[other]
+    return holder.setdefault(f"kept_{name}", {})
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:

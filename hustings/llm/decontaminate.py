@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hustings.llm.common import WORDS, ascii_lower, batch_of, table
+from hustings.llm.common import WORDS, ascii_lower, batch_of, keeper, table
 from hustings.llm.registry import query
 from hustings.llm.shingles import shingle_hashes, slices, word_hashes
 
@@ -182,6 +182,7 @@ def clean(
 
 def _holds(items: Items, threshold: float):
     def holds(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        keeper("decontaminate")  # frees what operators before this one left
         for column in columns:
             found = np.zeros(len(column), bool)
             for first, texts in slices(column):

@@ -73,7 +73,7 @@ def map_arrays(uri: str) -> tuple[dict, dict[str, np.ndarray]] | None:
     if fs.get_file_info(path).type == pafs.FileType.NotFound:
         return None
     if not isinstance(fs, pafs.LocalFileSystem):  # only a local file can be mapped: copy it, until the worker ends
-        folder = keeper("copies").setdefault("folder", tempfile.TemporaryDirectory())
+        folder = keeper("copies", small=True).setdefault("folder", tempfile.TemporaryDirectory())
         copy = f"{folder.name}/{zlib.crc32(uri.encode()):08x}-{path.rsplit('/', 1)[-1]}"
         pafs.copy_files(path, copy, source_filesystem=fs, destination_filesystem=pafs.LocalFileSystem())
         path = copy

@@ -18,7 +18,7 @@ VALUES = mix(np.arange(1, 257, dtype=np.uint64))
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    held = keeper("powers")
+    held = keeper("powers", small=True)
     if held.get("n", 0) < n:
         size = max(n, 1 << 20)
         for name, base in (("up", BASE), ("down", INVERSE)):

@@ -17,12 +17,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hustings.llm.common import PAIR, Scratch, batch_of, components, mix, runs, table, union_rows, words_of
+from hustings.llm.common import PAIR, Scratch, batch_of, components, keeper, mix, runs, table, union_rows, words_of
 from hustings.llm.registry import query
 
 SEED = 42
 LOW = np.uint64(0x5555555555555555)
 TOGETHER = 4  # groups that make up a cell
+POINTS = 10_000  # fingerprints that a task enters in cells
 SMALL = 24  # cells up to this size are compared as shifted columns
 
 
@@ -55,6 +56,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long."""
 
     def mark(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        keeper("fingerprints")  # frees what operators before this one left
         for part in texts:
             found = []
             for i in range(0, len(part), 128):
@@ -169,7 +171,9 @@ def links(fps: DataFrame, scratch: Scratch, distance: int = 4, block: int = 8192
         if ids:
             yield batch_of(PAIR, ids, roots)
 
-    cells = fps.select("fp").mapInArrow(enter, "key long, fp long")
+    # A small table becomes many rows: it is dealt to as many tasks as those rows need.
+    tasks = max(1, -(-fps.count() // POINTS))
+    cells = fps.select("fp").repartition(tasks).mapInArrow(enter, "key long, fp long")
     hot = scratch.save(
         cells.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block), "hot"
     )

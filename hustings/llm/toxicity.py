@@ -21,7 +21,7 @@ from hustings.llm.registry import query
 PREFIXES = (3, 4, 5, 6, 7)
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”„’"
 THRESHOLD = 0.7
-MEMO = 1_000_000  # words whose features a Python worker remembers
+MEMO = 300_000  # words whose features a Python worker remembers
 
 
 @dataclass
@@ -35,10 +35,10 @@ class Model:
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         known = keeper("toxicity").setdefault(self.name, {})
-        if len(known) > MEMO:
-            known.clear()
         found = np.empty(len(texts))
         for i, text in enumerate(texts):
+            if len(known) > MEMO:
+                known.clear()
             hits: set[int] = set()
             for word in set(text.split()) if text else ():
                 own = known.get(word)
