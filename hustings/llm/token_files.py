@@ -160,7 +160,8 @@ class Encoder:
     model; all other words go through the whole tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO):
+        self.memo = memo
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = "<u2" if self.vocabulary <= 1 << 16 else "<u4"
@@ -211,7 +212,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None], end_id: int) -> Iterator[np.ndarray]:
         """The ids of each text and `end_id`."""
-        if len(self.words) > MEMO:
+        if len(self.words) > self.memo:
             self.words.clear()
             self.pieces.clear()
         end = np.array([end_id], self.kind).tobytes()
@@ -230,18 +231,18 @@ class Encoder:
             yield np.frombuffer(b"".join(own) + end, self.kind)
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memo: int = MEMO) -> Encoder:
     held = keeper("encoders")
-    if path not in held:
-        held[path] = Encoder(path)
-    return held[path]
+    if (path, memo) not in held:
+        held[path, memo] = Encoder(path, memo)
+    return held[path, memo]
 
 
 # --- writing and reading -------------------------------------------------------------
 
 
 def write_shards(
-    docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, block: int = 4096
+    docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, block: int = 4096, memo: int = MEMO
 ) -> DataFrame:
     """Encode `docs` (doc_id, text) into files of `folder`, in ascending doc_id order.
 
@@ -252,7 +253,7 @@ def write_shards(
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, memo)
         writer = sink = uri = None
         first = last = None
         for batch in batches:
@@ -323,15 +324,21 @@ def read_shards(shards: DataFrame) -> DataFrame:
 
 
 def token_files(
-    docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = END_ID, block: int = 4096
+    docs: DataFrame,
+    tokenizer: str,
+    folder: str | None = None,
+    end_id: int = END_ID,
+    block: int = 4096,
+    memo: int = MEMO,
 ) -> DataFrame:
     """Write `docs` as token files and read them back: one row per document.
 
-    Columns of `docs` other than doc_id and text are not looked at. An empty table gives no
+    Columns of `docs` other than doc_id and text are not looked at. `memo` is the number of words
+    whose ids a Python worker remembers, about 300 bytes each. An empty table gives no
     files and no rows; an empty text is its end id alone.
     """
     scratch = Scratch(docs.sparkSession, "tokens")
-    shards = scratch.save(write_shards(docs, folder or scratch.path("files"), tokenizer, end_id, block), "shards")
+    shards = scratch.save(write_shards(docs, folder or scratch.path("files"), tokenizer, end_id, block, memo), "shards")
     return read_shards(shards)
 
 
