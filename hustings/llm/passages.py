@@ -27,6 +27,7 @@ HASHES = 6
 ENOUGH = 3  # a pair at the threshold shares a hash with 0.8: three of six in 98 of 100 alignments, more if longer
 FLUSH = 600_000  # windows a task holds before it links and sends them
 PARTS = 256
+BUCKETS = 6  # buckets of windows for each shuffle partition
 PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -141,6 +142,11 @@ def unblob(data: bytes, kind: np.dtype) -> np.ndarray:
     return rows
 
 
+def dealt(sent: DataFrame, buckets: int) -> DataFrame:
+    """Blocks by bucket; several buckets a task, so that tasks get about as much each."""
+    return sent.repartition(max(1, buckets // BUCKETS), "bucket").sortWithinPartitions("bucket")
+
+
 def pair_key(found: np.ndarray) -> np.ndarray:
     return mix(found["a"].astype(np.uint64)) + found["b"].astype(np.uint64)
 
@@ -214,8 +220,7 @@ def join_windows(sent: DataFrame, least: int, buckets: int) -> DataFrame:
             if len(found):
                 yield from blobs(found, pair_key(found), buckets, 1)
 
-    dealt = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(link, BLOB_SQL)
+    return dealt(sent, buckets).mapInArrow(link, BLOB_SQL)
 
 
 # --- candidates ------------------------------------------------------------------------
@@ -259,8 +264,7 @@ def find_candidates(matches: DataFrame, least: int, enough: int, buckets: int) -
             if len(found[0]):
                 yield batch_of(CANDIDATE, *found)
 
-    dealt = matches.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(read, CANDIDATE_SQL)
+    return dealt(matches, buckets).mapInArrow(read, CANDIDATE_SQL)
 
 
 # --- verification ----------------------------------------------------------------------
@@ -424,7 +428,7 @@ def repeated_passages(
     copies are not expanded into all pairs.
     """
     least = max(1, min_words - WIDTH + 1)
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     matches = join_windows(find_windows(known, least, buckets), least, buckets)
     candidates = scratch.save(find_candidates(matches, least, enough, buckets).distinct(), "candidates")
