@@ -28,6 +28,8 @@ ENOUGH = 3  # a pair at the threshold shares a hash with 0.8: three of six in 98
 FLUSH = 600_000  # windows a task holds before it links and sends them
 PARTS = 256
 BUCKETS = 6  # buckets of windows for each shuffle partition
+OPEN = HASHES - ENOUGH + 1  # of any three of six functions one is among these first
+BLOCK = 8192  # windows of a key that are compared in one task; larger keys are cut into pairs of blocks
 PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -90,24 +92,31 @@ def _extents(values: list[int], places: list[int], bounds: np.ndarray, least: in
 # --- joining windows -------------------------------------------------------------------
 
 WINDOW = np.dtype([("key", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("left", "u1"), ("right", "u1"), ("f", "u1")])
-MATCH = np.dtype([("a", "<i8"), ("b", "<i8"), ("at", "<u4"), ("other", "<u4"), ("f", "u1")])
+MATCH = np.dtype(
+    [("a", "<i8"), ("b", "<i8"), ("at", "<u4"), ("other", "<u4"), ("f", "u1"), ("how", "u1"), ("key", "<u8")]
+)
+COMPARED, NO_ROOM, SAME = 0, 2, 3  # how a window stands to the first one of its key; SAME: in the same document
 
 
-def star(windows: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+def star(windows: np.ndarray, least: int, first_open: int = OPEN) -> tuple[np.ndarray, np.ndarray]:
     """Matches of every window with the first one of its key, and those first ones.
 
-    `windows` is sorted by key and document. The first stands for all in later joins: what shares
-    a key with it is connected through it.
+    `windows` is sorted by key and document. The first stands for all in later joins. What
+    cannot be compared with it is a match too, marked by `how`: it is compared with the others
+    when the key is opened. Only keys of the first `first_open` functions are, and kept.
     """
     starts, ends = runs(windows["key"])
     first = np.repeat(starts, ends - starts)
     lead = windows[first]
     room = np.minimum(windows["left"], lead["left"]).astype(int) + np.minimum(windows["right"], lead["right"]) + 1
-    own = (windows["doc"] != lead["doc"]) & (room >= SIMILARITY * least)
+    how = np.where(windows["doc"] == lead["doc"], SAME, np.where(room >= SIMILARITY * least, COMPARED, NO_ROOM))
+    opens = windows["f"] < first_open
+    own = (how == COMPARED) | (opens & (np.arange(len(windows)) != first))
     found = np.empty(int(own.sum()), MATCH)
-    for name, values in (("a", windows["doc"]), ("at", windows["at"]), ("f", windows["f"])):
+    for name, values in (("a", windows["doc"]), ("at", windows["at"]), ("f", windows["f"]), ("how", how)):
         found[name] = values[own]
     found["b"], found["other"] = lead["doc"][own], lead["at"][own]
+    found["key"] = np.where(opens, windows["key"], np.uint64(0))[own]
     return found, windows[starts]
 
 
@@ -151,7 +160,7 @@ def pair_key(found: np.ndarray) -> np.ndarray:
     return mix(found["a"].astype(np.uint64)) + found["b"].astype(np.uint64)
 
 
-def find_windows(docs: DataFrame, least: int, buckets: int) -> DataFrame:
+def find_windows(docs: DataFrame, least: int, buckets: int, first_open: int = OPEN) -> DataFrame:
     """Blocks of windows (kind 0, by key) and of matches (kind 1, by pair) of `docs` (doc_id, text).
 
     A task links the windows of its own documents first and sends one of each key, so a passage
@@ -165,7 +174,7 @@ def find_windows(docs: DataFrame, least: int, buckets: int) -> DataFrame:
         def flush():
             rows = np.concatenate(held)
             held.clear()
-            found, first = star(rows[np.lexsort((rows["at"], rows["doc"], rows["key"]))], least)
+            found, first = star(rows[np.lexsort((rows["at"], rows["doc"], rows["key"]))], least, first_open)
             yield from blobs(first, first["key"], buckets, 0)
             if len(found):
                 yield from blobs(found, pair_key(found), buckets, 1)
@@ -209,13 +218,13 @@ def gather(batches: Iterator[pa.RecordBatch], kinds: dict[int, np.dtype]) -> Ite
         yield whole()
 
 
-def join_windows(sent: DataFrame, least: int, buckets: int) -> DataFrame:
+def join_windows(sent: DataFrame, least: int, buckets: int, first_open: int = OPEN) -> DataFrame:
     """Blocks of matches by pair, from the windows of all tasks."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in gather(batches, {0: WINDOW, 1: MATCH}):
             windows = rows[0]
-            found, _ = star(windows[np.lexsort((windows["at"], windows["doc"], windows["key"]))], least)
+            found, _ = star(windows[np.lexsort((windows["at"], windows["doc"], windows["key"]))], least, first_open)
             found = np.concatenate([found, rows[1]])
             if len(found):
                 yield from blobs(found, pair_key(found), buckets, 1)
@@ -225,46 +234,63 @@ def join_windows(sent: DataFrame, least: int, buckets: int) -> DataFrame:
 
 # --- candidates ------------------------------------------------------------------------
 
-CANDIDATE = pa.schema([(n, pa.int64()) for n in ("a", "b", "lo", "hi", "other_lo", "other_hi")])
-CANDIDATE_SQL = "a long, b long, lo long, hi long, other_lo long, other_hi long"
+PLACES = ("a", "b", "lo", "hi", "other_lo", "other_hi")
+CANDIDATE = pa.schema([(n, pa.int64()) for n in PLACES])
+CANDIDATE_SQL = ", ".join(f"{n} long" for n in PLACES)
+ALIGNED = pa.schema([(n, pa.int64()) for n in ("kind", *PLACES, "key", "at", "other")])
+ALIGNED_SQL = ", ".join(f"{n} long" for n in ALIGNED.names)
+PAIR, WITH_LEAD = 0, 1  # kinds beside NO_ROOM (here also: not aligned) and SAME
+
 
+def align(found: np.ndarray, least: int, enough: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Places where enough hash functions match the same two texts at about the same shift.
 
-def align(found: np.ndarray, least: int, enough: int) -> tuple[np.ndarray, ...]:
-    """Places where enough hash functions match the same two texts at about the same shift."""
+    Columns of ALIGNED: candidates are of kind PAIR; the matches follow that open keys may
+    need, those of a candidate with its places.
+    """
+    rest = found[found["how"] != COMPARED]
+    found = found[found["how"] == COMPARED]
     shift = found["at"].astype(np.int64) - found["other"]
     found = found[np.lexsort((found["at"], shift, found["b"], found["a"]))]
     shift = found["at"].astype(np.int64) - found["other"]
-    at = found["at"].astype(np.int64)
-    new = np.ones(len(found), bool)
-    # A passage goes on while the shift moves by little (words come or go) and no gap is too long.
-    new[1:] = (
-        (found["a"][1:] != found["a"][:-1]) | (found["b"][1:] != found["b"][:-1])
-        | (np.abs(np.diff(shift)) > least // 4) | (np.abs(np.diff(at)) > 2 * least)
-    )
-    starts = np.flatnonzero(new)
-    seen = np.bitwise_or.reduceat(1 << found["f"].astype(np.int64), starts)
-    lo, hi = np.minimum.reduceat(at, starts), np.maximum.reduceat(at, starts)
-    other = found["other"].astype(np.int64)
-    other_lo, other_hi = np.minimum.reduceat(other, starts), np.maximum.reduceat(other, starts)
-    kept = np.bitwise_count(seen) >= enough
-    grow = 2 * least
-    return tuple(
-        x[kept]
-        for x in (
-            found["a"][starts], found["b"][starts], np.maximum(lo - grow, 0), hi + grow + 1,
-            np.maximum(other_lo - grow, 0), other_hi + grow + 1,
+    at, other = found["at"].astype(np.int64), found["other"].astype(np.int64)
+
+    def rows(kind, chosen, places):
+        where = (chosen["key"].view(np.int64), chosen["at"].astype(np.int64), chosen["other"].astype(np.int64))
+        return np.broadcast_to(kind, len(chosen)), chosen["a"], chosen["b"], *places, *where
+
+    if len(found):
+        new = np.ones(len(found), bool)
+        # A passage goes on while the shift moves by little (words come or go) and no gap is too long.
+        new[1:] = (
+            (found["a"][1:] != found["a"][:-1]) | (found["b"][1:] != found["b"][:-1])
+            | (np.abs(np.diff(shift)) > least // 4) | (np.abs(np.diff(at)) > 2 * least)
         )
-    )
+        starts = np.flatnonzero(new)
+        seen = np.bitwise_or.reduceat(1 << found["f"].astype(np.int64), starts)
+        grow = 2 * least
+        places = [
+            np.maximum(np.minimum.reduceat(at, starts) - grow, 0), np.maximum.reduceat(at, starts) + grow + 1,
+            np.maximum(np.minimum.reduceat(other, starts) - grow, 0), np.maximum.reduceat(other, starts) + grow + 1,
+        ]
+        kept = np.bitwise_count(seen) >= enough
+        none = np.zeros(int(kept.sum()), np.int64)
+        yield none + PAIR, found["a"][starts][kept], found["b"][starts][kept], *(p[kept] for p in places), none, none, none
+        run = np.cumsum(new) - 1
+        own = found["key"] != 0
+        yield rows(np.where(kept[run], WITH_LEAD, NO_ROOM)[own], found[own], [p[run][own] for p in places])
+    if len(rest):
+        yield rows(rest["how"].astype(np.int64), rest, [np.zeros(len(rest), np.int64)] * 4)
 
 
 def find_candidates(matches: DataFrame, least: int, enough: int, buckets: int) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in gather(batches, {1: MATCH}):
-            found = align(rows[1], least, enough)
-            if len(found[0]):
-                yield batch_of(CANDIDATE, *found)
+            for found in align(rows[1], least, enough):
+                if len(found[0]):
+                    yield batch_of(ALIGNED, *found)
 
-    return dealt(matches, buckets).mapInArrow(read, CANDIDATE_SQL)
+    return dealt(matches, buckets).mapInArrow(read, ALIGNED_SQL)
 
 
 # --- verification ----------------------------------------------------------------------
@@ -274,20 +300,26 @@ PIECE = pa.schema(
     [("pair", pa.int64()), ("side", pa.int32()), ("doc_id", pa.int64()), ("lo", pa.int64()), ("data", pa.binary())]
 )
 VERIFIED = pa.schema(
-    [(n, pa.int64()) for n in ("a", "b", "start", "end", "other_start", "other_end")] + [("similarity", pa.float64())]
+    [(n, pa.int64()) for n in ("pair", "a", "b", "start", "end", "other_start", "other_end")]
+    + [("similarity", pa.float64())]
 )
 
 
-def write_requests(candidates: DataFrame, folder: str) -> DataFrame:
-    """Write which pieces of which documents are wanted, by document, for all tasks to map."""
-    pair = F.xxhash64("a", "b", "lo", "other_lo")
+def pieces_of(candidates: DataFrame) -> DataFrame:
+    """(doc, pair, side, lo, hi): the two pieces of every candidate."""
     sides = F.array(
         F.struct(F.col("a").alias("doc"), F.lit(0).alias("side"), F.col("lo").alias("lo"), F.col("hi").alias("hi")),
         F.struct(F.col("b").alias("doc"), F.lit(1).alias("side"), F.col("other_lo").alias("lo"), F.col("other_hi").alias("hi")),
     )
-    wanted = candidates.select(pair.alias("pair"), F.explode(sides).alias("s")).select(
-        F.pmod(F.xxhash64("s.doc"), F.lit(PARTS)).cast("int").alias("part"), "s.doc", "pair",
-        F.col("s.side").cast("long").alias("side"), "s.lo", "s.hi",
+    wanted = candidates.select(F.xxhash64("a", "b", "lo", "other_lo").alias("pair"), F.explode(sides).alias("s"))
+    return wanted.select("s.doc", "pair", "s.side", "s.lo", "s.hi")
+
+
+def write_requests(pieces: DataFrame, folder: str) -> DataFrame:
+    """Write which pieces (doc, pair, side, lo, hi) are wanted, by document, for all tasks to map."""
+    wanted = pieces.select(
+        F.pmod(F.xxhash64("doc"), F.lit(PARTS)).cast("int").alias("part"), "doc", "pair",
+        F.col("side").cast("long").alias("side"), "lo", "hi",
     )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,7 +431,7 @@ def verify_pieces(pieces: DataFrame, least: int, similarity: float) -> DataFrame
             for a, lo, x in sides[0]:
                 for b, other_lo, y in sides[1]:
                     for s, e, c, d, value in verify(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), least, similarity):
-                        out.append((a, b, lo + s, lo + e + WIDTH - 1, other_lo + c, other_lo + d + WIDTH - 1, value))
+                        out.append((at, a, b, lo + s, lo + e + WIDTH - 1, other_lo + c, other_lo + d + WIDTH - 1, value))
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -415,8 +447,131 @@ def verify_pieces(pieces: DataFrame, least: int, similarity: float) -> DataFrame
             yield batch_of(VERIFIED, *zip(*out))
 
     return pieces.repartition("pair").sortWithinPartitions("pair", "side").mapInArrow(
-        read, "a long, b long, start long, end long, other_start long, other_end long, similarity double"
+        read, "pair long, a long, b long, start long, end long, other_start long, other_end long, similarity double"
+    )
+
+
+# --- open keys -------------------------------------------------------------------------
+
+
+def open_windows(aligned: DataFrame, passages: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc, at, key) of all windows of the keys under which some window is not linked to the first.
+
+    A match is linked if a verified passage of its candidate covers it. A key of two windows
+    has nothing left to compare.
+    """
+    rows = aligned.where(f"kind <> {PAIR}").withColumn("pair", F.xxhash64("a", "b", "lo", "other_lo"))
+    linked = passages.select(F.col("pair").alias("p"), "start", "end")
+    apart = rows.where(f"kind = {WITH_LEAD}").join(
+        linked, (F.col("pair") == F.col("p")) & (F.col("at") >= F.col("start")) & (F.col("at") < F.col("end")), "left_anti"
+    )
+    keys = apart.select("key").unionByName(rows.where(f"kind = {NO_ROOM}").select("key")).distinct()
+    keys = scratch.save(keys, "open-keys")
+    sides = F.array(F.struct(F.col("a").alias("doc"), "at"), F.struct(F.col("b").alias("doc"), F.col("other").alias("at")))
+    found = rows.join(keys, "key", "left_semi").select("key", F.explode(sides).alias("s"))
+    return found.select("key", "s.doc", "s.at").distinct()
+
+
+def open_pieces(windows: DataFrame, least: int, block: int = BLOCK) -> DataFrame:
+    """(doc, pair, side, lo, hi): the surroundings of open windows; `pair` is a key, or a pair of its blocks."""
+    sizes = windows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("d"), F.max("doc").alias("e"))
+    sizes = sizes.where("n > 2 AND d < e").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("doc", "at"), F.col("blocks")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: (F.col("blocks") == 1) | (o != F.col("own")))
+    placed = windows.join(sizes, "key").withColumn("own", own).select("*", F.explode(others).alias("o"))
+    return placed.select(
+        "doc", F.xxhash64("key", F.least("own", "o"), F.greatest("own", "o")).alias("pair"), F.lit(0).alias("side"),
+        F.greatest(F.col("at") - least, F.lit(0).cast("long")).alias("lo"), (F.col("at") + least + 1).alias("hi"),
+    )
+
+
+def connect(docs: list[int], texts: list[np.ndarray], least: int, similarity: float) -> Iterator[tuple[int, int]]:
+    """Pairs of pieces to verify, such that whatever shares a passage is connected by them.
+
+    Equal pieces are one. A pair needs `similarity` * `least` common shingles, so a piece is out
+    that has fewer which any other has. The rest is searched through: a piece is compared with
+    all that nothing has reached yet.
+    """
+    same: dict[bytes, int] = {}
+    kept = []
+    for i, x in enumerate(texts):
+        j = same.setdefault(x.tobytes(), i)
+        if j == i:
+            kept.append(i)
+        elif docs[i] != docs[j]:
+            yield i, j
+    need = similarity * least
+    sets = [np.unique(texts[i]) for i in kept]
+    while sets:
+        values, count = np.unique(np.concatenate(sets), return_counts=True)
+        common = values[count > 1]
+        left = [s[np.isin(s, common)] for s in sets]
+        chosen = [k for k, s in enumerate(left) if len(s) >= need]
+        kept, done = [kept[k] for k in chosen], len(chosen) == len(sets)
+        sets = [left[k] for k in chosen]
+        if done:
+            break
+    if not sets:
+        return
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(flat, np.cumsum([len(s) for s in sets])[:-1])
+    unseen, rows, queue = np.ones(len(own), bool), np.arange(0), []
+    held = np.zeros(len(names), bool)
+    while unseen.any():
+        if not queue:
+            queue.append(int(unseen.argmax()))
+            unseen[queue[0]] = False
+        if not len(rows) or 2 * np.count_nonzero(unseen[rows]) < len(rows):
+            rows = np.flatnonzero(unseen)
+            if not len(rows):
+                return
+            words = np.concatenate([own[u] for u in rows])
+            sizes = np.array([len(own[u]) for u in rows])
+            starts = np.cumsum(sizes) - sizes
+        k = queue.pop()
+        held[own[k]] = True
+        shared = np.add.reduceat(held[words], starts, dtype=np.int64)
+        held[own[k]] = False
+        for u in rows[(shared >= need) & unseen[rows]].tolist():
+            if docs[kept[u]] != docs[kept[k]]:
+                yield kept[u], kept[k]
+            if any(True for _ in verify(texts[kept[u]], texts[kept[k]], least, similarity)):
+                unseen[u] = False
+                queue.append(u)
+
+
+def connect_pieces(pieces: DataFrame, least: int, similarity: float) -> DataFrame:
+    """Candidates among the pieces of each key; those of one passage are joined."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def settle():
+            texts = [np.frombuffer(data, "<u4") for _, _, data in held]
+            out = []
+            for i, j in connect([d for d, _, _ in held], texts, least, similarity):
+                (a, lo, _), (b, other, _) = sorted((held[i], held[j]))
+                out.append((a, b, max(0, lo - least), lo + 3 * least + 1, max(0, other - least), other + 3 * least + 1))
+                if len(out) >= 65536:
+                    yield batch_of(CANDIDATE, *zip(*out))
+                    out.clear()
+            if out:
+                yield batch_of(CANDIDATE, *zip(*out))
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["pair"] != at:
+                    yield from settle()
+                    at, held = row["pair"], []
+                held.append((row["doc_id"], row["lo"], row["data"]))
+        yield from settle()
+
+    found = pieces.repartition("pair").sortWithinPartitions("pair", "doc_id", "lo").mapInArrow(read, CANDIDATE_SQL)
+    near = F.floor((F.col("lo") - F.col("other_lo")) / least), F.floor(F.col("lo") / (4 * least))
+    joined = found.groupBy("a", "b", near[0].alias("shift"), near[1].alias("run")).agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("other_lo").alias("other_lo"), F.max("other_hi").alias("other_hi")
     )
+    return joined.select(*PLACES)
 
 
 def repeated_passages(
@@ -425,18 +580,32 @@ def repeated_passages(
     """(a, b, start, end, other_start, other_end, similarity): passages that two documents share.
 
     Places count words, ends exclusive. A document is paired with the first one of each key, so
-    copies are not expanded into all pairs.
+    copies are not expanded. Where one does not match the first, all windows of the key
+    are searched through for pairs that connect whatever matches.
     """
     least = max(1, min_words - WIDTH + 1)
     buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    matches = join_windows(find_windows(known, least, buckets), least, buckets)
-    candidates = scratch.save(find_candidates(matches, least, enough, buckets).distinct(), "candidates")
-    folder = scratch.path("requests")
-    scratch.save(write_requests(candidates, folder), "request-files")
-    found = scratch.save(verify_pieces(read_pieces(known, folder), least, similarity), "passages")
-    scratch.drop("requests", "request-files")
-    return found
+    first_open = HASHES - enough + 1
+    matches = join_windows(find_windows(known, least, buckets, first_open), least, buckets, first_open)
+    aligned = scratch.save(find_candidates(matches, least, enough, buckets), "aligned")
+
+    def read(pieces: DataFrame, name: str) -> DataFrame:
+        scratch.save(write_requests(pieces, scratch.path(name)), f"{name}-files")
+        return read_pieces(known, scratch.path(name))
+
+    pieces = read(pieces_of(aligned.where(f"kind = {PAIR}").select(*PLACES).distinct()), "requests")
+    found = scratch.save(verify_pieces(pieces, least, similarity), "passages")
+    scratch.drop("requests", "requests-files")
+    windows = scratch.save(open_windows(aligned, found, scratch), "open-windows")
+    scratch.drop("aligned", "open-keys")
+    pieces = read(open_pieces(windows, least), "open-requests")
+    candidates = scratch.save(connect_pieces(pieces, least, similarity), "open-candidates")
+    scratch.drop("open-requests", "open-requests-files", "open-windows")
+    pieces = read(pieces_of(candidates), "more-requests")
+    more = scratch.save(verify_pieces(pieces, least, similarity), "more-passages")
+    scratch.drop("more-requests", "more-requests-files", "open-candidates")
+    return found.unionByName(more).drop("pair")
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:

@@ -197,6 +197,47 @@ def test_passages_link_documents_that_share_one(spark, odd, none):
     assert passages.near_duplicates(none, Scratch(spark, "test-passages")).collect() == []
 
 
+def test_copies_are_linked_whatever_comes_first(spark):
+    """Exact copies behind a variant with one word in twenty changed, and behind their single lines."""
+    texts, groups = [], []
+    for k in range(30):
+        passage = prose(1000 + k, 50)
+        variant = [f"x{k}" if i % 20 == 10 else w for i, w in enumerate(passage)]
+        first = len(texts)
+        texts += [variant, passage, passage]
+        lines = prose(2000 + k, 60)
+        singles = [lines[i : i + 20] for i in (0, 20, 40)]
+        groups += [(first + 1, first + 2), (first + 6, first + 7)]
+        texts += [*singles, lines, lines]
+    rows = [(i, " ".join([*prose(5000 + i, 40), *t, *prose(9000 + i, 40)])) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = by_id(passages.near_duplicates(docs, Scratch(spark, "test-leads")))
+    assert [p for p in groups if found[p[0]]["class_id"] != found[p[1]]["class_id"]] == []
+    # Lines alone are shorter than a passage.
+    assert all(found[first + i]["n_links"] == 0 for first in range(0, len(rows), 8) for i in (3, 4, 5))
+
+
+def test_open_keys_connect_all_that_match():
+    rng = np.random.default_rng(3)
+    base = [rng.integers(0, 1 << 31, 93).astype("<u4") for _ in range(3)]
+    texts, docs = [], []
+    for i in range(60):
+        x = base[i % 3].copy()
+        x[rng.integers(0, 93, i % 9)] = rng.integers(0, 1 << 31, i % 9)
+        texts.append(x)
+        docs.append(i if i % 7 else 5)
+    similar = [
+        (i, j) for i in range(60) for j in range(i) if any(True for _ in passages.verify(texts[i], texts[j], 46, 0.8))
+    ]
+    pairs = list(passages.connect(docs, texts, 46, 0.8))
+    assert all(docs[i] != docs[j] for i, j in pairs) and len(pairs) < len(similar)
+
+    def joined(some):  # by document
+        return roots(set(docs), [(docs[i], docs[j]) for i, j in some])
+
+    assert joined(pairs) == joined(similar)
+
+
 # --- 4: simhash ------------------------------------------------------------------------
 
 
