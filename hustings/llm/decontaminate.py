@@ -5,7 +5,7 @@ items are partitioned by size, and a document is cut, for each size class of up
 shingles, into windows of 2u shingles that overlap by u: an item's passage always lies whole
 in one of them, and there its similarity has a lower bound. Windows and items meet where one
 of many min-hashes is equal; each meeting is verified by exact shingle containment in
-the whole document.
+the whole document. Items of few shingles are looked up by every one of them, which misses none.
 """
 
 from collections.abc import Iterator
@@ -20,7 +20,7 @@ from hustings.llm.shingles import shingle_hashes, slices, word_hashes
 
 WIDTH = 5
 THRESHOLD = 0.8
-SMALLEST = 16  # shingles in the smallest size class
+SMALLEST = 16  # shingles in the smallest size class; items up to half of it are looked up exactly
 # A passage that holds 0.8 of an item of half its class has a similarity of 0.19 or more with its
 # window; 64 single hashes then miss it once in 10^6 times, and a whole passage once in 10^8.
 HASHES = 64
@@ -42,8 +42,11 @@ class Items:
                 self.ids.append(i)
                 self.sets.append(np.unique(own))
                 self.lengths.append(n)
-        self.short = {n: self._index([k for k, m in enumerate(self.lengths) if m == n]) for n in range(1, width)}
-        whole = [k for k, m in enumerate(self.lengths) if m == width]
+        few = [len(s) <= SMALLEST // 2 for s in self.sets]
+        self.short = {
+            n: self._index([k for k, m in enumerate(self.lengths) if m == n and few[k]]) for n in range(1, width + 1)
+        }
+        whole = [k for k, m in enumerate(self.lengths) if m == width and not few[k]]
         self.classes: dict[int, list] = {}
         for k in whole:
             u = SMALLEST
@@ -61,7 +64,8 @@ class Items:
     def _index(self, members: list[int]):
         if not members:
             return None
-        return lookup(np.array([self.sets[k][0] for k in members], np.uint64), np.array(members))
+        sets = [self.sets[k] for k in members]
+        return lookup(np.concatenate(sets), np.repeat(members, [len(s) for s in sets]))
 
     def find(self, texts: list[str | None]) -> Iterator[tuple[int, int, int]]:
         """(text, item, shared shingles) of all pairs of texts and items with a candidate."""

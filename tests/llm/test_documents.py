@@ -148,6 +148,15 @@ def test_contamination_is_exact_containment(spark, odd, none):
     assert decontaminate.contamination(odd, table.limit(0)).collect() == []
 
 
+def test_short_items_are_found_at_every_place():
+    texts = [" ".join(prose(300 + k, 400)) for k in range(4)]
+    for n in (5, 6, 9, 12, 13):
+        places = [(k, at) for k in range(4) for at in range(0, 400 - n, 3)]
+        items = decontaminate.Items(list(range(len(places))), [" ".join(texts[k].split()[at : at + n]) for k, at in places])
+        whole = {(text, item) for text, item, shared in items.find(texts) if shared == n - 4}
+        assert {(k, i) for i, (k, _) in enumerate(places)} <= whole
+
+
 def test_shingle_hashes_agree_with_words():
     texts = ["a b c d e f", None, "", "A b C d e", "a b c d", "x  y\tz"]
     words, offsets = word_hashes(texts)
