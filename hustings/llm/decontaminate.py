@@ -27,11 +27,17 @@ HASHES = 64
 
 
 class Items:
-    """A block of items: shingle sets, size classes and min-hashes."""
+    """A block of items: shingle sets, size classes and min-hashes.
+
+    Every text is searched for by itself; what counts are the united shingles of all texts of its
+    id: `ids`, `sizes` and `parts` (shingles by their words) are by item, the rest by text.
+    """
 
     def __init__(self, ids: list, texts: list[str], width: int = WIDTH):
         self.width = width
-        self.ids: list[int] = []
+        place: dict[int, int] = {}
+        united: list[dict[int, list]] = []
+        self.item: list[int] = []  # of each text
         self.sets: list[np.ndarray] = []
         self.lengths: list[int] = []  # words in a shingle: `width`, or all words of a shorter item
         words, offsets = word_hashes(texts)
@@ -39,9 +45,16 @@ class Items:
             n = min(width, b - a)
             if n:
                 own, _ = shingle_hashes(words[a:b], np.array([0, b - a]), n)
-                self.ids.append(i)
+                k = place.setdefault(i, len(place))
+                if k == len(united):
+                    united.append({})
+                self.item.append(k)
                 self.sets.append(np.unique(own))
                 self.lengths.append(n)
+                united[k].setdefault(n, []).append(self.sets[-1])
+        self.ids: list[int] = list(place)
+        self.parts = [{n: np.unique(np.concatenate(sets)) for n, sets in u.items()} for u in united]
+        self.sizes = [sum(map(len, p.values())) for p in self.parts]
         few = [len(s) <= SMALLEST // 2 for s in self.sets]
         self.short = {
             n: self._index([k for k, m in enumerate(self.lengths) if m == n and few[k]]) for n in range(1, width + 1)
@@ -89,13 +102,17 @@ class Items:
                     pairs.append((text[at], item))
         if not pairs:
             return
-        found = np.unique(np.stack([np.concatenate(c) for c in zip(*pairs)], 1), axis=0)
+        text, own = (np.concatenate(c) for c in zip(*pairs))
+        found = np.unique(np.stack([text, np.array(self.item, np.int64)[own]], 1), axis=0)
         sets: dict[tuple[int, int], np.ndarray] = {}
         for text, item in found.tolist():
-            n = self.lengths[item]
-            if (text, n) not in sets:
-                sets = {(text, n): np.unique(_one(words, offsets, text, n))}
-            yield text, item, int(np.isin(self.sets[item], sets[text, n]).sum())
+            shared = 0
+            for n, own in self.parts[item].items():
+                if (text, n) not in sets:
+                    sets = {k: v for k, v in sets.items() if k[0] == text}
+                    sets[text, n] = np.unique(_one(words, offsets, text, n))
+                shared += int(np.isin(own, sets[text, n]).sum())
+            yield text, item, shared
 
 
 def _one(words, offsets, text, n):
@@ -159,7 +176,8 @@ def contamination(
     Containment is the share of the item's distinct shingles of `width` words (A-Z
     lower-cased) that the document has anywhere. An item of fewer words is one shingle of all
     its words; an item without words is in no document. Items of equal words appear once, as
-    their smallest item_id; `item_classes` has the others. Rows with null texts or a null
+    their smallest item_id; `item_classes` has the others. An item_id with different texts has
+    the shingles of all those it is the smallest id of. Rows with null texts or a null
     item_id match nothing. A repeated doc_id gives rows for each of its texts.
 
     The items are the query set. They go to the tasks in blocks of about `block_words` words;
@@ -191,21 +209,22 @@ def _holds(items: Items, threshold: float):
             found = np.zeros(len(column), bool)
             for first, texts in slices(column):
                 for text, item, shared in items.find(texts):
-                    found[first + text] |= shared >= threshold * len(items.sets[item])
+                    found[first + text] |= shared >= threshold * items.sizes[item]
             yield pa.array(found)
 
     return F.arrow_udf(holds, "boolean")
 
 
 def _blocks(items: DataFrame, width: int, block_words: int) -> Iterator[Items]:
-    """The distinct items in blocks that fit a task."""
-    classes = item_classes(items, width)
-    own = items.join(classes.where("item_id = class_id").select("item_id").distinct(), "item_id", "left_semi")
-    own = own.where("text IS NOT NULL").groupBy("item_id").agg(F.min("text").alias("text"))
+    """The distinct texts, each for its smallest id, in blocks that fit a task; an id is in one block."""
+    form = F.array_join(F.regexp_extract_all(ascii_lower("text"), F.lit(f"({WORDS})")), " ")
+    own = items.where("item_id IS NOT NULL AND text IS NOT NULL").groupBy(form.alias("form")).agg(
+        F.min("item_id").alias("item_id"), F.min("text").alias("text")
+    )
     total = own.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-total // (6 * block_words)))
     for k in range(blocks):
-        rows = own.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id").collect()
+        rows = own.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         yield Items([r["item_id"] for r in rows], [r["text"] for r in rows], width)
 
 
@@ -216,7 +235,7 @@ def _search(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
             for first, texts in slices(batch.column("text")):
                 rows = []
                 for text, item, shared in items.find(texts):
-                    size = len(items.sets[item])
+                    size = items.sizes[item]
                     if shared >= threshold * size:
                         rows.append((ids[first + text], items.ids[item], shared, size))
                 if rows:

@@ -157,6 +157,29 @@ def test_short_items_are_found_at_every_place():
         assert {(k, i) for i, (k, _) in enumerate(places)} <= whole
 
 
+def test_an_item_of_two_texts_has_the_shingles_of_both(spark):
+    x, y, z = (" ".join(prose(400 + k, n)) for k, n in enumerate((40, 30, 3)))
+    items = [(1, x), (1, y), (2, y), (3, x), (3, z), (4, f"{y} more"), (4, y)]
+    texts = [f"{x} and {y}", x, y, f"a {z} b", f"{x} {z}", f"{y} more"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    forms = {}
+    for i, text in items:
+        forms[text] = min(i, forms.get(text, i))
+    grams = lambda w, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    expected = set()
+    for d, text in enumerate(texts):
+        for i in set(forms.values()):
+            own = {g for t, j in forms.items() if i == j for g in grams(t.split(), min(5, len(t.split())))}
+            shared = sum(g in grams(text.split(), len(g)) for g in own)
+            if shared >= 0.8 * len(own):
+                expected.add((d, i, shared, len(own)))
+    assert {1, 3, 4} == {e[1] for e in expected}
+    for block in (1_000_000, 5):
+        rows = decontaminate.contamination(docs, table, block_words=block).drop("containment").collect()
+        assert {tuple(r) for r in rows} == expected and len(rows) == len(expected)
+
+
 def test_shingle_hashes_agree_with_words():
     texts = ["a b c d e f", None, "", "A b C d e", "a b c d", "x  y\tz"]
     words, offsets = word_hashes(texts)
