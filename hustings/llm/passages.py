@@ -53,7 +53,8 @@ def compact_windows(tokens: np.ndarray, bounds: np.ndarray, least: int, f: int)
     if n < least:
         return hashes[:0], *(np.zeros(0, np.int64) for _ in range(3))
     # The place inside the number makes the first of equal tokens the smaller one.
-    low = (hashes & ~PLACE) | np.arange(n, dtype=np.uint64)
+    mask = max(PLACE, np.uint64((1 << n.bit_length()) - 1))  # a longer text takes more bits
+    low = (hashes & ~mask) | np.arange(n, dtype=np.uint64)
     size = 1
     best = low
     while size * 2 <= least:
@@ -65,7 +66,7 @@ def compact_windows(tokens: np.ndarray, bounds: np.ndarray, least: int, f: int)
     inside = np.zeros(n + 1, np.int64)
     np.add.at(inside, starts, 1)
     np.add.at(inside, ends, -1)
-    place = (best[np.cumsum(inside)[: len(best)] > 0] & PLACE).astype(np.int64)
+    place = (best[np.cumsum(inside)[: len(best)] > 0] & mask).astype(np.int64)
     place = place[np.concatenate([[True], place[1:] != place[:-1]])] if len(place) else place
     left, right = _extents(low[place].tolist(), place.tolist(), bounds, least)
     return hashes[place], place, left, right

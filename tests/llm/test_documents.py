@@ -212,6 +212,14 @@ def test_compact_windows_are_the_wide_nodes_of_the_tree():
     assert list(zip(place.tolist(), left.tolist(), right.tolist())) == expected
 
 
+def test_windows_of_texts_longer_than_the_places(monkeypatch):
+    tokens = np.random.default_rng(5).integers(0, 1 << 63, 400).astype(np.uint64)
+    bounds = np.array([0, 400])
+    expected = [x.tolist() for x in passages.compact_windows(tokens, bounds, 20, 1)]
+    monkeypatch.setattr(passages, "PLACE", np.uint64(63))
+    assert [x.tolist() for x in passages.compact_windows(tokens, bounds, 20, 1)] == expected
+
+
 def test_passages_link_documents_that_share_one(spark, odd, none):
     edited = SHARED.split()
     edited[30] = "changed"
