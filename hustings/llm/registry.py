@@ -27,5 +27,5 @@ def load() -> None:
 
 MODULES = (
     "passages", "token_files", "decontaminate", "simhash", "quantise", "language_model", "archives", "toxicity", "mixing", "secrets",
-    "pieces",
+    "pieces", "aligned_tokens", "bounded_clusters",
 )
