@@ -46,7 +46,7 @@ def vote_values(
 
 
 def _products(
-    values: DataFrame, members: DataFrame, divisions: DataFrame, every_pair: bool = True
+    values: DataFrame, members: DataFrame, divisions: DataFrame, every_pair: bool
 ) -> DataFrame:
     return self_products(
         values.select(F.col("member_id").alias("id"), F.col("division_id").alias("key"), "v"),
@@ -61,13 +61,13 @@ def alignment(
     members: DataFrame,
     divisions: DataFrame,
     empty: str = "null",
-    strangers: bool = True,
+    strangers: bool = False,
 ) -> DataFrame:
     """Agreement of every pair m1 <= m2: (m1, m2, agreed, shared, pct).
 
-    `members` and `divisions` are the rows and columns of the matrix. Without a shared
-    division `pct` is null, or 0 with `empty='zero'`; `strangers=False` leaves such
-    pairs out, which keeps the result sparse in a wide body.
+    `members` and `divisions` are the rows and columns of the matrix. Pairs without a shared
+    division are left out, which keeps the result sparse in a wide body; with `strangers` they
+    are rows as well, and their `pct` is null, or 0 with `empty='zero'`.
     """
     pairs = _products(values, members, divisions, strangers)
     agreed = ((F.col("shared") + F.col("dot")) / 2).cast("long")
@@ -106,9 +106,12 @@ def aligned_pairs(
     )
 
 
-def cosine(values: DataFrame, members: DataFrame, divisions: DataFrame) -> DataFrame:
-    """Cosine similarity of every pair m1 <= m2, absences and abstentions being 0."""
-    pairs = _products(values, members, divisions)
+def cosine(values: DataFrame, members: DataFrame, divisions: DataFrame, strangers: bool = False) -> DataFrame:
+    """Cosine similarity of pairs m1 <= m2, absences and abstentions being 0.
+
+    Pairs without a shared division have the similarity 0 and are rows with `strangers` only.
+    """
+    pairs = _products(values, members, divisions, strangers)
     norms = values.where("v <> 0").groupBy("member_id").agg(F.count("*").alias("n"))
     return (
         pairs.join(norms.select(F.col("member_id").alias("a"), F.col("n").alias("na")), "a", "left")

@@ -515,7 +515,7 @@ def vote_matrix(t: Views):
     "votes divisions members",
 )
 def alignment(t: Views):
-    return al.alignment(*matrix(t))
+    return al.alignment(*matrix(t), strangers=True)
 
 
 @query(
@@ -541,7 +541,7 @@ def aligned_pairs(t: Views):
     "votes divisions members",
 )
 def cosine(t: Views):
-    return al.cosine(*matrix(t)).withColumn("similarity", F.round("similarity", 9))
+    return al.cosine(*matrix(t), strangers=True).withColumn("similarity", F.round("similarity", 9))
 
 
 @query(

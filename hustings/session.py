@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(cpus: str = "8", app: str = "hustings", memory: str = "8g") -> SparkSession:
@@ -24,19 +24,25 @@ def local_session(cpus: str = "8", app: str = "hustings", memory: str = "8g") ->
     return spark
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: the cluster's checkpoint folder.
 
-    Where the session names none, a local run gets a folder of its own; on a cluster that
-    would be a different disk for every executor, so there it is an error.
+    Where the session names none, a local run gets a folder of its own, one for each
+    application; on a cluster that would be a different disk for every executor, so there
+    it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         master = spark.conf.get("spark.master", "")
         if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="hustings-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.conf.get("spark.app.id", "")
+        if app not in _local_folders:
+            _local_folders[app] = tempfile.mkdtemp(prefix="hustings-")
+        folder = _local_folders[app]
     return folder.rstrip("/")
 
 
@@ -61,6 +67,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+SIZED = 500_000  # rows of a few numbers each, some 20 MB, that may be broadcast
+
+
+def sized(df: DataFrame, name: str, limit: int = SIZED) -> DataFrame:
+    """A staged table, to be broadcast if it has no more than `limit` rows, else to be joined by a shuffle."""
+    staged = stage(df, name)
+    return F.broadcast(staged) if staged.count() <= limit else staged
+
+
 def release(spark: SparkSession) -> int:
     """Remove all staged tables; call it when no result that reads them is needed any more."""
     conf = spark._jsc.hadoopConfiguration()

@@ -145,6 +145,54 @@ def test_products_do_not_depend_on_blocks(spark, block, chunk):
         assert r["shared"] == np.sum((x[r["a"]] != 0) & (x[r["b"]] != 0))
 
 
+def test_rows_go_only_to_blocks_that_hold_their_key(spark):
+    # Eight bodies of 40 members and 6 divisions each, without a common division; one has a member more often.
+    cells = [(100 * body + m, 1000 * body + d, 1 if (m + d) % 3 else -1) for body in range(8) for m in range(40) for d in range(6)]
+    values = spark.createDataFrame(cells, "id long, key long, v int").repartition(5)
+    ids = values.select("id").distinct()
+    rows = blocks.routed_pairs(values, ids, F.lit(48), 10, 7, False).collect()
+    held = {}
+    for r in rows:
+        held.setdefault(r["b"], set()).add(r["id"] // 100)
+    assert len(held) > 8
+    # A row is copied to the blocks of its own body (and of what is dealt with it), not to all.
+    per_body = {body: sum(body in bodies for bodies in held.values()) for body in range(8)}
+    assert len(rows) == sum(per_body[i // 100] for i, *_ in cells) < len(cells) * len(held) / 3
+    found = {(r["a"], r["b"]): (r["shared"], r["dot"]) for r in blocks.self_products(values, ids, F.lit(48), 10, 7, False).collect()}
+    vector = {}
+    for i, k, v in cells:
+        vector.setdefault(i, {})[k] = v
+    want = {}
+    for a, x in vector.items():
+        for b, y in vector.items():
+            if a <= b and x.keys() & y.keys():
+                want[a, b] = (len(x.keys() & y.keys()), sum(x[k] * y[k] for k in x.keys() & y.keys()))
+    assert found == want
+
+
+def test_routes_beyond_the_broadcast_size(spark, monkeypatch):
+    values, x = matrix(spark)
+    rows = values.select(F.col("member_id").alias("id"), F.col("division_id").alias("key"), "v")
+    ids = spark.range(len(x)).select("id")
+    few = {tuple(r) for r in blocks.self_products(rows, ids, F.lit(40), 5, 7, False).collect()}
+    monkeypatch.setattr(blocks, "sized", lambda df, name: session.stage(df, name))
+    assert {tuple(r) for r in blocks.self_products(rows, ids, F.lit(40), 5, 7, False).collect()} == few
+
+
+def test_only_pairs_of_one_cell_meet(spark):
+    left = spark.createDataFrame([(u, k, f"c{u % 3}") for u in range(30) for k in (1, 2)], "id long, key long, cell string")
+    right = spark.createDataFrame([(100 + m, 2, f"c{m % 4}") for m in range(12)], "id long, key long, cell string")
+    met = []
+    for named in (False, True):
+        rows = blocks.routed_sides(
+            left, right, left.select("id", "cell").distinct(), right.select("id", "cell").distinct(), F.lit(2), 4, 2, 8, named
+        ).collect()
+        assert {r["cell"] for r in rows} == {"c0", "c1", "c2"} and {r["key"] for r in rows} == {2}
+        met.append({(a["id"], b["id"]) for a in rows for b in rows if (a["side"], b["side"]) == (0, 1) and a["cell"] == b["cell"]
+                    and (a["lb"], a["rb"]) == (b["lb"], b["rb"])})
+    assert met[0] == met[1] == {(u, 100 + m) for u in range(30) for m in range(12) if u % 3 == m % 4}
+
+
 @pytest.mark.parametrize("density", [0.01, 0.9])
 def test_sums_of_sparse_and_filled_blocks(density):
     rng = np.random.default_rng(1)
@@ -173,13 +221,14 @@ def people(spark, n):
 def test_alignment_of_strangers(spark):
     values = spark.createDataFrame([(0, 0, 1), (1, 1, -1), (2, 0, 0)], "member_id long, division_id long, v int")
     members, divisions = people(spark, 3), spark.range(2).select(F.col("id").alias("division_id"))
-    null = {(r["m1"], r["m2"]): r["pct"] for r in alignment.alignment(values, members, divisions).collect()}
+    null = {(r["m1"], r["m2"]): r["pct"] for r in alignment.alignment(values, members, divisions, strangers=True).collect()}
     zero = {
-        (r["m1"], r["m2"]): r["pct"] for r in alignment.alignment(values, members, divisions, "zero").collect()
+        (r["m1"], r["m2"]): r["pct"] for r in alignment.alignment(values, members, divisions, "zero", True).collect()
     }
     assert null == {(0, 0): 1.0, (1, 1): 1.0, (2, 2): None, (0, 1): None, (0, 2): None, (1, 2): None}
     assert all(zero[k] == (v or 0.0) for k, v in null.items())
-    similar = {(r["m1"], r["m2"]): r["similarity"] for r in alignment.cosine(values, members, divisions).collect()}
+    similar = {(r["m1"], r["m2"]): r["similarity"] for r in alignment.cosine(values, members, divisions, True).collect()}
+    assert {(r["m1"], r["m2"]) for r in alignment.alignment(values, members, divisions).collect()} == {(0, 0), (1, 1)}
     assert similar[(0, 0)] == 1.0 and similar[(2, 2)] == 0.0 and similar[(0, 1)] == 0.0
 
 
@@ -340,6 +389,21 @@ def test_candidate_scores_by_hand_and_by_blocks(spark, monkeypatch):
     ]
 
 
+def test_area_cells_are_the_area_filter(spark):
+    cands = spark.createDataFrame(
+        [(1, "Connétable", "St John"), (2, "Deputy", "St John, St Lawrence and Trinity"), (3, "Senator", None), (4, "Deputy", "St Clement"),
+         (5, None, "Elsewhere"), (6, "Deputy", None), (7, "Senator", "St John")],
+        "candidate_id long, role string, constituency string",
+    )
+    for areas in (None, {}, {"Elsewhere": ["St John"], "X": []}):
+        cells = cands.select("candidate_id", F.explode(scoring._cells(areas)).alias("cell")).collect()
+        assert len(cells) == len(set(cells))
+        for area in (*(vocab.AREA_CONSTITUENCIES if areas is None else areas), "Elsewhere", "St John", "Nowhere"):
+            want = {r["candidate_id"] for r in scoring.area_filter(cands, area, areas).collect()}
+            assert {r["candidate_id"] for r in cells if r["cell"] == f"={area}"} == want
+        assert {r["candidate_id"] for r in cells if r["cell"] == ""} == set(range(1, 8))
+
+
 def test_area_expansion(spark):
     cands = spark.createDataFrame(
         [(1, "Connétable", "St John"), (2, "Deputy", "St John, St Lawrence and Trinity"), (3, "Senator", None), (4, "Deputy", "St Clement")],
