@@ -1,12 +1,13 @@
 """Linking candidates to members by name."""
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 import pandas as pd
 from difflib import SequenceMatcher
 
 from hustings import vocab
 from hustings.functions.text import canonical_name, initial_key
+from hustings.session import sized, stage
 
 
 def _canonical(people: DataFrame, *columns: str) -> DataFrame:
@@ -85,6 +86,136 @@ def _segments(name: Column, count: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), (count - 1).cast("int")), piece)
 
 
+CELL = 2_000  # rows of one key that meet at once, on each side
+
+
+def split_join(left: DataFrame, right: DataFrame, on: list[str], cell: int = CELL) -> DataFrame:
+    """An inner join whose frequent keys are dealt to a grid of tasks.
+
+    A key with more than `cell` rows on a side has these cut into parts by a hash of the whole
+    row; every part of one side meets every part of the other one, so no task holds more than
+    about `cell` rows of a key from either side. Both sides should be staged.
+    """
+    counts = left.groupBy(on).agg(F.count("*").alias("_l")).join(right.groupBy(on).agg(F.count("*").alias("_r")), on)
+    heavy = sized(counts.where((F.col("_l") > cell) | (F.col("_r") > cell)), "heavy-keys")
+
+    def parts(count: str) -> Column:
+        return F.coalesce(F.ceil(F.col(count) / cell), F.lit(1)).cast("long")
+
+    def dealt(rows: DataFrame, own: str, own_count: str, other: str, other_count: str) -> DataFrame:
+        return rows.join(heavy, on, "left").select(
+            *rows.columns,
+            F.pmod(F.xxhash64(*rows.columns), parts(own_count)).alias(own),
+            F.explode(F.sequence(F.lit(0).cast("long"), parts(other_count) - 1)).alias(other),
+        )
+
+    joined = dealt(left, "_i", "_l", "_j", "_r").join(dealt(right, "_j", "_r", "_i", "_l"), [*on, "_i", "_j"])
+    return joined.drop("_i", "_j")
+
+
+def _letters(name: Column) -> Column:
+    """The letters of a name, the n-th of a kind apart from the others: e1, e2, …"""
+    letters = F.split(name, "")
+    return F.transform(
+        letters, lambda c, i: F.concat(c, F.size(F.filter(F.slice(letters, 1, i + 1), lambda d: d == c)).cast("string"))
+    )
+
+
+def _edits(threshold: float, size_a: Column, size_b: Column) -> Column:
+    """The edits that names of these lengths may be apart."""
+    return F.floor((1.0 - threshold) * (size_a + size_b) + 1e-9).cast("int")
+
+
+def _pieces(threshold: float, size: Column) -> Column:
+    """How many pieces a name is cut into: one more than the edits of any partner."""
+    reach = (2.0 - threshold) / threshold
+    return _edits(threshold, size, F.floor(size * reach + 1e-9)) + 1
+
+
+def _by_pieces(probes: DataFrame, targets: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs (a, b) by a shared piece, for targets that are long enough to be cut.
+
+    A name cut into one piece more than it needs has two that are unchanged in any partner, so
+    the most frequent one of all names' pieces may go.
+    """
+    reach = (2.0 - threshold) / threshold
+    size, need = F.length("b"), _pieces(threshold, F.length("b"))
+    cut = F.when(size >= 2 * (need + 1), need + 1).otherwise(need)
+    pieces = targets.select("b", size.alias("lb"), need.alias("need"), F.explode(_segments(F.col("b"), cut)).alias("s"))
+    pieces = stage(pieces.select("b", "lb", "need", "s.no", "s.part"), "pieces")
+    often = pieces.groupBy("lb", "no", "part").agg(F.count("*").alias("often"))
+    rare = Window.partitionBy("b").orderBy("often", "no")
+    index = pieces.join(often, ["lb", "no", "part"]).withColumn("place", F.row_number().over(rare)).where("place <= need")
+    index = stage(index.select("lb", "no", "part", "b"), "piece-index")
+
+    size_a = F.length("a")
+    lengths = F.sequence(F.greatest(F.ceil(size_a / reach - 1e-9).cast("int"), F.lit(1)), F.floor(size_a * reach + 1e-9).cast("int"))
+    spread = probes.select("a", F.explode(lengths).alias("lb"))
+    need = _pieces(threshold, F.col("lb"))
+    spread = spread.withColumn("n", F.when(F.col("lb") >= 2 * (need + 1), need + 1).otherwise(need)).where(need <= F.col("lb"))
+    spread = spread.withColumn("shift", _edits(threshold, F.length("a"), F.col("lb")))
+    cuts = spread.select("a", "lb", "n", "shift", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("no"))
+    begin = F.floor(F.col("no") * F.col("lb") / F.col("n")).cast("int")
+    width = F.floor((F.col("no") + 1) * F.col("lb") / F.col("n")).cast("int") - begin
+    first = F.greatest(F.col("begin") - F.col("shift"), F.lit(0))
+    last = F.least(F.col("begin") + F.col("shift"), F.length("a") - F.col("width"))
+    sliced = (
+        cuts.withColumn("begin", begin)
+        .withColumn("width", width)
+        .where(last >= first)
+        .select("a", "lb", "no", "width", F.explode(F.sequence(first, last)).alias("at"))
+        .select("lb", "no", F.substr(F.col("a"), F.col("at") + 1, F.col("width")).alias("part"), "a")
+        .distinct()
+    )
+    return split_join(stage(sliced, "slices"), index, ["lb", "no", "part"]).select("a", "b")
+
+
+def _by_letters(probes: DataFrame, targets: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs (a, b) by a shared rare letter: of two names that share m letters, each has one
+    of the shared ones among all but its m - 1 most frequent letters."""
+    reach = (2.0 - threshold) / threshold
+
+    def letters(names: DataFrame, name: str) -> DataFrame:
+        return names.select(name, F.explode(_letters(F.col(name))).alias("letter"))
+
+    mine, theirs = stage(letters(probes, "a"), "letters"), stage(letters(targets, "b"), "letters")
+    often = sized(
+        mine.select("letter").unionByName(theirs.select("letter")).groupBy("letter").agg(F.count("*").alias("often")), "letter-counts"
+    )
+
+    def prefix(rows: DataFrame, name: str) -> DataFrame:
+        size = F.length(name)
+        least = F.ceil(threshold * (size + F.greatest(F.ceil(size / reach - 1e-9), F.lit(1))) / 2 - 1e-9)
+        place = F.row_number().over(Window.partitionBy(name).orderBy("often", "letter"))
+        placed = rows.join(often, "letter").withColumn("place", place)
+        return stage(placed.where(F.col("place") <= size - least + 1).select("letter", name), "letter-index")
+
+    return split_join(prefix(mine, "a"), prefix(theirs, "b"), ["letter"]).select("a", "b")
+
+
+def near_pairs(probes: DataFrame, targets: DataFrame, threshold: float = vocab.NEAR_MISS_RATIO) -> DataFrame:
+    """All pairs (a, b) of the distinct names of two sides that may have a ratio of `threshold`.
+
+    The ratio 2·M/(|a|+|b|) counts M characters in common order. Names at or above the
+    threshold are at most (1-t)(|a|+|b|) edits apart and share t(|a|+|b|)/2 letters at least;
+    exactly the pairs within both bounds are returned. They are found by an unchanged
+    piece of the target's name, shifted by no more than the edits. Where a threshold is so low
+    that a target would need more pieces than it has letters, a shared rare letter takes
+    their place.
+    """
+    a = probes.select("a").where("a <> ''").distinct()
+    b = targets.select("b").where("b <> ''").distinct()
+    whole = _pieces(threshold, F.length("b")) <= F.length("b")
+    found = _by_pieces(a, b.where(whole), threshold)
+    # Pieces never outnumber letters unless (1-t)·2/t reaches 1.
+    if (1.0 - threshold) * 2.0 / threshold + 1e-6 >= 1.0:
+        found = found.unionByName(_by_letters(a, b.where(~whole), threshold))
+    total = F.length("a") + F.length("b")
+    shared = F.size(F.array_intersect(_letters(F.col("a")), _letters(F.col("b"))))
+    near = found.where(F.levenshtein("a", "b") <= (1.0 - threshold) * total + 1e-9)
+    return near.distinct().where(shared >= threshold * total / 2 - 1e-9)
+
+
 def near_misses(
     candidates: DataFrame,
     members: DataFrame,
@@ -93,89 +224,16 @@ def near_misses(
 ) -> DataFrame:
     """For each unlinked candidate the most similar member name, if similar enough.
 
-    The ratio 2·M/(|a|+|b|) counts M characters in common order, so names at or above
-    the threshold are at most k = (1-t)(|a|+|b|) insertions and deletions apart.
-    Cutting the member's name into more than k pieces leaves at least one piece
-    unchanged in the candidate's name, shifted by at most k. Joining on the piece finds
-    every such pair (for thresholds low enough to need pieces shorter than one
-    character, the join is on the length alone). Names are made distinct first, so
-    copies are compared once.
+    Names are made distinct first, so copies are compared once; the ratio is worked out for
+    the pairs of `near_pairs` alone.
     """
-    slack = 1.0 - threshold
-    reach = (2.0 - threshold) / threshold
-    eps = 1e-9
     seats = _canonical(members, "member_id").where("canon <> ''")
-    targets = seats.groupBy("canon").agg(
-        F.max("member_id").alias("member_id"), F.max_by("name", "member_id").alias("member_name")
+    targets = stage(
+        seats.groupBy("canon").agg(F.max("member_id").alias("member_id"), F.max_by("name", "member_id").alias("member_name")), "seats"
     )
     open_ = _canonical(candidates, "candidate_id", "slug").join(links, "candidate_id", "left_anti")
-    probes = open_.select(F.col("canon").alias("a")).where("a <> ''").distinct()
-
-    size_b = F.length("b")
-    pieces = (F.floor(slack * (size_b + F.floor(size_b * reach + eps)) + eps) + 1).cast("int")
-    pieces = F.when(pieces <= size_b, pieces).otherwise(F.lit(0))
-    index = targets.select(F.col("canon").alias("b"), size_b.alias("lb"), pieces.alias("n"))
-    whole = F.array(F.struct(F.lit(0).alias("no"), F.lit(0).alias("at"), F.lit("").alias("part")))
-    index = index.select(
-        "b",
-        "lb",
-        F.explode(F.when(F.col("n") > 0, _segments(F.col("b"), F.col("n"))).otherwise(whole)).alias("s"),
-    ).select("b", "lb", "s.no", "s.part")
-
-    size_a = F.length("a")
-    spread = probes.select(
-        "a",
-        F.explode(
-            F.sequence(
-                F.greatest(F.ceil(size_a / reach - eps).cast("int"), F.lit(1)),
-                F.floor(size_a * reach + eps).cast("int"),
-            )
-        ).alias("lb"),
-    )
-    n = (F.floor(slack * (F.col("lb") + F.floor(F.col("lb") * reach + eps)) + eps) + 1).cast("int")
-    shift = F.floor(slack * (F.length("a") + F.col("lb")) + eps).cast("int")
-    spread = spread.withColumn("n", F.when(n <= F.col("lb"), n).otherwise(F.lit(0))).withColumn(
-        "shift", shift
-    )
-    cuts = spread.select(
-        "a",
-        "lb",
-        "n",
-        "shift",
-        F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0)))).alias("no"),
-    )
-    begin = F.floor(F.col("no") * F.col("lb") / F.col("n")).cast("int")
-    width = F.floor((F.col("no") + 1) * F.col("lb") / F.col("n")).cast("int") - begin
-    sliced = (
-        cuts.withColumn("begin", F.when(F.col("n") > 0, begin).otherwise(0))
-        .withColumn("width", F.when(F.col("n") > 0, width).otherwise(0))
-        .select(
-            "a",
-            "lb",
-            "no",
-            "width",
-            F.explode(
-                F.when(
-                    F.col("n") > 0,
-                    F.sequence(
-                        F.greatest(F.col("begin") - F.col("shift"), F.lit(0)),
-                        F.greatest(
-                            F.least(F.col("begin") + F.col("shift"), F.length("a") - F.col("width")),
-                            F.greatest(F.col("begin") - F.col("shift"), F.lit(0)),
-                        ),
-                    ),
-                ).otherwise(F.array(F.lit(0)))
-            ).alias("at"),
-        )
-        .select("a", "lb", "no", F.substr(F.col("a"), F.col("at") + 1, F.col("width")).alias("part"))
-        .distinct()
-    )
-    limit = slack * (F.length("a") + F.length("b")) + eps
     pairs = (
-        sliced.join(index, ["lb", "no", "part"])
-        .where(F.levenshtein("a", "b") <= limit)
-        .select("a", "b")
-        .distinct()
+        near_pairs(open_.select(F.col("canon").alias("a")), targets.select(F.col("canon").alias("b")), threshold)
         .withColumn("ratio", _ratio(F.col("a"), F.col("b")))
         .where(F.col("ratio") >= threshold)
     )

@@ -70,6 +70,25 @@ def near_misses(t: Views):
     return linkage.near_misses(t.person_candidates, t.person_members, links(t))
 
 
+@query(
+    "near_miss_pairs",
+    f""", {LINKS} SELECT a, b FROM (SELECT DISTINCT canon AS a FROM cand WHERE canon <> '' AND doc_id NOT IN
+          (SELECT candidate_id FROM links WHERE member_id IS NOT NULL)) x
+        JOIN (SELECT DISTINCT canon AS b FROM seats WHERE canon <> '') y
+          ON levenshtein(a, b) <= CAST(0.15 AS DOUBLE) * (length(a) + length(b)) + 1e-9
+        WHERE list_sum([least(length(a) - length(replace(a, c, '')), length(b) - length(replace(b, c, '')))
+            FOR c IN list_distinct(string_split(a, ''))]) >= CAST(0.85 AS DOUBLE) * (length(a) + length(b)) / 2 - 1e-9""",
+    "people",
+)
+def near_miss_pairs(t: Views):
+    """The pairs of names that `near_misses` works the ratio out for."""
+    own = t.person_candidates.join(links(t), "candidate_id", "left_anti")
+    return linkage.near_pairs(
+        own.select(text.canonical_name(F.col("name")).alias("a")),
+        t.person_members.select(text.canonical_name(F.col("name")).alias("b")),
+    )
+
+
 @query(
     "link_collisions",
     """, keys AS (SELECT key, count(*) FILTER (kind = 'candidate') AS n_candidates,

@@ -451,6 +451,40 @@ def test_quiz_selection_by_hand(spark):
     assert {r["summary"] for r in found} == {"first"}
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_a_frequent_piece_is_split(spark, monkeypatch):
+    rows = [(1 if i % 3 else i, i) for i in range(900)]
+    left = spark.createDataFrame(rows, "k long, x long")
+    right = spark.createDataFrame([(k, 10_000 + x) for k, x in rows if x % 2], "k long, y long")
+    met = []
+    monkeypatch.setattr(linkage, "sized", lambda df, name: met.append(df.collect()) or session.sized(df, name))
+    joined = linkage.split_join(left, right, ["k"], 50)
+    assert {r["k"] for r in met[0]} == {1}
+    assert {tuple(r) for r in joined.collect()} == {(k, x, 10_000 + y) for k, x in rows for j, y in rows if y % 2 and j == k}
+    assert joined.count() == sum(1 for k, x in rows for j, y in rows if y % 2 and j == k)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Nested" not in plan and "Cartesian" not in plan
+    # A third of all names share their longest piece.
+    names = [f"{'constantinople' if i % 3 == 0 else chr(97 + i % 26) * 7} {i:04d}" for i in range(240)]
+    monkeypatch.setattr(linkage, "CELL", 10)
+    monkeypatch.setattr(linkage.split_join, "__defaults__", (10,))
+    a = spark.createDataFrame([(n,) for n in names[:120]], "a string")
+    b = spark.createDataFrame([(n,) for n in names[60:]], "b string")
+    found = {tuple(r) for r in linkage.near_pairs(a, b, 0.85).collect()}
+    assert found == {
+        (x, y) for x in names[:120] for y in names[60:]
+        if edits(x, y) <= 0.15 * (len(x) + len(y)) + 1e-9 and sum(min(x.count(c), y.count(c)) for c in set(x)) >= 0.425 * (len(x) + len(y)) - 1e-9
+    }
+
+
 def test_near_misses_by_brute_force(spark):
     rng = random.Random(8)
     first, last = ["rob", "robert", "ann", "anne", "zoe", "li"], ["ward", "warde", "wardle", "lee", "le feuvre", "o"]
@@ -465,6 +499,20 @@ def test_near_misses_by_brute_force(spark):
     def canon(n):
         return " ".join(n.split())
 
+    def letters(x, y):
+        return sum(min(x.count(c), y.count(c)) for c in set(x))
+
+    for threshold in (0.85, 0.6, 0.45, 0.2):
+        bound = (1 - threshold) + 1e-9
+        pairs = {
+            (a, b) for a in map(canon, cands) for b in map(canon, members)
+            if a and b and edits(a, b) <= bound * (len(a) + len(b)) and letters(a, b) >= threshold * (len(a) + len(b)) / 2 - 1e-9
+        }
+        found = linkage.near_pairs(
+            c.select(F.trim(F.regexp_replace("name", " +", " ")).alias("a")), m.select(F.trim(F.regexp_replace("name", " +", " ")).alias("b")),
+            threshold,
+        ).collect()
+        assert len(found) == len(pairs) and {tuple(r) for r in found} == pairs
     for threshold in (0.85, 0.75, 0.6):
         expected = {}
         for i, n in enumerate(cands):
