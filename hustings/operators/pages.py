@@ -142,6 +142,22 @@ def merged_links(links: DataFrame, key: str, cap: int = vocab.MAX_LINKS) -> Data
     return once.withColumn("place", place).where(F.col("place") <= cap)
 
 
+def linked_pages(pages: DataFrame, links: DataFrame, key: str = "page_id") -> DataFrame:
+    """The stored pages behind the links of each index: (key, page, linked_id, url, html), `page` the link's place.
+
+    `pages` (page_id, url, html) and `links` (key, position, url), as `internal_links` returns
+    them. Addresses are compared without their fragment. Of pages stored under one address the smallest
+    page_id counts; of links of one index to one page the first. Addresses and ids are joined
+    first, so only linked pages carry their html through a shuffle.
+    """
+    address = F.regexp_replace("url", "#.*$", "").alias("address")
+    stored = pages.groupBy(address).agg(F.min("page_id").alias("linked_id"))
+    found = links.select(key, "position", address).join(stored, "address")
+    first = found.groupBy(key, "linked_id").agg(F.min("position").alias("page"))
+    own = pages.select(F.col("page_id").alias("linked_id"), "url", "html").join(stored, "linked_id", "left_semi")
+    return first.join(own, "linked_id").select(key, "page", "linked_id", "url", "html")
+
+
 def aggregate_pages(
     pages: DataFrame, links: DataFrame, key: str, cap: int = vocab.MAX_LINKS, limit: int = vocab.MAX_DOCUMENT_CHARS
 ) -> tuple[DataFrame, DataFrame]:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from hustings.operators import annotate, exports, reports, scoring
+from hustings.operators.ids import dense_ids
 from hustings.plans.fixtures import PART_TYPES, Views
 from hustings.plans.registry import query
 from hustings.session import new_path
@@ -213,12 +214,11 @@ def question_coverage(t: Views):
     "questions",
 )
 def read_questions(t: Views):
-    """The questions written as a question set and read again; the order of the list counts."""
-    item = F.struct(F.col("question_id").alias("id"), "topic", "statement")
-    listed = t.questions.agg(F.array_sort(F.collect_list(item)).alias("questions"))
+    """The questions written as a question set, a line each with its place, and read again."""
+    listed = dense_ids(t.questions.select("question_id", "topic", "statement"), ["question_id"], "sort_order", start=0)
     path = new_path(t.spark, "question-set")
-    listed.write.json(path)
-    return files.read_questions(t.spark, path)
+    files.write_question_lines(listed, path)
+    return files.read_question_lines(t.spark, path)
 
 
 @query(

@@ -430,6 +430,43 @@ def subpage_links(t: Views):
     return sub_pages(t)[1]
 
 
+RUN = 8
+
+
+def page_runs(t: Views):
+    """Stored pages as sub-pages of indexes of eight, with their own text and the links of their html."""
+    run = F.floor(F.col("page_id") / RUN).alias("index_id")
+    stored = t.table("pages")
+    sub = stored.select(run, F.col("page_id").alias("page"), "url", web.strip_tags(F.col("html"), scripts=True).alias("text"))
+    links = pages.internal_links(stored).select(run, F.col("page_id").alias("page"), "position", "url", "text")
+    return pages.aggregate_pages(sub, links, "index_id")
+
+
+PAGE_RUNS = rf"""{LINKS}, sub AS (SELECT page_id // {RUN} AS index_id, page_id AS page, url, text,
+    coalesce(nullif(regexp_extract(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '([^/]*?)(;[^/]*)?/*$', 1), ''), url) AS heading
+    FROM (SELECT page_id, url, {_PAGE} AS text FROM pages) WHERE text <> ''),
+  firsts_of_run AS (SELECT index_id, l.url, min((page, l.position, l.text)) AS first
+    FROM links l JOIN sub ON page = page_id GROUP BY ALL),
+  kept AS (SELECT index_id, url, first[3] AS text, first[1] AS page,
+    row_number() OVER (PARTITION BY index_id ORDER BY first[1], first[2]) AS place FROM firsts_of_run QUALIFY place <= 40)"""
+
+
+@query(
+    "page_run_document",
+    f"""WITH {PAGE_RUNS} SELECT index_id, count(*) AS parts,
+          string_agg('## ' || heading || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY page)[1:200000] AS document
+        FROM sub LEFT JOIN (SELECT index_id, page AS stop_page FROM kept WHERE place = 40) USING (index_id)
+        WHERE stop_page IS NULL OR page <= stop_page GROUP BY index_id""",
+)
+def page_run_document(t: Views):
+    return page_runs(t)[0]
+
+
+@query("page_run_links", f"WITH {PAGE_RUNS} SELECT index_id, CAST(place AS INTEGER) AS place, url, text FROM kept")
+def page_run_links(t: Views):
+    return page_runs(t)[1]
+
+
 # --- quotes and replies ----------------------------------------------------------
 
 # A piece of each document, from anywhere in its text.

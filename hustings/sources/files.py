@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from hustings.functions.text import trim_spaces
 from hustings.operators.ingest import RAW_COLUMNS
+from hustings.sources.records import csv_records
 
 RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in RAW_COLUMNS])
 
@@ -13,14 +14,19 @@ RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in RAW_COLUMNS
 def scan_votes(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """The roll-call file as text columns and `row_no`, its order.
 
-    A file with line breaks inside quotes cannot be split and is one task; convert a
-    large one once with `write_tables`, or pass `multi_line=False` when it has none.
-    An empty cell is an empty text, never null.
+    Line breaks may stand inside quotes: records are found by the quotes of each byte range, so a
+    large file is many tasks, at the price of counting quotes first. `multi_line=False` saves that
+    pass where there are no such breaks. An empty cell is an empty text, never null.
     """
+    if multi_line:
+        records = csv_records(spark, path)
+        # The header is the first record of each file.
+        cells = F.from_csv("record", RAW_SCHEMA.toDDL(), {"escape": '"', "multiLine": "true"}).alias("c")
+        rows = records.where("row_no.block <> 0 OR row_no.pos <> 0").select(cells, "row_no").select("c.*", "row_no")
+        return rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in RAW_COLUMNS], "row_no")
     rows = (
         spark.read.schema(RAW_SCHEMA)
         .option("header", True)
-        .option("multiLine", multi_line)
         .option("escape", '"')
         .option("encoding", "UTF-8")
         .csv(path)
@@ -71,6 +77,21 @@ def read_questions(spark: SparkSession, path: str, default_year: int = 2026) ->
     )
 
 
+QUESTION_LINE = "id string, topic string, statement string, explainer string, election_year int, sort_order int"
+
+
+def write_question_lines(questions: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Questions (question_id, topic, statement[, explainer, election_year], sort_order) as JSON lines."""
+    questions.withColumnRenamed("question_id", "id").write.mode(mode).json(path)
+
+
+def read_question_lines(spark: SparkSession, path: str, default_year: int = 2026) -> DataFrame:
+    """A question set as JSON lines, each a question with its place in the list; any number of files and tasks."""
+    lines = spark.read.schema(QUESTION_LINE).json(path)
+    year = F.coalesce("election_year", F.lit(default_year)).alias("election_year")
+    return lines.select(F.col("id").alias("question_id"), "topic", "statement", "explainer", year, "sort_order")
+
+
 def check_questions(questions: DataFrame, topics: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid, unknown): questions whose topic is in the vocabulary, and the others."""
     known = topics.select("topic").distinct()

@@ -628,6 +628,21 @@ def test_links_are_capped_in_page_order(spark):
     assert (found[1]["text"], found[1]["url"]) == ("n0 &", "https://www.s.org/p0")
 
 
+def test_stored_pages_behind_links(spark):
+    rows = [
+        (1, "https://s.org/", '<a href="/b#x">b</a><a href="/a">a</a><a href="/none">n</a><a href="/b">again</a>'),
+        (2, "https://s.org/a", "A"), (3, "https://s.org/b#top", "B"), (4, "https://s.org/b", "later"), (5, "https://o.org/a", "other"),
+    ]
+    stored = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = pages.linked_pages(stored, pages.internal_links(stored)).orderBy("page").collect()
+    assert [tuple(r) for r in found] == [(1, 1, 3, "https://s.org/b#top", "B"), (1, 2, 2, "https://s.org/a", "A")]
+    document, _ = pages.aggregate_pages(
+        pages.linked_pages(stored, pages.internal_links(stored)).withColumnRenamed("html", "text"),
+        spark.createDataFrame([], "page_id long, page int, position int, url string, text string"), "page_id",
+    )
+    assert document.collect()[0]["document"] == "## b\n\nB\n\n## a\n\nA"
+
+
 @pytest.mark.parametrize("span", [4096, 3])
 def test_long_documents_are_cut(spark, span):
     parts = spark.range(200).select(
