@@ -86,6 +86,7 @@ def _segments(name: Column, count: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), (count - 1).cast("int")), piece)
 
 
+SPARE = 4  # letters of a piece from which a spare piece pays
 CELL = 2_000  # rows of one key that meet at once, on each side
 
 
@@ -96,8 +97,9 @@ def split_join(left: DataFrame, right: DataFrame, on: list[str], cell: int = CEL
     row; every part of one side meets every part of the other one, so no task holds more than
     about `cell` rows of a key from either side. Both sides should be staged.
     """
-    counts = left.groupBy(on).agg(F.count("*").alias("_l")).join(right.groupBy(on).agg(F.count("*").alias("_r")), on)
-    heavy = sized(counts.where((F.col("_l") > cell) | (F.col("_r") > cell)), "heavy-keys")
+    both = left.select(*on, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(right.select(*on, F.lit(0).alias("_l"), F.lit(1).alias("_r")))
+    counts = both.groupBy(on).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+    heavy = sized(counts.where(f"_l > 0 AND _r > 0 AND greatest(_l, _r) > {cell}"), "heavy-keys")
 
     def parts(count: str) -> Column:
         return F.coalesce(F.ceil(F.col(count) / cell), F.lit(1)).cast("long")
@@ -109,7 +111,11 @@ def split_join(left: DataFrame, right: DataFrame, on: list[str], cell: int = CEL
             F.explode(F.sequence(F.lit(0).cast("long"), parts(other_count) - 1)).alias(other),
         )
 
-    joined = dealt(left, "_i", "_l", "_j", "_r").join(dealt(right, "_j", "_r", "_i", "_l"), [*on, "_i", "_j"])
+    # The rows are few against the pairs they make, so their size must not decide on the number of tasks.
+    at, n = [*on, "_i", "_j"], int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = dealt(left, "_i", "_l", "_j", "_r").repartition(n, *at).join(
+        dealt(right, "_j", "_r", "_i", "_l").repartition(n, *at).hint("shuffle_hash"), at
+    )
     return joined.drop("_i", "_j")
 
 
@@ -136,23 +142,25 @@ def _by_pieces(probes: DataFrame, targets: DataFrame, threshold: float) -> DataF
     """Candidate pairs (a, b) by a shared piece, for targets that are long enough to be cut.
 
     A name cut into one piece more than it needs has two that are unchanged in any partner, so
-    the most frequent one of all names' pieces may go.
+    the most frequent of its pieces may go. That is done where pieces stay long enough to be rare.
     """
     reach = (2.0 - threshold) / threshold
     size, need = F.length("b"), _pieces(threshold, F.length("b"))
-    cut = F.when(size >= 2 * (need + 1), need + 1).otherwise(need)
+    cut = F.when(size >= SPARE * (need + 1), need + 1).otherwise(need)
     pieces = targets.select("b", size.alias("lb"), need.alias("need"), F.explode(_segments(F.col("b"), cut)).alias("s"))
-    pieces = stage(pieces.select("b", "lb", "need", "s.no", "s.part"), "pieces")
-    often = pieces.groupBy("lb", "no", "part").agg(F.count("*").alias("often"))
-    rare = Window.partitionBy("b").orderBy("often", "no")
-    index = pieces.join(often, ["lb", "no", "part"]).withColumn("place", F.row_number().over(rare)).where("place <= need")
+    index = pieces.select("b", "lb", "need", "s.no", "s.part")
+    if SPARE * (1.0 - threshold) * 2.0 / threshold < 1.0:  # else no name is long enough for a spare piece
+        index = stage(index, "pieces")
+        often = index.groupBy("lb", "no", "part").agg(F.count("*").alias("often"))
+        rare = Window.partitionBy("b").orderBy("often", "no")
+        index = index.join(often, ["lb", "no", "part"]).withColumn("place", F.row_number().over(rare)).where("place <= need")
     index = stage(index.select("lb", "no", "part", "b"), "piece-index")
 
     size_a = F.length("a")
     lengths = F.sequence(F.greatest(F.ceil(size_a / reach - 1e-9).cast("int"), F.lit(1)), F.floor(size_a * reach + 1e-9).cast("int"))
     spread = probes.select("a", F.explode(lengths).alias("lb"))
     need = _pieces(threshold, F.col("lb"))
-    spread = spread.withColumn("n", F.when(F.col("lb") >= 2 * (need + 1), need + 1).otherwise(need)).where(need <= F.col("lb"))
+    spread = spread.withColumn("n", F.when(F.col("lb") >= SPARE * (need + 1), need + 1).otherwise(need)).where(need <= F.col("lb"))
     spread = spread.withColumn("shift", _edits(threshold, F.length("a"), F.col("lb")))
     cuts = spread.select("a", "lb", "n", "shift", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("no"))
     begin = F.floor(F.col("no") * F.col("lb") / F.col("n")).cast("int")
@@ -231,7 +239,7 @@ def near_misses(
     targets = stage(
         seats.groupBy("canon").agg(F.max("member_id").alias("member_id"), F.max_by("name", "member_id").alias("member_name")), "seats"
     )
-    open_ = _canonical(candidates, "candidate_id", "slug").join(links, "candidate_id", "left_anti")
+    open_ = stage(_canonical(candidates, "candidate_id", "slug").join(links, "candidate_id", "left_anti"), "unlinked")
     pairs = (
         near_pairs(open_.select(F.col("canon").alias("a")), targets.select(F.col("canon").alias("b")), threshold)
         .withColumn("ratio", _ratio(F.col("a"), F.col("b")))

@@ -691,7 +691,7 @@ TOPIC_CELLS = f"""SELECT member_id, division_id, CASE vote WHEN 'Pour' THEN 1 EL
 )
 def pca_members(t: Views):
     values, active, _ = matrix(t)
-    return rounded(spectrum.positions(values, active, 3)[0], "pc1", "pc2", "pc3")
+    return rounded(spectrum.positions(values, active, 3).rows, "pc1", "pc2", "pc3")
 
 
 def topic_points(t: Views):
@@ -699,7 +699,7 @@ def topic_points(t: Views):
     active = t.members.where("is_currently_active")
     of_topic = t.stored_divisions.join(t.props.select("proposition_id", "topic_primary"), "proposition_id")
     values = al.vote_values(t.stored_votes, of_topic, t.members, SINCE, topics=PART_TYPES[:2])
-    placed, _ = spectrum.positions(values.where("v <> 0"), active, 2, "gram")
+    placed = spectrum.positions(values.where("v <> 0"), active, 2, "gram").rows
     return placed.withColumnsRenamed({"pc1": "x", "pc2": "y"})
 
 
