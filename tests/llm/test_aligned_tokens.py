@@ -70,6 +70,21 @@ def brute(texts):
     return rows
 
 
+def test_ranks_give_the_librarys_ids(tmp_path):
+    align = at.Aligner(A, B)
+    assert align.fast is not None
+    pick = random.Random(11)
+    letters = "abcdefghinorst" * 3 + "ABQZ0129'-.,éüß中文 \n"
+    for _ in range(6000):
+        text = "".join(pick.choice(letters) for _ in range(pick.randint(0, 40)))
+        assert align.encode_a(text) == TOKENIZER.encode(text, add_special_tokens=False).ids, repr(text)
+    with open(A, encoding="utf-8") as source:
+        says = json.load(source)
+    says["model"]["merges"][300], says["model"]["merges"][900] = says["model"]["merges"][900], says["model"]["merges"][300]
+    (tmp_path / "other.json").write_text(json.dumps(says), encoding="utf-8")
+    assert at.Aligner(str(tmp_path / "other.json"), B).fast is None
+
+
 def odd_texts():
     pick = random.Random(3)
     fixed = [
