@@ -99,12 +99,16 @@ MATCH = np.dtype(
 COMPARED, NO_ROOM, SAME = 0, 2, 3  # how a window stands to the first one of its key; SAME: in the same document
 
 
-def star(windows: np.ndarray, least: int, first_open: int = OPEN) -> tuple[np.ndarray, np.ndarray]:
+def star(
+    windows: np.ndarray, least: int, first_open: int = OPEN, around: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Matches of every window with the first one of its key, and those first ones.
 
     `windows` is sorted by key and document. The first stands for all in later joins. What
     cannot be compared with it is a match too, marked by `how`: it is compared with the others
-    when the key is opened. Only keys of the first `first_open` functions are, and kept.
+    when the key is opened. Only keys of the first `first_open` functions are, and kept. `around`
+    says what surrounds a window: of a document's windows of one key and equal surroundings, the
+    first one stands for all when the key is opened.
     """
     starts, ends = runs(windows["key"])
     first = np.repeat(starts, ends - starts)
@@ -112,7 +116,15 @@ def star(windows: np.ndarray, least: int, first_open: int = OPEN) -> tuple[np.nd
     room = np.minimum(windows["left"], lead["left"]).astype(int) + np.minimum(windows["right"], lead["right"]) + 1
     how = np.where(windows["doc"] == lead["doc"], SAME, np.where(room >= SIMILARITY * least, COMPARED, NO_ROOM))
     opens = windows["f"] < first_open
-    own = (how == COMPARED) | (opens & (np.arange(len(windows)) != first))
+    opens &= np.arange(len(windows)) != first
+    if around is not None:
+        order = np.lexsort((around, windows["doc"], windows["key"]))  # stable, so the first place comes first
+        again = np.ones(len(order), bool)
+        again[:1] = False
+        for values in (windows["key"], windows["doc"], around):
+            again[1:] &= values[order[1:]] == values[order[:-1]]
+        opens[order[again]] = False
+    own = (how == COMPARED) | opens
     found = np.empty(int(own.sum()), MATCH)
     for name, values in (("a", windows["doc"]), ("at", windows["at"]), ("f", windows["f"]), ("how", how)):
         found[name] = values[own]
@@ -161,6 +173,15 @@ def pair_key(found: np.ndarray) -> np.ndarray:
     return mix(found["a"].astype(np.uint64)) + found["b"].astype(np.uint64)
 
 
+def surroundings(tokens: np.ndarray, bounds: np.ndarray, place: np.ndarray, least: int) -> np.ndarray:
+    """A number for the tokens up to `least` before and behind each place; equal if they are."""
+    total = np.zeros(len(tokens) + 1, np.uint64)
+    np.cumsum(mix(tokens.astype(np.uint64)), out=total[1:])
+    text = np.searchsorted(bounds, place, "right") - 1
+    lo, hi = np.maximum(place - least, bounds[text]), np.minimum(place + least + 1, bounds[text + 1])
+    return mix(total[hi] - total[lo] + (place - lo).astype(np.uint64))
+
+
 def find_windows(docs: DataFrame, least: int, buckets: int, first_open: int = OPEN) -> DataFrame:
     """Blocks of windows (kind 0, by key) and of matches (kind 1, by pair) of `docs` (doc_id, text).
 
@@ -170,12 +191,15 @@ def find_windows(docs: DataFrame, least: int, buckets: int, first_open: int = OP
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        near: list[np.ndarray] = []
         size = 0
 
         def flush():
-            rows = np.concatenate(held)
+            rows, around = np.concatenate(held), np.concatenate(near)
             held.clear()
-            found, first = star(rows[np.lexsort((rows["at"], rows["doc"], rows["key"]))], least, first_open)
+            near.clear()
+            order = np.lexsort((rows["at"], rows["doc"], rows["key"]))
+            found, first = star(rows[order], least, first_open, around[order])
             yield from blobs(first, first["key"], buckets, 0)
             if len(found):
                 yield from blobs(found, pair_key(found), buckets, 1)
@@ -191,6 +215,7 @@ def find_windows(docs: DataFrame, least: int, buckets: int, first_open: int = OP
                     rows["key"], rows["doc"], rows["at"] = keys, ids[begin + text], place - bounds[text]
                     rows["left"], rows["right"], rows["f"] = left, right, f
                     held.append(rows)
+                    near.append(surroundings(tokens, bounds, place, least))
                     size += len(rows)
                 if size >= FLUSH:
                     yield from flush()
@@ -456,21 +481,24 @@ def verify_pieces(pieces: DataFrame, least: int, similarity: float) -> DataFrame
 
 
 def open_windows(aligned: DataFrame, passages: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc, at, key) of all windows of the keys under which some window is not linked to the first.
+    """(doc, at, key) of the windows that are not linked to the first of their key, and of those first ones.
 
-    A match is linked if a verified passage of its candidate covers it. A key of two windows
-    has nothing left to compare.
+    A match is linked if a verified passage of its candidate covers it; the first window stands
+    for what is linked to it. The other windows of its document come along where a window of another
+    document is left, and where tasks linked windows before they were joined, each has a first one.
     """
     rows = aligned.where(f"kind <> {PAIR}").withColumn("pair", F.xxhash64("a", "b", "lo", "other_lo"))
     linked = passages.select(F.col("pair").alias("p"), "start", "end")
     apart = rows.where(f"kind = {WITH_LEAD}").join(
         linked, (F.col("pair") == F.col("p")) & (F.col("at") >= F.col("start")) & (F.col("at") < F.col("end")), "left_anti"
     )
-    keys = apart.select("key").unionByName(rows.where(f"kind = {NO_ROOM}").select("key")).distinct()
-    keys = scratch.save(keys, "open-keys")
-    sides = F.array(F.struct(F.col("a").alias("doc"), "at"), F.struct(F.col("b").alias("doc"), F.col("other").alias("at")))
-    found = rows.join(keys, "key", "left_semi").select("key", F.explode(sides).alias("s"))
-    return found.select("key", "s.doc", "s.at").distinct()
+    names = ("key", "kind", "a", "b", "at", "other")
+    apart = scratch.save(apart.select(*names).unionByName(rows.where(f"kind = {NO_ROOM}").select(*names)), "apart")
+    keys = scratch.save(apart.select("key").distinct(), "open-keys")
+    beside = rows.where(f"kind = {SAME}").select(*names).join(keys, "key", "left_semi")
+    first = rows.join(keys, "key", "left_semi").select("key", F.col("b").alias("doc"), F.col("other").alias("at")).distinct()
+    left = apart.unionByName(beside).select("key", F.col("a").alias("doc"), "at")
+    return left.unionByName(first).distinct()
 
 
 def open_pieces(windows: DataFrame, least: int, block: int = BLOCK) -> DataFrame:
@@ -599,7 +627,7 @@ def repeated_passages(
     found = scratch.save(verify_pieces(pieces, least, similarity), "passages")
     scratch.drop("requests", "requests-files")
     windows = scratch.save(open_windows(aligned, found, scratch), "open-windows")
-    scratch.drop("aligned", "open-keys")
+    scratch.drop("aligned", "apart", "open-keys")
     pieces = read(open_pieces(windows, least), "open-requests")
     candidates = scratch.save(connect_pieces(pieces, least, similarity), "open-candidates")
     scratch.drop("open-requests", "open-requests-files", "open-windows")
