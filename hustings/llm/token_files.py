@@ -151,13 +151,22 @@ class ShardReader:
 PLAIN = re.compile("([a-zß-öø-ÿ]*)([!-&(-/:-@[-`{-~]*)")
 
 
+#: Texts whose ids must be those of their words, or the tokenizer gets whole texts: case, digits,
+#: runs of white space of each kind at the beginning, inside and at the end, marks apart from words.
+SPACED = (
+    "Two Words", " leading and  double  spaces ", "line\nbreaks\r\nand\ttabs\x0band\x0cfeeds\n\n", "MIXED Case CamelCase Ünïcode ÀÉ",
+    "12 345 6,789 a1 1a", "it's 'quoted' ( apart ) . . . -- !", "x y  z   x", "naïve café 東京 и т.д. 🙂 ok", "a\n b \n\n  c",
+)
+
+
 class Encoder:
-    """The tokenizer's ids of whole texts, word by word.
+    """The tokenizer's ids of whole texts, word by word where the tokenizer allows it.
 
-    The tokenizer never joins anything across white space, so a text's ids are those of its
+    A tokenizer that drops white space and joins nothing across it gives a text the ids of its
     words in order, and a repeated word needs no second look. Words of Latin letters with
     ASCII marks behind them fall into two pieces, which go straight to the tokenizer's
-    model; all other words go through the whole tokenizer.
+    model if it is one that lower-cases; all other words go through the whole tokenizer. A
+    tokenizer is asked for both; one that differs on any probe gets whole texts.
     """
 
     def __init__(self, path: str, memo: int = MEMO):
@@ -168,9 +177,26 @@ class Encoder:
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.letters = self._byte_letters()
+        self.by_word = self._drops_spaces()
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [found.ids for found in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _drops_spaces(self) -> bool:
+        """Whether texts have the ids of their words, as this class would look them up."""
+        if any(re.search(r"\s", t.content) or t.lstrip or t.rstrip for t in self.tokenizer.get_added_tokens_decoder().values()):
+            return False
+        for text, whole in zip(SPACED, self._whole(list(SPACED))):
+            words = text.encode("utf-8").split()
+            self._learn(set(words))
+            if b"".join(self.words[w] for w in words) != np.array(whole, self.kind).tobytes():
+                self.words.clear()
+                self.pieces.clear()
+                return False
+        return True
 
     def _byte_letters(self) -> dict[int, str] | None:
-        """How the pre-tokenizer writes each plain character; None if it does more than that."""
+        """How the pre-tokenizer writes each plain character; None if it does more than that, or keeps case."""
         plain = [chr(c) for c in range(0x21, 0x100) if PLAIN.fullmatch(chr(c))]
         found = {}
         for c in plain:
@@ -178,9 +204,9 @@ class Encoder:
             if len(pieces) != 1:
                 return None
             found[ord(c)] = pieces[0][0]
-        probe = ["naïvetés", "über,", "abc.)]", "x"]
+        probe = ["naïvetés", "über,", "abc.)]", "x", "Words", "UPPER!", "iPhone", "ÀÉÎ"]
         for word in probe:
-            first, second = PLAIN.fullmatch(word).groups()
+            first, second = PLAIN.fullmatch(word.lower()).groups()
             parts = [p.translate(found) for p in (first, second) if p]
             ids = [t.id for p in parts for t in self.tokenizer.model.tokenize(p)]
             if ids != self.tokenizer.encode(word, add_special_tokens=False).ids:
@@ -216,6 +242,11 @@ class Encoder:
             self.words.clear()
             self.pieces.clear()
         end = np.array([end_id], self.kind).tobytes()
+        if not self.by_word:
+            whole = self._whole([t.encode("utf-8", "replace").decode("utf-8") if t else "" for t in texts])
+            for found in whole:
+                yield np.frombuffer(np.array(found, self.kind).tobytes() + end, self.kind)
+            return
         get = self.words.get
         # Bytes are split at ASCII white space alone: other spaces are left to the tokenizer.
         split = [t.encode("utf-8", "replace").split() if t else [] for t in texts]

@@ -1,5 +1,6 @@
 """Operators over documents against brute force, and on the odd rows a corpus holds."""
 
+import json
 import math
 import re
 import zlib
@@ -96,6 +97,22 @@ def test_token_files_hold_the_ids_of_the_library(spark, odd, none):
     assert token_files.token_files(none, PATH).collect() == []
 
 
+def test_any_tokenizer_gets_its_own_ids(tmp_path):
+    """Word by word where white space is dropped and case is, whole texts otherwise."""
+    cased = json.loads(open(PATH, encoding="utf-8").read())
+    cased["normalizer"] = None
+    (tmp_path / "cased.json").write_text(json.dumps(cased), encoding="utf-8")
+    rng = np.random.default_rng(5)
+    parts = ["The", "the", "iPhone", "ÀÉ", "x1", "12", "it's", "...", "(a)", " ", "  ", "\n", "\t", "\r\n", "\u00a0", "東京", "🙂", "<|endoftext|>"]
+    texts = ["", None, " Mixed Case\n\nand  spaces ", *("".join(rng.choice(parts, 30)) for _ in range(400))]
+    paths = [PATH, public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "cased.json")]
+    for path in paths:
+        tokenizer, encode = Tokenizer.from_file(path), token_files.Encoder(path)
+        found = [ids.tolist() for ids in encode.encode(texts, 2)]
+        assert found == [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts], path
+    assert [token_files.Encoder(p).by_word for p in paths[:2]] == [True, False]
+
+
 def test_a_shard_gives_any_document(spark, odd):
     scratch = Scratch(spark, "test-tokens")
     shards = scratch.save(token_files.write_shards(odd.coalesce(1), scratch.path("files"), PATH, block=100), "s")
