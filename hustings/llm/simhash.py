@@ -7,6 +7,10 @@ The 32 coordinates are dealt to `distance + 4` groups. Two points within range d
 most `distance` groups and so share the grid cell of some four groups: every point is
 entered in the cell of each choice of four groups, cells are joined by an equi-key, and a
 pair in a cell has to pass the Manhattan bound and then the exact distance.
+
+`near_copies` decides by exact shingle similarity and has the fingerprints as filter. Texts at
+similarity 0.8 are some 10 bits apart and up to `WIDE`, too far for a grid over 64 bits, so its
+cells are pairs of min-hashes of the same shingles.
 """
 
 from collections.abc import Iterator
@@ -19,12 +23,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hustings.llm.common import PAIR, Scratch, batch_of, components, keeper, mix, runs, table, union_rows, words_of
 from hustings.llm.registry import query
+from hustings.llm.shingles import STEP, shingle_hashes, slices, word_hashes
+from hustings.session import SIZED
 
 SEED = 42
 LOW = np.uint64(0x5555555555555555)
 TOGETHER = 4  # groups that make up a cell
 POINTS = 10_000  # fingerprints that a task enters in cells
 SMALL = 24  # cells up to this size are compared as shifted columns
+WIDE = 20  # bits between texts at similarity 0.8: 10 expected, deviation 3
+BANDS = 6  # cells of a text; two texts at similarity 0.8 share none of them in 2 of 1,000 cases
+BLOCK = 8192  # fingerprints of a cell that one task compares
+HELD = 1 << 22  # shingles of a cell that one task holds
 
 
 # --- fingerprints ----------------------------------------------------------------------
@@ -211,6 +221,202 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, distance: int = 4, width:
     return marked.join(by_point, "fp")
 
 
+# --- near copies -----------------------------------------------------------------------
+
+SALTS = mix(np.arange(1, 2 * BANDS + 1, dtype=np.uint64))
+MARKED = pa.schema(
+    [("doc_id", pa.int64()), ("mark", pa.int64()), ("content", pa.int64()), ("fp", pa.int64()),
+     ("size", pa.int64()), ("cells", pa.list_(pa.int64()))]
+)
+NEAR = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("size", pa.int64())])
+
+
+def shingle_sets(texts: list[str | None], width: int = 5) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text; fewer words are one shingle, none are an empty set."""
+    words, offsets = word_hashes(texts)
+    hashes, bounds = shingle_hashes(words, offsets, width)
+    sets = []
+    for a, b, c, d in zip(offsets[:-1].tolist(), offsets[1:].tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+        if 0 < b - a < width:
+            sets.append(shingle_hashes(words[a:b], np.array([0, b - a]), b - a)[0])
+        else:
+            sets.append(np.unique(hashes[c:d]))
+    return sets
+
+
+def shared_cells(shingles: np.ndarray) -> list[int]:
+    """A key for each pair of min-hashes."""
+    if not len(shingles):
+        return []
+    least = np.array([mix(shingles ^ salt).min() for salt in SALTS], np.uint64)
+    return mix(least[::2] * STEP + least[1::2] + np.arange(BANDS, dtype=np.uint64)).astype(np.int64).tolist()
+
+
+def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have at least this share of their union in common."""
+    if len(x) > len(y):
+        x, y = y, x
+    place = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    common = int((y[place] == x).sum())
+    return common >= similarity * (len(x) + len(y) - common) - 1e-9
+
+
+def feasible(fps: np.ndarray, sizes: np.ndarray, i: int, similarity: float, distance: int) -> np.ndarray:
+    """Which rows the i-th one may be similar to, by fingerprint and by number of shingles."""
+    near = np.bitwise_count(fps ^ fps[i]) <= distance
+    return near & (np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i]) - 1e-9)
+
+
+def similar_links(
+    ids: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], similarity: float, distance: int
+) -> Iterator[tuple[int, int]]:
+    """Links that connect what all similar pairs connect: at most len(ids) - 1."""
+    sizes = np.array([len(s) for s in sets])
+    rest = np.ones(len(ids), bool)
+    for first in range(len(ids)):
+        if not rest[first]:
+            continue
+        rest[first] = False
+        frontier = [first]
+        while frontier:
+            i = frontier.pop()
+            for j in np.flatnonzero(rest & feasible(fps, sizes, i, similarity, distance)).tolist():
+                if alike(sets[i], sets[j], similarity):
+                    rest[j] = False
+                    frontier.append(j)
+                    yield int(ids[i]), int(ids[j])
+
+
+def dealt(rows: DataFrame, weight, most: int, scratch: Scratch, name: str) -> DataFrame:
+    """`rows` (key, content, …) with keys of at most about `most` in sum of `weight`.
+
+    A larger key is cut into blocks of contents, and each pair of blocks becomes a key.
+    """
+    hot = scratch.save(rows.groupBy("key").agg(F.sum(weight).alias("held")).where(F.col("held") > most), name)
+    if hot.isEmpty():
+        return rows
+    split = (
+        rows.join(hot, "key").withColumn("pieces", F.ceil(F.col("held") * 2 / most).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("content", F.lit(name)), F.col("pieces")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        .withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    )
+    return rows.join(hot.select("key"), "key", "left_anti").unionByName(split.select(*rows.columns))
+
+
+def near_copies(
+    docs: DataFrame, scratch: Scratch, similarity: float = 0.8, width: int = 5, distance: int = WIDE
+) -> DataFrame:
+    """(doc_id, mark, component_id, first), one row per row of `docs` (doc_id, text).
+
+    Texts are linked if their sets of `width`-word shingles are at least `similarity` alike
+    (common shingles by all shingles of both). component_id is the smallest doc_id that links
+    reach; `first` marks the smallest (doc_id, mark) of them, `mark` being the XXH64 of the text:
+    different texts of one doc_id are rows of their own, repeated rows are alike in all columns.
+
+    A pair is found if it shares one of the min-hash cells and its fingerprints are `distance`
+    bits apart or less; a pair that is found is decided by its shingles. Texts of equal sets are
+    one point, however many documents have them. Cells are cut by the number of fingerprints
+    and, for the shingles, by their sum; in a cut cell the work grows with the square of the
+    blocks. A null text is empty; documents without words are alike. A null doc_id takes
+    part but is never the smallest. An empty table gives no rows.
+    """
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeper("near-copies")
+        for batch in batches:
+            for at, texts in slices(batch.column("text")):
+                sets = shingle_sets(texts, width)
+                contents = [xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets]
+                fps = [fingerprint(t, width) for t in texts]
+                yield batch_of(
+                    MARKED, batch.column("doc_id").slice(at, len(texts)), batch.column("mark").slice(at, len(texts)),
+                    np.array(contents, np.uint64).astype(np.int64), np.array(fps, np.uint64).astype(np.int64),
+                    [len(s) for s in sets], [shared_cells(s) for s in sets],
+                )
+
+    def with_partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = np.zeros((4, 0), np.int64)
+        for batch in batches:
+            rows = np.hstack([rows, np.vstack([batch.column(c).to_numpy() for c in ("key", "content", "size", "fp")])])
+            if rows.shape[1] >= 200_000:
+                cut = int(np.searchsorted(rows[0], rows[0, -1]))  # the last key may go on
+                yield partners(rows[:, :cut])
+                rows = rows[:, cut:]
+        yield partners(rows)
+
+    def partners(rows: np.ndarray) -> pa.RecordBatch:
+        keep = np.zeros(rows.shape[1], bool)
+        fps = rows[3].astype(np.uint64)
+        starts, ends = runs(rows[0])
+        several = ends - starts > 1
+        for a, b in zip(starts[several].tolist(), ends[several].tolist()):
+            for i in range(b - a):
+                hit = feasible(fps[a:b], rows[2, a:b], i, similarity, distance)
+                hit[i] = False
+                if hit.any():
+                    keep[a + i] = True
+        return batch_of(NEAR, *rows[:3, keep])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeper("near-copies")
+        key, ids, fps, sets, found = None, [], [], [], []
+        for batch in batches:
+            keys, contents, marks = (batch.column(c).to_numpy() for c in ("key", "content", "fp"))
+            for at, texts in slices(batch.column("text")):
+                for i, s in enumerate(shingle_sets(texts, width), at):
+                    if keys[i] != key:
+                        found += similar_links(np.array(ids), np.array(fps, np.int64).astype(np.uint64), sets, similarity, distance)
+                        key, ids, fps, sets = keys[i], [], [], []
+                    ids.append(contents[i])
+                    fps.append(marks[i])
+                    sets.append(s)
+            if found:
+                yield batch_of(PAIR, *map(list, zip(*found)))
+                found = []
+        found += similar_links(np.array(ids), np.array(fps, np.int64).astype(np.uint64), sets, similarity, distance)
+        if found:
+            yield batch_of(PAIR, *map(list, zip(*found)))
+
+    texts = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
+    marked = scratch.save(
+        texts.mapInArrow(enter, "doc_id long, mark long, content long, fp long, size long, cells array<long>"), "marked"
+    )
+    points = scratch.save(
+        marked.groupBy("content").agg(
+            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("least"),
+            F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("cells").alias("cells"),
+        ),
+        "points",
+    )
+    cells = points.select(F.explode("cells").alias("key"), "content", "size", "fp")
+    cells = dealt(cells, F.lit(1), BLOCK, scratch, "hot-cells").repartition("key").sortWithinPartitions("key")
+    near = scratch.save(cells.mapInArrow(with_partners, "key long, content long, size long"), "near")
+    chosen = scratch.save(
+        points.join(near.select("content").distinct(), "content", "left_semi")
+        .select("content", "fp", F.col("least.doc_id").alias("of"), F.col("least.mark").alias("as")),
+        "chosen",
+    )
+    some = F.broadcast(chosen) if chosen.count() <= SIZED else chosen
+    one_each = (
+        texts.join(some, F.col("of").eqNullSafe(F.col("doc_id")) & (F.col("as") == F.col("mark")))
+        .groupBy("content").agg(F.first("fp").alias("fp"), F.min("text").alias("text"))
+    )
+    groups = dealt(near, F.col("size"), HELD, scratch, "hot-texts").select("key", "content")
+    together = groups.join(one_each, "content").repartition("key").sortWithinPartitions("key")
+    pairs = scratch.save(together.select("key", "content", "fp", "text").mapInArrow(verify, "a long, b long"), "similar")
+    label = components(pairs, scratch)
+    placed = points.join(label, F.col("content") == F.col("id"), "left").select(
+        "content", "least", F.coalesce("component", "content").alias("root")
+    )
+    roots = placed.groupBy("root").agg(F.min("least").alias("first"))
+    by_content = scratch.save(placed.join(roots, "root").select("content", "first"), "by-content")
+    return marked.join(by_content, "content").select(
+        "doc_id", "mark", F.col("first.doc_id").alias("component_id"),
+        (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.mark") == F.col("mark"))).alias("first"),
+    )
+
+
 def hexadecimal(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 

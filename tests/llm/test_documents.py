@@ -574,3 +574,76 @@ def test_secret_spans_are_those_of_the_patterns(spark, none):
     assert rows[0]["n_live"] == 1 and rows[0]["n_example"] == 0  # one owner, however often
     assert rows[3]["n_example"] == 1 and rows[1]["n_example"] == 2 and rows[3]["n_live"] == 0  # three owners
     assert secrets.scan(none, F.lit(None), F.lit(None)).collect() == []
+
+
+# --- near copies of the pipeline -------------------------------------------------------
+
+
+def shingled(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def likeness(x, y):
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def varied(seed, share, n):
+    """A text and one with this share of its words replaced."""
+    rng = np.random.default_rng(seed)
+    one = prose(seed, n)
+    two = [f"v{i}" if rng.random() < share else w for i, w in enumerate(one)]
+    return " ".join(one), " ".join(two)
+
+
+def test_near_copies_are_found_in_every_band(spark):
+    pairs = [varied(1000 + i, (0.004, 0.012, 0.02, 0.03)[i % 4], 60 + i % 700) for i in range(1200)]
+    rows = [(i + 5000 * side, pair[side]) for i, pair in enumerate(pairs) for side in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: r for r in simhash.near_copies(df, Scratch(spark, "test")).collect()}
+    assert len(found) == len(rows)
+    bands = defaultdict(list)
+    for i, (x, y) in enumerate(pairs):
+        near = likeness(shingled(x), shingled(y))
+        linked = found[i + 5000]["component_id"] == i
+        assert found[i]["first"] and found[i]["component_id"] == i and found[i + 5000]["first"] != linked
+        bands["none" if near < 0.8 else "0.80" if near < 0.9 else "0.90" if near < 0.95 else "0.95"].append(linked)
+    assert not any(bands["none"]) and all(len(b) > 50 for b in bands.values())
+    assert {k: np.mean(v) >= 0.97 for k, v in bands.items() if k != "none"} == {"0.80": True, "0.90": True, "0.95": True}
+
+
+@pytest.mark.parametrize("limits", [(8192, 1 << 22), (16, 2000)])
+def test_groups_of_near_copies_against_brute_force(spark, monkeypatch, limits):
+    monkeypatch.setattr(simhash, "BLOCK", limits[0])
+    monkeypatch.setattr(simhash, "HELD", limits[1])
+    rng = np.random.default_rng(5)
+    base = prose(77, 90)
+    texts = [" ".join(f"u{i}" if j == i else w for j, w in enumerate(base)) for i in range(80)]  # one word apart from the base
+    texts += [" ".join(base[:45] + prose(300 + i, 60)) for i in range(30)]  # a shared half
+    texts += [A, A, A.upper(), A + " end", B, "two words", "TWO  words", "four words are here", None, "", " \n"]
+    rows = [(int(i), t) for i, t in zip(rng.permutation(len(texts)), texts)]
+    rows += [(rows[0][0], "another text of the same id"), rows[0], (None, texts[1]), (None, "only here")]
+    sets = [shingled(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if group[i] != group[j] and likeness(sets[i], sets[j]) >= 0.8:
+                group = [group[j] if g == group[i] else g for g in group]
+    least = defaultdict(list)
+    for g, (doc_id, _) in zip(group, rows):
+        least[g].append(doc_id)
+    of = {g: min((d for d in ids if d is not None), default=None) for g, ids in least.items()}
+    expected = Counter((doc_id, of[g]) for g, (doc_id, _) in zip(group, rows))
+    df = spark.createDataFrame([(*r, 1, True) for r in rows], "doc_id long, text string, mark long, first boolean")
+    found = simhash.near_copies(df.repartition(3), Scratch(spark, "test")).collect()
+    assert Counter((r["doc_id"], r["component_id"]) for r in found) == expected
+    firsts = {(r["doc_id"], r["mark"]) for r in found if r["first"]}
+    assert len(firsts) == len(of)
+
+
+def test_near_copies_of_odd_tables(spark, odd, none):
+    found = simhash.near_copies(odd, Scratch(spark, "test")).collect()
+    assert Counter(r["doc_id"] for r in found) == Counter(r[0] for r in ODD)
+    assert {r["component_id"] for r in found if r["doc_id"] in (1, 2, 3)} == {1}
+    assert {r["component_id"] for r in found if r["doc_id"] in (6, 7)} == {6}
+    assert simhash.near_copies(none, Scratch(spark, "test")).collect() == []
