@@ -14,10 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from hustings.llm.common import WORDS, Scratch, table
 from hustings.llm.registry import query
+from hustings.session import SIZED
 
 LEVELS = ("domain", "lang", "source")
 BUCKETS = 4096  # parts of a leaf's seeded order: three hexadecimal digits
 NONE = "(none)"
+SALTS = 64  # groups of a leaf where the leaves are too many for a broadcast
 
 
 def token_count(text: str = "text") -> Column:
@@ -81,6 +83,19 @@ def budgets(
     return leaves.join(given.withColumnRenamed("given", "budget"), list(levels))
 
 
+def with_leaf(rows: DataFrame, leaves: DataFrame, path: Sequence[str]) -> DataFrame:
+    """`rows` with the columns of their leaf.
+
+    Up to `SIZED` leaves are broadcast. More are joined by a shuffle in which every leaf has a
+    copy for each of 64 salts, so that the rows of a large one are 64 groups.
+    """
+    if leaves.count() <= SIZED:
+        return rows.join(F.broadcast(leaves), list(path))
+    salt = F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(SALTS)).cast("int")
+    copies = leaves.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", salt).join(copies, [*path, "_salt"]).drop("_salt")
+
+
 def mix(
     docs: DataFrame,
     budget: int | None = None,
@@ -98,8 +113,8 @@ def mix(
 
     Running sums are taken over 4,096 parts of a leaf's order, which are summed before their
     shuffle; only the part in which the budget ends is ordered row by row. Texts
-    are not shuffled beyond that part while the table of leaves is small enough to be
-    broadcast, which Spark decides by its size.
+    are not shuffled beyond that part while there are at most 500,000 leaves, which are
+    counted and broadcast; beyond that the rows of a leaf are salted.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
@@ -128,14 +143,14 @@ def mix(
         F.concat_ws(":", F.lit(str(seed)), (F.col("whole") + 1).cast("string"), F.col("doc_id").cast("string")).cast("binary")
     )
     part = F.substring(order, 1, 3).alias("part")
-    parts = narrow.join(plan.where("rest > 0"), path).groupBy(*path, "rest", part).agg(F.sum("n_tokens").alias("n"))
+    parts = with_leaf(narrow, plan.where("rest > 0"), path).groupBy(*path, "rest", part).agg(F.sum("n_tokens").alias("n"))
     upto = Window.partitionBy(*path).orderBy("part")
     border = (
         parts.withColumn("end", F.sum("n").over(upto)).where("end > rest")
         .groupBy(*path).agg(F.min("part").alias("border"), F.min_by(F.col("end") - F.col("n"), "part").alias("before"))
     )
     plan = scratch.save(plan.join(border, path, "left"), "borders")
-    rows = sized.join(plan, path).withColumn("order", order)
+    rows = with_leaf(sized, plan, path).withColumn("order", order)
     place = F.substring("order", 1, 3)
     epochs = F.when(place < F.col("border"), F.col("whole") + 1).otherwise(F.col("whole"))
     sure = rows.withColumn("epoch", F.explode(F.when(epochs > 0, F.sequence(F.lit(1).cast("long"), epochs))))

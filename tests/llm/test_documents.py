@@ -528,6 +528,20 @@ def test_budgets_go_down_the_tree(spark, budget, weights):
     assert Counter((r["doc_id"], r["epoch"]) for r in rows_out) == expected
 
 
+def test_mixing_with_too_many_leaves_for_a_broadcast(spark, monkeypatch):
+    rows = [(i % 300, "a b c " * (1 + i % 7), f"d{i % 2}", "en", "hot" if i % 3 else f"s{i % 11}") for i in range(900)]
+    rows += [(None, "no id", "d0", None, None)] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string, domain string, lang string, source string").repartition(4)
+
+    def chosen():
+        found = mixing.mix(docs, 2_500, 3).select("row.*", "n_tokens", "epoch").collect()
+        return Counter(map(tuple, found))
+
+    expected = chosen()
+    monkeypatch.setattr(mixing, "SIZED", 0)
+    assert chosen() == expected and sum(expected.values()) > 100
+
+
 def test_mixing_odd_rows(odd, none):
     rows = mixing.mix(odd.withColumn("domain", F.lit(None).cast("string")), max_epochs=2).collect()
     assert rows and all(r["row"]["score"] == 0.5 for r in rows)
