@@ -809,3 +809,24 @@ def test_batches_and_alignment(spark):
     good, _ = annotate.parse_annotations(replies, annotate.BATCH_REPLY)
     found = {r["id"]: r["primary"] for r in annotate.align_batches(made, good, "id").collect()}
     assert found == {i: vocab.FALLBACK_TOPIC for i in [0, *range(20, 45)]}
+
+
+@pytest.mark.parametrize("held,work,read", [(500_000, 1 << 22, 1 << 17), (9, 5, 3), (40, 1, 1)])
+def test_agreements_by_brute_force(spark, monkeypatch, held, work, read):
+    for name, value in (("WORK", work), ("LIGHT", 10)):
+        monkeypatch.setattr(blocks, name, value)
+    rng = random.Random(work)
+    left = [(rng.choice([None, *range(60)]), k, rng.choice([1, -1])) for k in range(25) for _ in range(9)] + [(u, 99, 1) for u in range(60)]
+    right = [(m, k, rng.choice([1, -1])) for m in range(40) for k in range(30) if rng.random() < 0.3] + [(m, 99, -1) for m in range(3)]
+    left, right = ({(i, k): v for i, k, v in rows} for rows in (left, right))
+    want = {}
+    for (a, k), v in left.items():
+        for (b, l), w in right.items():
+            if k == l:
+                agreed, total = want.get((a, b), (0, 0))
+                want[a, b] = agreed + (v == w), total + 1
+    x, y = (spark.createDataFrame([(i, k, v) for (i, k), v in rows.items()], "id long, key long, v int") for rows in (left, right))
+    for least in (1, 3):
+        found = blocks.agreements(x, y, least, held).collect()
+        assert len(found) == len({(r["a"], r["b"]) for r in found})
+        assert {(r["a"], r["b"]): (r["agreed"], r["total"]) for r in found} == {k: v for k, v in want.items() if v[1] >= least}
