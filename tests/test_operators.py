@@ -811,9 +811,21 @@ def test_batches_and_alignment(spark):
     assert found == {i: vocab.FALLBACK_TOPIC for i in [0, *range(20, 45)]}
 
 
+def test_no_pair_is_shuffled(spark):
+    values, x = matrix(spark)
+    rows = values.select(F.col("member_id").alias("id"), F.col("division_id").alias("key"), "v")
+    for every_pair in (True, False):
+        products = blocks.self_products(rows, spark.range(len(x)).select("id"), F.lit(40), 5, 7, every_pair)
+        text = products._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in text[: text.index("MapInArrow")]
+    found = blocks.agreements(rows.where("v <> 0"), rows.where("v <> 0"))
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text[: text.index("MapInArrow")]
+
+
 @pytest.mark.parametrize("held,work,read", [(500_000, 1 << 22, 1 << 17), (9, 5, 3), (40, 1, 1)])
 def test_agreements_by_brute_force(spark, monkeypatch, held, work, read):
-    for name, value in (("WORK", work), ("LIGHT", 10)):
+    for name, value in (("WORK", work), ("READ", read), ("LIGHT", 10), ("FILLED", 3)):
         monkeypatch.setattr(blocks, name, value)
     rng = random.Random(work)
     left = [(rng.choice([None, *range(60)]), k, rng.choice([1, -1])) for k in range(25) for _ in range(9)] + [(u, 99, 1) for u in range(60)]
