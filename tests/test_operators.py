@@ -823,6 +823,13 @@ def test_no_pair_is_shuffled(spark):
     assert "Exchange" not in text[: text.index("MapInArrow")]
 
 
+def test_norms_of_cosines_are_broadcast(spark):
+    values, x = matrix(spark)
+    divisions = spark.range(x.shape[1]).select(F.col("id").alias("division_id"))
+    text = alignment.cosine(values, people(spark, len(x)), divisions, True)._jdf.queryExecution().executedPlan().toString()
+    assert text[: text.index("MapInArrow")].count("BroadcastHashJoin") == 2
+
+
 @pytest.mark.parametrize("held,work,read", [(500_000, 1 << 22, 1 << 17), (9, 5, 3), (40, 1, 1)])
 def test_agreements_by_brute_force(spark, monkeypatch, held, work, read):
     for name, value in (("WORK", work), ("READ", read), ("LIGHT", 10), ("FILLED", 3)):
