@@ -849,3 +849,27 @@ def test_agreements_by_brute_force(spark, monkeypatch, held, work, read):
         found = blocks.agreements(x, y, least, held).collect()
         assert len(found) == len({(r["a"], r["b"]) for r in found})
         assert {(r["a"], r["b"]): (r["agreed"], r["total"]) for r in found} == {k: v for k, v in want.items() if v[1] >= least}
+
+
+@pytest.mark.parametrize("areas", [False, True])
+def test_candidate_match_shuffles_no_pairs(spark, areas):
+    priorities = spark.createDataFrame([(u, 0, vocab.TOPICS[0]) for u in range(4)], "respondent_id long, position int, topic string")
+    answers = spark.createDataFrame([(u, "q", "agree") for u in range(3)], "respondent_id long, question_id string, answer string")
+    cands = spark.createDataFrame(
+        [(1, "b", "Deputy", "X"), (2, "a", "Deputy", "X"), (3, "a", "Deputy", "Y"), (4, None, "Deputy", "X")],
+        "candidate_id long, full_name string, role string, constituency string",
+    )
+    saliences = spark.createDataFrame([(1, vocab.TOPICS[0], None)], "candidate_id long, topic string, salience double")
+    stances = spark.createDataFrame([(1, "q", "neutral"), (2, "q", "agree")], "candidate_id long, question_id string, stance string")
+    questions = spark.createDataFrame([("q", vocab.TOPICS[0])], "question_id string, topic string")
+    places = spark.createDataFrame([(u, "X") for u in range(4)], "respondent_id long, area string") if areas else None
+    found = scoring.candidate_match(priorities, answers, cands, saliences, stances, questions, areas=places, area_map={})
+    top, *below = found._jdf.queryExecution().executedPlan().toString().split("MapInArrow")
+    assert below and "Exchange" not in top and "Window" not in top
+    ranked = {}
+    for r in found.collect():
+        ranked.setdefault(r["respondent_id"], {})[r["rank"]] = r["candidate_id"]
+    # A null name comes first, equal names go by id.
+    rest = [4] if areas else [4, 3]
+    assert ranked[0] == dict(enumerate([2, 1, *rest], 1))
+    assert ranked[3] == dict(enumerate([2, 1, *rest], 1))
