@@ -198,7 +198,8 @@ def fill_stances(stances: DataFrame, docs: DataFrame, questions: DataFrame, bloc
 
     Questions are dealt to blocks of about `block` ids. A document and a block are a row, whose
     lists (the block's ids and those the document has) are never longer than a block;
-    only the missing ids are exploded.
+    only the missing ids are exploded. The block's ids are looked up last, so no shuffle or sort holds
+    a copy of them for each document.
     """
     ids = questions.select("question_id").distinct()
     blocks = ids.select(F.greatest(F.ceil(F.count("*") / block), F.lit(1)).cast("int")).scalar()
@@ -211,10 +212,13 @@ def fill_stances(stances: DataFrame, docs: DataFrame, questions: DataFrame, bloc
         F.collect_set("question_id").alias("present")
     )
     none = F.array().cast("array<string>")
+    # The rows are few against those they make, so their size must not decide on the number of tasks.
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     missing = (
         docs.select("doc_id", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-        .join(every, "block")
+        .repartition(n, "doc_id", "block")
         .join(present, ["doc_id", "block"], "left")
+        .join(every, "block")
         .select(
             "doc_id",
             F.explode(F.array_except("every", F.coalesce("present", none))).alias("question_id"),

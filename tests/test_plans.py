@@ -45,3 +45,13 @@ def test_page_and_document_work_stays_in_the_row(name, spark, sf_dir):
 
 def test_latest_votes_are_cut_before_the_shuffle(spark, sf_dir):
     assert "WindowGroupLimit" in plan(QUERIES["member_recent_votes"](spark, sf_dir))
+
+
+def test_questions_are_not_shuffled_with_the_documents(spark, sf_dir):
+    # A copy of a block's ids for each document made one sort of 856 MB of them.
+    text = plan(QUERIES["fill_stances"](spark, sf_dir))
+    filled = text.split("array_except(")[1]
+    assert filled.index("every") < filled.index("Exchange")
+    keyed = [line for line in filled.splitlines() if "Exchange hashpartitioning(doc_id" in line]
+    below = [filled.splitlines()[filled.splitlines().index(line) + 1] for line in keyed]
+    assert keyed and not any("every" in line for line in below)
