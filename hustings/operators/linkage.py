@@ -3,7 +3,10 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 import pandas as pd
+import pyarrow as pa
+from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import combinations
 
 from hustings import vocab
 from hustings.functions.text import canonical_name, initial_key
@@ -138,13 +141,82 @@ def _pieces(threshold: float, size: Column) -> Column:
     return _edits(threshold, size, F.floor(size * reach + 1e-9)) + 1
 
 
+LEFT_OUT = 3  # letters that a name may lack in its partner, to be found by the letters they share
+LONGEST = 20  # of names that are: 20 letters without three are 1,140 sets
+DRAWN = 1 << 16  # sets of letters that a task returns at once
+
+
+def _common(threshold: float, size_a: Column, size_b: Column) -> Column:
+    """The letters that names of these lengths share at least."""
+    return F.ceil(threshold * (size_a + size_b) / 2 - 1e-9).cast("int")
+
+
+def _few_missing(threshold: float, size_a: Column, size_b: Column) -> Column:
+    """Whether pairs of these lengths are found by the letters they share."""
+    most = F.greatest(size_a, size_b)
+    return (most - _common(threshold, size_a, size_b) <= LEFT_OUT) & (most <= LONGEST)
+
+
+def _partner_lengths(threshold: float, size: Column) -> Column:
+    reach = (2.0 - threshold) / threshold
+    return F.sequence(F.greatest(F.ceil(size / reach - 1e-9).cast("int"), F.lit(1)), F.floor(size * reach + 1e-9).cast("int"))
+
+
+def _dealt(names: DataFrame) -> DataFrame:
+    """Names dealt to all tasks: they are few against the rows they make, so their size must not decide on that number.
+
+    By a hash of the name, as Spark drops a repartition by the column that it has just made distinct.
+    """
+    return names.repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(names.columns[0]))
+
+
+def _draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each set of `m` letters of a name, whatever their order."""
+
+    def drawn(at: list[int], sets: list[str]) -> pa.RecordBatch:
+        taken = batch.take(pa.array(at, pa.int32()))
+        return pa.RecordBatch.from_arrays([*[taken.column(c) for c in ("name", "la", "lb")], pa.array(sets, pa.string())], names=["name", "la", "lb", "part"])
+
+    for batch in batches:
+        at, sets = [], []
+        for i, (name, m) in enumerate(zip(batch.column("name").to_pylist(), batch.column("m").to_pylist())):
+            own = {"".join(c) for c in combinations(sorted(name), m)}
+            at += [i] * len(own)
+            sets += own
+            if len(sets) >= DRAWN:
+                yield drawn(at, sets)
+                at, sets = [], []
+        yield drawn(at, sets)
+
+
+def _by_shared(probes: DataFrame, targets: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs (a, b) whose lengths leave few letters that are not shared.
+
+    Such names share a set of as many letters as they must, so each is entered under all sets
+    that remain when the others are left out. Names of many letters in common are few, where those
+    with a piece of two or three letters in common are most.
+    """
+
+    def sets(names: DataFrame, own: str) -> DataFrame:
+        size, other = F.length(own), F.explode(_partner_lengths(threshold, F.length(own))).alias("other")
+        met = _dealt(names).select(own, size.alias("size"), other)
+        la, lb = ("size", "other") if own == "a" else ("other", "size")
+        met = met.select(F.col(own).alias("name"), F.col(la).alias("la"), F.col(lb).alias("lb"))
+        met = met.where(_few_missing(threshold, F.col("la"), F.col("lb")))
+        m = _common(threshold, F.col("la"), F.col("lb"))
+        drawn = met.withColumn("m", m).where(F.col("m") <= F.least("la", "lb")).mapInArrow(_draw, "name string, la int, lb int, part string")
+        return drawn.select(F.xxhash64("la", "lb", "part").alias("key"), F.col("name").alias(own))
+
+    return split_join(stage(sets(probes, "a"), "sets"), stage(sets(targets, "b"), "sets"), ["key"]).select("a", "b")
+
+
 def _by_pieces(probes: DataFrame, targets: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs (a, b) by a shared piece, for targets that are long enough to be cut.
+    """Candidate pairs (a, b) by a shared piece, for targets that are long enough to be cut and pairs
+    that `_by_shared` does not find.
 
     A name cut into one piece more than it needs has two that are unchanged in any partner, so
     the most frequent of its pieces may go. That is done where pieces stay long enough to be rare.
     """
-    reach = (2.0 - threshold) / threshold
     size, need = F.length("b"), _pieces(threshold, F.length("b"))
     cut = F.when(size >= SPARE * (need + 1), need + 1).otherwise(need)
     pieces = targets.select("b", size.alias("lb"), need.alias("need"), F.explode(_segments(F.col("b"), cut)).alias("s"))
@@ -156,9 +228,8 @@ def _by_pieces(probes: DataFrame, targets: DataFrame, threshold: float) -> DataF
         index = index.join(often, ["lb", "no", "part"]).withColumn("place", F.row_number().over(rare)).where("place <= need")
     index = stage(index.select("lb", "no", "part", "b"), "piece-index")
 
-    size_a = F.length("a")
-    lengths = F.sequence(F.greatest(F.ceil(size_a / reach - 1e-9).cast("int"), F.lit(1)), F.floor(size_a * reach + 1e-9).cast("int"))
-    spread = probes.select("a", F.explode(lengths).alias("lb"))
+    spread = _dealt(probes).select("a", F.explode(_partner_lengths(threshold, F.length("a"))).alias("lb"))
+    spread = spread.where(~_few_missing(threshold, F.length("a"), F.col("lb")))
     need = _pieces(threshold, F.col("lb"))
     spread = spread.withColumn("n", F.when(F.col("lb") >= SPARE * (need + 1), need + 1).otherwise(need)).where(need <= F.col("lb"))
     spread = spread.withColumn("shift", _edits(threshold, F.length("a"), F.col("lb")))
@@ -167,13 +238,12 @@ def _by_pieces(probes: DataFrame, targets: DataFrame, threshold: float) -> DataF
     width = F.floor((F.col("no") + 1) * F.col("lb") / F.col("n")).cast("int") - begin
     first = F.greatest(F.col("begin") - F.col("shift"), F.lit(0))
     last = F.least(F.col("begin") + F.col("shift"), F.length("a") - F.col("width"))
+    parts = F.transform(F.sequence(first, last), lambda at: F.substr(F.col("a"), at + 1, F.col("width")))
     sliced = (
         cuts.withColumn("begin", begin)
         .withColumn("width", width)
         .where(last >= first)
-        .select("a", "lb", "no", "width", F.explode(F.sequence(first, last)).alias("at"))
-        .select("lb", "no", F.substr(F.col("a"), F.col("at") + 1, F.col("width")).alias("part"), "a")
-        .distinct()
+        .select("lb", "no", F.explode(F.array_distinct(parts)).alias("part"), "a")
     )
     return split_join(stage(sliced, "slices"), index, ["lb", "no", "part"]).select("a", "b")
 
@@ -206,15 +276,15 @@ def near_pairs(probes: DataFrame, targets: DataFrame, threshold: float = vocab.N
 
     The ratio 2·M/(|a|+|b|) counts M characters in common order. Names at or above the
     threshold are at most (1-t)(|a|+|b|) edits apart and share t(|a|+|b|)/2 letters at least;
-    exactly the pairs within both bounds are returned. They are found by an unchanged
-    piece of the target's name, shifted by no more than the edits. Where a threshold is so low
+    exactly the pairs within both bounds are returned. They are found by the set of letters they
+    share, or, where that leaves out too many, by an unchanged piece of the target's name, shifted by no more than the edits. Where a threshold is so low
     that a target would need more pieces than it has letters, a shared rare letter takes
     their place.
     """
     a = probes.select("a").where("a <> ''").distinct()
     b = targets.select("b").where("b <> ''").distinct()
     whole = _pieces(threshold, F.length("b")) <= F.length("b")
-    found = _by_pieces(a, b.where(whole), threshold)
+    found = _by_pieces(a, b.where(whole), threshold).unionByName(_by_shared(a, b, threshold))
     # Pieces never outnumber letters unless (1-t)·2/t reaches 1.
     if (1.0 - threshold) * 2.0 / threshold + 1e-6 >= 1.0:
         found = found.unionByName(_by_letters(a, b.where(~whole), threshold))

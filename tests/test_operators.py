@@ -527,6 +527,17 @@ def test_near_misses_by_brute_force(spark):
         assert {r["candidate_id"]: (r["ratio"], canon(r["member_name"])) for r in found} == expected
 
 
+def test_short_names_meet_by_their_letters(spark):
+    # All share the piece "ab"; only those with the same letters may meet.
+    names = ["ab" + 4 * (chr(99 + i) + chr(100 + i)) for i in range(20)]
+    a = spark.createDataFrame([(n,) for n in names], "a string").repartition(1).distinct()
+    b = spark.createDataFrame([(n[:2] + n[3] + n[2] + n[4:],) for n in names], "b string")
+    assert linkage._by_pieces(a, b, 0.85).count() == 0
+    assert linkage._by_shared(a, b, 0.85).distinct().count() == 20
+    assert linkage.near_pairs(a, b, 0.85).count() == 20
+    assert linkage._dealt(a).select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_linking_tiers(spark):
     members = spark.createDataFrame(
         [(1, "Robert Ward"), (2, "Élise Le-Feuvre"), (3, "Tom Binet"), (4, "Tim Binet"), (5, "Kirsten Morel")],
