@@ -1,5 +1,6 @@
 """Table jobs on small frames: traps, properties and brute-force comparisons."""
 
+import glob
 import itertools
 import os
 import random
@@ -314,6 +315,38 @@ def test_ward_blocs(spark):
     assert {frozenset(g) for g in groups.values()} == ward_by_hand(x, 5)
 
 
+def test_ward_blocs_store_no_pair_of_strangers(spark, monkeypatch):
+    values, x = matrix(spark, 15, 150, seed=9)
+    # Three bodies without a common division: 105 pairs, of which 30 may share one.
+    values = values.where("member_id % 3 = division_id % 3")
+    x = x * (np.arange(15)[:, None] % 3 == np.arange(150) % 3)
+    written, keep = [], session.Stages.keep
+    before = glob.glob(f"{session.shared_folder(spark)}/ward-*")
+
+    def kept(self, df, name):
+        staged = keep(self, df, name)
+        written.append((name, staged.count()))
+        return staged
+
+    monkeypatch.setattr(session.Stages, "keep", kept)
+    divisions = spark.range(150).select(F.col("id").alias("division_id"))
+    found = spectrum.hier_blocs(values, people(spark, 15), divisions, 4).collect()
+    groups = {}
+    for r in found:
+        groups.setdefault(r["bloc"], set()).add(r["member_id"])
+    assert {frozenset(g) for g in groups.values()} == ward_by_hand(x, 4)
+    pairs = [n for name, n in written if name == "ward"]
+    assert 0 < pairs[0] <= 30 and pairs == sorted(pairs, reverse=True)
+    assert sorted(glob.glob(f"{session.shared_folder(spark)}/ward-*")) == sorted(before)
+
+
+def test_ward_blocs_without_votes(spark):
+    values, _ = matrix(spark, 3, 5, seed=1)
+    divisions = spark.range(5).select(F.col("id").alias("division_id"))
+    found = spectrum.hier_blocs(values.where("false"), people(spark, 3), divisions, 2).collect()
+    assert sorted(r["member_id"] for r in found) == [0, 1, 2] and {r["bloc"] for r in found} == {1}
+
+
 def test_candidate_scores_by_hand_and_by_blocks(spark, monkeypatch):
     topics = vocab.TOPICS[:6]
     rng = random.Random(2)
