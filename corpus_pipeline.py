@@ -25,6 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of every group of near copies, by five-word shingles at similarity 0.8.
 
+    Candidates come from the SimHash grid and, beyond its distance, from cells of min-hashes.
     Different texts of one doc_id stay unless they are near copies. Of rows with the same
     doc_id and text the smallest stays; rows without an id stay as they are.
     """

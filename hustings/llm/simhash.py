@@ -8,9 +8,10 @@ most `distance` groups and so share the grid cell of some four groups: every poi
 entered in the cell of each choice of four groups, cells are joined by an equi-key, and a
 pair in a cell has to pass the Manhattan bound and then the exact distance.
 
-`near_copies` decides by exact shingle similarity and has the fingerprints as filter. Texts at
-similarity 0.8 are some 10 bits apart and up to `WIDE`, too far for a grid over 64 bits, so its
-cells are pairs of min-hashes of the same shingles.
+`near_copies` decides by exact shingle similarity. The grid finds its candidates up to `BITS`
+bits. Texts at similarity 0.8 are some 10 bits apart and up to `WIDE`, too far for a grid over 64
+bits, so cells of pairs of min-hashes of the same shingles find those; both kinds pass the
+Manhattan bound and the exact distance first.
 """
 
 from collections.abc import Iterator
@@ -31,6 +32,7 @@ LOW = np.uint64(0x5555555555555555)
 TOGETHER = 4  # groups that make up a cell
 POINTS = 10_000  # fingerprints that a task enters in cells
 SMALL = 24  # cells up to this size are compared as shifted columns
+BITS = 4  # distance up to which the grid finds candidates
 WIDE = 20  # bits between texts at similarity 0.8: 10 expected, deviation 3
 BANDS = 6  # cells of a text; two texts at similarity 0.8 share none of them in 2 of 1,000 cases
 BLOCK = 8192  # fingerprints of a cell that one task compares
@@ -263,7 +265,7 @@ def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
 
 def feasible(fps: np.ndarray, sizes: np.ndarray, i: int, similarity: float, distance: int) -> np.ndarray:
     """Which rows the i-th one may be similar to, by fingerprint and by number of shingles."""
-    near = np.bitwise_count(fps ^ fps[i]) <= distance
+    near = close(fps, np.broadcast_to(fps[i], fps.shape), distance)
     return near & (np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i]) - 1e-9)
 
 
@@ -304,6 +306,20 @@ def dealt(rows: DataFrame, weight, most: int, scratch: Scratch, name: str) -> Da
     return rows.join(hot.select("key"), "key", "left_anti").unionByName(split.select(*rows.columns))
 
 
+def grid_cells(points: DataFrame, scratch: Scratch, distance: int = BITS) -> DataFrame:
+    """(key, content, size, fp): the points of each group that links of the grid join, groups of one left out.
+
+    All points `distance` bits apart or less have a group in common, those of one fingerprint too.
+    """
+    label = components(scratch.save(links(points.select("fp").distinct(), scratch, distance), "grid-links"), scratch)
+    root = F.coalesce("component", "fp")
+    placed = points.join(label, F.col("fp") == F.col("id"), "left").select(
+        F.xxhash64(F.lit("grid"), root).alias("key"), "content", "size", "fp"
+    )
+    several = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return placed.join(several, "key", "left_semi")
+
+
 def near_copies(
     docs: DataFrame, scratch: Scratch, similarity: float = 0.8, width: int = 5, distance: int = WIDE
 ) -> DataFrame:
@@ -314,8 +330,8 @@ def near_copies(
     reach; `first` marks the smallest (doc_id, mark) of them, `mark` being the XXH64 of the text:
     different texts of one doc_id are rows of their own, repeated rows are alike in all columns.
 
-    A pair is found if it shares one of the min-hash cells and its fingerprints are `distance`
-    bits apart or less; a pair that is found is decided by its shingles. Texts of equal sets are
+    A pair is found if its fingerprints are `BITS` bits apart or less, by the grid, or up to
+    `distance` bits and it shares one of the min-hash cells; a pair that is found is decided by its shingles. Texts of equal sets are
     one point, however many documents have them. Cells are cut by the number of fingerprints
     and, for the shingles, by their sum; in a cut cell the work grows with the square of the
     blocks. A null text is empty; documents without words are alike. A null doc_id takes
@@ -390,6 +406,7 @@ def near_copies(
         "points",
     )
     cells = points.select(F.explode("cells").alias("key"), "content", "size", "fp")
+    cells = cells.unionByName(grid_cells(points, scratch))
     cells = dealt(cells, F.lit(1), BLOCK, scratch, "hot-cells").repartition("key").sortWithinPartitions("key")
     near = scratch.save(cells.mapInArrow(with_partners, "key long, content long, size long"), "near")
     chosen = scratch.save(

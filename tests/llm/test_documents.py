@@ -661,3 +661,26 @@ def test_near_copies_of_odd_tables(spark, odd, none):
     assert {r["component_id"] for r in found if r["doc_id"] in (1, 2, 3)} == {1}
     assert {r["component_id"] for r in found if r["doc_id"] in (6, 7)} == {6}
     assert simhash.near_copies(none, Scratch(spark, "test")).collect() == []
+
+
+def test_near_copies_by_the_grid_alone(spark, monkeypatch):
+    """Without min-hash cells what is up to four bits apart is found, and decided by its shingles."""
+    monkeypatch.setattr(simhash, "shared_cells", lambda shingles: [])
+
+    def bits(x, y):
+        return (simhash.fingerprint(x, 5) ^ simhash.fingerprint(y, 5)).bit_count()
+
+    rows, linked = [], {}
+    for i in range(40):
+        words = prose(500 + i, 200)
+        x, y = " ".join(words), " ".join([*words[:-1], "other"])
+        rows += [(i, x), (i + 100, y)]
+        linked[i + 100] = i if bits(x, y) <= 4 else i + 100
+    assert sum(of < 100 for of in linked.values()) > 20
+    # Repeats decide the fingerprint and are one shingle each: equal fingerprints, other texts.
+    again = "one two three " * 60
+    rows += [(200, again + " ".join(prose(600, 9))), (201, again + " ".join(prose(601, 9)))]
+    assert bits(rows[-2][1], rows[-1][1]) <= 4
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df, Scratch(spark, "test")).collect()}
+    assert found == {**{i: i for i in range(40)}, **linked, 200: 200, 201: 201}
