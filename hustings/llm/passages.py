@@ -90,35 +90,73 @@ def _extents(values: list[int], places: list[int], bounds: np.ndarray, least: in
     return np.minimum(at - np.array(before, np.int64), least), np.minimum(np.array(behind, np.int64) - at - 1, least)
 
 
+STEP = np.uint64(0x9E3779B97F4A7C15)
+BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def surroundings(tokens: np.ndarray, bounds: np.ndarray, least: int, places: list[np.ndarray]):
+    """(content, tail) for each array of places: a hash of up to `least` tokens on both sides, and how many are behind."""
+    powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(tokens), STEP)]))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(tokens * powers[:-1])])
+    inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(tokens), BACK)]))
+    found = []
+    for place in places:
+        text = np.searchsorted(bounds, place, "right") - 1
+        lo, hi = np.maximum(place - least, bounds[text]), np.minimum(place + least + 1, bounds[text + 1])
+        # The same tokens around another middle are another content.
+        shape = mix(((place - lo) * (2 * least + 2) + hi - lo).astype(np.uint64))
+        found.append((mix((sums[hi] - sums[lo]) * inverse[lo]) ^ shape, hi - place - 1))
+    return found
+
+
 # --- joining windows -------------------------------------------------------------------
 
-WINDOW = np.dtype([("key", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("left", "u1"), ("right", "u1"), ("f", "u1")])
+WINDOW = np.dtype(
+    [("key", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("at", "<u4")] + [(n, "u1") for n in ("left", "right", "tail", "f")]
+)
 MATCH = np.dtype(
-    [("a", "<i8"), ("b", "<i8"), ("at", "<u4"), ("other", "<u4"), ("f", "u1"), ("how", "u1"), ("key", "<u8")]
+    [("a", "<i8"), ("b", "<i8"), ("at", "<u4"), ("other", "<u4"), ("f", "u1"), ("how", "u1"), ("tail", "u1")]
+    + [(n, "<u8") for n in ("key", "content", "lead")]
 )
-COMPARED, NO_ROOM, SAME = 0, 2, 3  # how a window stands to the first one of its key; SAME: in the same document
+COMPARED, EQUAL, NO_ROOM, SAME = 0, 1, 2, 3  # how a window stands to an earlier one of its key; SAME: in the same document
 
 
-def star(windows: np.ndarray, least: int, first_open: int = OPEN) -> tuple[np.ndarray, np.ndarray]:
-    """Matches of every window with the first one of its key, and those first ones.
+def equal(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Matches of windows with equal surroundings, each with the first of them, and those first ones.
 
-    `windows` is sorted by key and document. The first stands for all in later joins. What
-    cannot be compared with it is a match too, marked by `how`: it is compared with the others
-    when the key is opened. Only keys of the first `first_open` functions are, and kept.
+    Whatever shares a passage through the one shares it through the other, so the first stands for all.
     """
-    starts, ends = runs(windows["key"])
-    first = np.repeat(starts, ends - starts)
-    lead = windows[first]
+    windows = windows[np.lexsort([windows[n] for n in ("at", "doc", "content", "f", "key")])]
+    new = np.ones(len(windows), bool)
+    new[1:] = np.any([windows[n][1:] != windows[n][:-1] for n in ("key", "f", "content")], axis=0)
+    first = windows[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    own = windows["doc"] != first["doc"]
+    found = np.zeros(int(own.sum()), MATCH)
+    for name, values in (("a", windows["doc"]), ("at", windows["at"]), ("f", windows["f"]), ("tail", windows["tail"])):
+        found[name] = values[own]
+    found["b"], found["other"], found["how"] = first["doc"][own], first["at"][own], EQUAL
+    return found, windows[new]
+
+
+def star(windows: np.ndarray, least: int, first_open: int = OPEN) -> np.ndarray:
+    """Matches of every window, each of another content, with the first one of its key.
+
+    What cannot be compared with it is a match too, marked by `how`: it is compared with the others
+    when the key is opened. Only keys of the first `first_open` functions are.
+    """
+    windows = windows[np.lexsort([windows[n] for n in ("at", "doc", "f", "key")])]
+    new = np.ones(len(windows), bool)
+    new[1:] = (windows["key"][1:] != windows["key"][:-1]) | (windows["f"][1:] != windows["f"][:-1])
+    lead = windows[np.flatnonzero(new)[np.cumsum(new) - 1]]
     room = np.minimum(windows["left"], lead["left"]).astype(int) + np.minimum(windows["right"], lead["right"]) + 1
     how = np.where(windows["doc"] == lead["doc"], SAME, np.where(room >= SIMILARITY * least, COMPARED, NO_ROOM))
-    opens = windows["f"] < first_open
-    own = (how == COMPARED) | (opens & (np.arange(len(windows)) != first))
+    own = ~new & ((how == COMPARED) | (windows["f"] < first_open))
     found = np.empty(int(own.sum()), MATCH)
-    for name, values in (("a", windows["doc"]), ("at", windows["at"]), ("f", windows["f"]), ("how", how)):
-        found[name] = values[own]
-    found["b"], found["other"] = lead["doc"][own], lead["at"][own]
-    found["key"] = np.where(opens, windows["key"], np.uint64(0))[own]
-    return found, windows[starts]
+    for name in ("at", "f", "tail", "key", "content"):
+        found[name] = windows[name][own]
+    found["a"], found["how"] = windows["doc"][own], how[own]
+    found["b"], found["other"], found["lead"] = lead["doc"][own], lead["at"][own], lead["content"][own]
+    return found
 
 
 BLOB = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
@@ -161,11 +199,11 @@ def pair_key(found: np.ndarray) -> np.ndarray:
     return mix(found["a"].astype(np.uint64)) + found["b"].astype(np.uint64)
 
 
-def find_windows(docs: DataFrame, least: int, buckets: int, first_open: int = OPEN) -> DataFrame:
+def find_windows(docs: DataFrame, least: int, buckets: int) -> DataFrame:
     """Blocks of windows (kind 0, by key) and of matches (kind 1, by pair) of `docs` (doc_id, text).
 
-    A task links the windows of its own documents first and sends one of each key, so a passage
-    that a third of all documents have is one window per task.
+    A window's key is the token in its middle. A task links the windows of its own documents that have equal
+    surroundings and sends one of them, so a passage that a third of all documents have is one window per task.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,8 +213,8 @@ def find_windows(docs: DataFrame, least: int, buckets: int, first_open: int = OP
         def flush():
             rows = np.concatenate(held)
             held.clear()
-            found, first = star(rows[np.lexsort((rows["at"], rows["doc"], rows["key"]))], least, first_open)
-            yield from blobs(first, first["key"], buckets, 0)
+            found, first = equal(rows)
+            yield from blobs(first, first["key"] + first["f"], buckets, 0)
             if len(found):
                 yield from blobs(found, pair_key(found), buckets, 1)
 
@@ -184,12 +222,14 @@ def find_windows(docs: DataFrame, least: int, buckets: int, first_open: int = OP
             ids = batch.column("doc_id").to_numpy()
             for begin, texts in slices(batch.column("text")):
                 tokens, bounds = shingle_hashes(*word_hashes(texts), WIDTH)
-                for f in range(HASHES):
-                    keys, place, left, right = compact_windows(tokens, bounds, least, f)
+                windows = [compact_windows(tokens, bounds, least, f)[1:] for f in range(HASHES)]
+                around = surroundings(tokens, bounds, least, [place for place, _, _ in windows])
+                for f, ((place, left, right), (content, tail)) in enumerate(zip(windows, around)):
                     text = np.searchsorted(bounds, place, "right") - 1
-                    rows = np.empty(len(keys), WINDOW)
-                    rows["key"], rows["doc"], rows["at"] = keys, ids[begin + text], place - bounds[text]
+                    rows = np.empty(len(place), WINDOW)
+                    rows["key"], rows["doc"], rows["at"] = tokens[place], ids[begin + text], place - bounds[text]
                     rows["left"], rows["right"], rows["f"] = left, right, f
+                    rows["content"], rows["tail"] = content, tail
                     held.append(rows)
                     size += len(rows)
                 if size >= FLUSH:
@@ -224,9 +264,8 @@ def join_windows(sent: DataFrame, least: int, buckets: int, first_open: int = OP
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in gather(batches, {0: WINDOW, 1: MATCH}):
-            windows = rows[0]
-            found, _ = star(windows[np.lexsort((windows["at"], windows["doc"], windows["key"]))], least, first_open)
-            found = np.concatenate([found, rows[1]])
+            copies, windows = equal(rows[0])
+            found = np.concatenate([star(windows, least, first_open), copies, rows[1]])
             if len(found):
                 yield from blobs(found, pair_key(found), buckets, 1)
 
@@ -238,26 +277,26 @@ def join_windows(sent: DataFrame, least: int, buckets: int, first_open: int = OP
 PLACES = ("a", "b", "lo", "hi", "other_lo", "other_hi")
 CANDIDATE = pa.schema([(n, pa.int64()) for n in PLACES])
 CANDIDATE_SQL = ", ".join(f"{n} long" for n in PLACES)
-ALIGNED = pa.schema([(n, pa.int64()) for n in ("kind", *PLACES, "key", "at", "other")])
+ALIGNED = pa.schema([(n, pa.int64()) for n in ("kind", *PLACES, "key", "f", "at", "other", "content", "lead")])
 ALIGNED_SQL = ", ".join(f"{n} long" for n in ALIGNED.names)
-PAIR, WITH_LEAD = 0, 1  # kinds beside NO_ROOM (here also: not aligned) and SAME
+PAIR, WITH_LEAD, COPY = 0, 1, 4  # kinds beside NO_ROOM (here also: not aligned) and SAME
 
 
-def align(found: np.ndarray, least: int, enough: int) -> Iterator[tuple[np.ndarray, ...]]:
+def align(found: np.ndarray, least: int, enough: int, first_open: int = OPEN) -> Iterator[tuple[np.ndarray, ...]]:
     """Places where enough hash functions match the same two texts at about the same shift.
 
-    Columns of ALIGNED: candidates are of kind PAIR; the matches follow that open keys may
-    need, those of a candidate with its places.
+    Columns of ALIGNED: candidates are of kind PAIR, equal places of kind COPY; the matches follow that
+    open keys may need, those of a candidate with its places.
     """
-    rest = found[found["how"] != COMPARED]
-    found = found[found["how"] == COMPARED]
+    rest = found[found["how"] > EQUAL]
+    found = found[found["how"] <= EQUAL]
     shift = found["at"].astype(np.int64) - found["other"]
     found = found[np.lexsort((found["at"], shift, found["b"], found["a"]))]
     shift = found["at"].astype(np.int64) - found["other"]
     at, other = found["at"].astype(np.int64), found["other"].astype(np.int64)
 
     def rows(kind, chosen, places):
-        where = (chosen["key"].view(np.int64), chosen["at"].astype(np.int64), chosen["other"].astype(np.int64))
+        where = (chosen[n].astype("<u8").view(np.int64) for n in ("key", "f", "at", "other", "content", "lead"))
         return np.broadcast_to(kind, len(chosen)), chosen["a"], chosen["b"], *places, *where
 
     if len(found):
@@ -275,19 +314,36 @@ def align(found: np.ndarray, least: int, enough: int) -> Iterator[tuple[np.ndarr
             np.maximum(np.minimum.reduceat(other, starts) - grow, 0), np.maximum.reduceat(other, starts) + grow + 1,
         ]
         kept = np.bitwise_count(seen) >= enough
-        none = np.zeros(int(kept.sum()), np.int64)
-        yield none + PAIR, found["a"][starts][kept], found["b"][starts][kept], *(p[kept] for p in places), none, none, none
+        none = [np.zeros(int(kept.sum()), np.int64)] * 6
+        yield none[0] + PAIR, found["a"][starts][kept], found["b"][starts][kept], *(p[kept] for p in places), *none
         run = np.cumsum(new) - 1
-        own = found["key"] != 0
+        own = (found["how"] == COMPARED) & (found["f"] < first_open)
         yield rows(np.where(kept[run], WITH_LEAD, NO_ROOM)[own], found[own], [p[run][own] for p in places])
+        yield copied(found[found["how"] == EQUAL], least)
     if len(rest):
         yield rows(rest["how"].astype(np.int64), rest, [np.zeros(len(rest), np.int64)] * 4)
 
 
-def find_candidates(matches: DataFrame, least: int, enough: int, buckets: int) -> DataFrame:
+def copied(found: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """Rows of kind COPY from sorted matches of equal surroundings; those that touch are one."""
+    at, shift = found["at"].astype(np.int64), found["at"].astype(np.int64) - found["other"]
+    lo, hi = at - np.minimum(at, least), at + found["tail"] + 1
+    new = np.ones(len(found), bool)
+    new[1:] = (
+        (found["a"][1:] != found["a"][:-1]) | (found["b"][1:] != found["b"][:-1])
+        | (np.diff(shift) != 0) | (lo[1:] > hi[:-1])
+    )
+    starts = np.flatnonzero(new)
+    if len(starts):
+        lo, hi = np.minimum.reduceat(lo, starts), np.maximum.reduceat(hi, starts)
+    shift, none = shift[starts], [np.zeros(len(starts), np.int64)] * 6
+    return none[0] + COPY, found["a"][starts], found["b"][starts], lo, hi, lo - shift, hi - shift, *none
+
+
+def find_candidates(matches: DataFrame, least: int, enough: int, buckets: int, first_open: int = OPEN) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in gather(batches, {1: MATCH}):
-            for found in align(rows[1], least, enough):
+            for found in align(rows[1], least, enough, first_open):
                 if len(found[0]):
                     yield batch_of(ALIGNED, *found)
 
@@ -347,8 +403,8 @@ def write_requests(pieces: DataFrame, folder: str) -> DataFrame:
     return dealt.mapInArrow(write, "part int, n long")
 
 
-def read_pieces(docs: DataFrame, folder: str) -> DataFrame:
-    """The wanted pieces of all documents, as shingle hashes; texts are not shuffled."""
+def read_pieces(docs: DataFrame, folder: str, need: int = 0) -> DataFrame:
+    """The wanted pieces of all documents, as shingle hashes; texts are not shuffled. Those of fewer than `need` different ones are left out."""
     rows = docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,7 +435,10 @@ def read_pieces(docs: DataFrame, folder: str) -> DataFrame:
                     own = found[order[begin + k]]
                     text = tokens[bounds[k] : bounds[k + 1]].astype("<u4")
                     for pair, side, lo, hi in zip(own["pair"], own["side"], own["lo"], own["hi"]):
-                        out.append((pair, side, ids[order[begin + k]], lo, text[lo:hi].tobytes()))
+                        piece = text[lo:hi]
+                        if need and len(set(piece.tolist())) < need:
+                            continue
+                        out.append((pair, side, ids[order[begin + k]], lo, piece.tobytes()))
                         weight += len(out[-1][-1])
                         if weight > 4 << 20:
                             yield batch_of(PIECE, *zip(*out))
@@ -392,15 +451,18 @@ def read_pieces(docs: DataFrame, folder: str) -> DataFrame:
 
 def verify(x: np.ndarray, y: np.ndarray, least: int, similarity: float) -> Iterator[tuple[int, int, int, int, float]]:
     """Passages (start, end, other start, other end, similarity) that two pieces share."""
-    where = np.isin(x, y)
-    hits = np.flatnonzero(where)
-    if not len(hits):
-        return
-    order = np.argsort(y, kind="stable")
-    place = order[np.searchsorted(y, x[hits], sorter=order)]
     # Of two passages of n shingles that share m the similarity is m / (2n - m); runs of hits join
     # while they keep it, and a run that would spoil it begins a passage of its own.
     need = 2 * similarity / (1 + similarity)
+    if min(len(x), len(y)) < least * similarity:
+        return
+    order = np.argsort(y, kind="stable")
+    ranked = y[order]
+    place = np.minimum(np.searchsorted(ranked, x), len(y) - 1)
+    hits = np.flatnonzero(ranked[place] == x)
+    if len(hits) < need * least or not _dense(hits, least, need):
+        return
+    place = order[place[hits]]
     cuts, first, held = [], 0, 0
     for begin, end in zip(*runs(hits - np.arange(len(hits)))):
         size = int(end - begin)
@@ -410,16 +472,38 @@ def verify(x: np.ndarray, y: np.ndarray, least: int, similarity: float) -> Itera
         held += size
     for own, other in zip(np.split(hits, cuts), np.split(place, cuts)):
         a, b = int(own[0]), int(own[-1]) + 1
-        if b - a < least * similarity:
+        if b - a < least:  # the other side is not longer
             continue
-        # The other side begins where most of the hits say it does.
-        middle = int(np.median(other - own))
-        c, d = max(0, a + middle), min(len(y), b + middle)
-        mine, theirs = np.unique(x[a:b]), np.unique(y[c:d])
-        shared = len(np.intersect1d(mine, theirs, assume_unique=True))
-        value = shared / max(1, len(mine) + len(theirs) - shared)
-        if value >= similarity and max(b - a, d - c) >= least:
-            yield a, b, c, d, value
+        mine, single = np.unique(x[own], return_index=True)
+        # The other side begins where most of the hits say it does; of repeated shingles the first ones may say better.
+        for chosen in (slice(None), single):
+            middle = int(np.median((other - own)[chosen]))
+            c, d = max(0, a + middle), min(len(y), b + middle)
+            value = _similarity(x[a:b], y[c:d])
+            if value < similarity and len(mine) < len(own) and c < d:
+                inside = np.flatnonzero(np.isin(y[c:d], mine))
+                if len(inside) and inside[-1] + 1 - inside[0] >= least * similarity:
+                    c, d = c + int(inside[0]), c + int(inside[-1]) + 1
+                    value = _similarity(x[a:b], y[c:d])
+            if value >= similarity:
+                yield a, b, c, d, value
+                break
+            if len(mine) == len(own):
+                break
+
+
+def _dense(hits: np.ndarray, least: int, need: float) -> bool:
+    """Whether `least` or more places in a row hold a share of `need` hits: there is no passage without."""
+    spare = np.arange(len(hits)) - need * hits
+    before = np.searchsorted(hits, hits - least + 1, "right")
+    far = before > 0
+    return bool((spare[far] - np.minimum.accumulate(spare)[before[far] - 1] >= need - 1 - 1e-9).any())
+
+
+def _similarity(x: np.ndarray, y: np.ndarray) -> float:
+    mine, theirs = np.unique(x), np.unique(y)
+    shared = len(np.intersect1d(mine, theirs, assume_unique=True))
+    return shared / max(1, len(mine) + len(theirs) - shared)
 
 
 def verify_pieces(pieces: DataFrame, least: int, similarity: float) -> DataFrame:
@@ -456,89 +540,146 @@ def verify_pieces(pieces: DataFrame, least: int, similarity: float) -> DataFrame
 
 
 def open_windows(aligned: DataFrame, passages: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc, at, key) of all windows of the keys under which some window is not linked to the first.
+    """(key, content, doc, at, label): the windows, one of each content, of keys with one that is not linked to the first.
 
-    A match is linked if a verified passage of its candidate covers it. A key of two windows
-    has nothing left to compare.
+    A match is linked if a verified passage of its candidate covers it. What has the same label (not 0)
+    under a key is linked to the same first window: label - 1 is the hash function. Keys of one token
+    are one here, as their windows are mostly the same.
     """
-    rows = aligned.where(f"kind <> {PAIR}").withColumn("pair", F.xxhash64("a", "b", "lo", "other_lo"))
+    rows = aligned.where(f"kind IN ({NO_ROOM}, {WITH_LEAD}, {SAME})").withColumn("pair", F.xxhash64("a", "b", "lo", "other_lo"))
     linked = passages.select(F.col("pair").alias("p"), "start", "end")
-    apart = rows.where(f"kind = {WITH_LEAD}").join(
-        linked, (F.col("pair") == F.col("p")) & (F.col("at") >= F.col("start")) & (F.col("at") < F.col("end")), "left_anti"
+    met = rows.where(f"kind = {WITH_LEAD}").join(
+        linked, (F.col("pair") == F.col("p")) & (F.col("at") >= F.col("start")) & (F.col("at") < F.col("end")), "left"
+    )
+    columns = ("kind", "key", "f", "a", "at", "content", "b", "other", "lead")
+    marked = met.select(*columns, F.col("p").isNotNull().alias("linked")).unionByName(
+        rows.where(f"kind <> {WITH_LEAD}").select(*columns, F.lit(False).alias("linked"))
+    )
+    marked = scratch.save(marked, "marked")
+    keys = marked.where(f"NOT linked AND kind <> {SAME}").select("key").distinct()
+    label = F.col("f") + 1
+    sides = F.array(
+        F.struct(F.col("content").alias("c"), F.col("a").alias("doc"), F.col("at"), F.when(F.col("linked"), label).alias("label")),
+        F.struct(F.col("lead").alias("c"), F.col("b").alias("doc"), F.col("other").alias("at"), label.alias("label")),
+    )
+    found = marked.join(keys, "key", "left_semi").select("key", F.explode(sides).alias("s"))
+    found = found.groupBy("key", F.col("s.c").alias("content")).agg(
+        F.min(F.struct("s.doc", "s.at")).alias("w"), F.coalesce(F.min("s.label"), F.lit(0)).alias("label")
     )
-    keys = apart.select("key").unionByName(rows.where(f"kind = {NO_ROOM}").select("key")).distinct()
-    keys = scratch.save(keys, "open-keys")
-    sides = F.array(F.struct(F.col("a").alias("doc"), "at"), F.struct(F.col("b").alias("doc"), F.col("other").alias("at")))
-    found = rows.join(keys, "key", "left_semi").select("key", F.explode(sides).alias("s"))
-    return found.select("key", "s.doc", "s.at").distinct()
+    return found.select("key", "content", "w.doc", "w.at", "label")
 
 
-def open_pieces(windows: DataFrame, least: int, block: int = BLOCK) -> DataFrame:
-    """(doc, pair, side, lo, hi): the surroundings of open windows; `pair` is a key, or a pair of its blocks."""
+def open_requests(windows: DataFrame, least: int) -> DataFrame:
+    """(doc, pair, side, lo, hi): the surroundings of open windows; `pair` is the key and `side` the label."""
     sizes = windows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("d"), F.max("doc").alias("e"))
-    sizes = sizes.where("n > 2 AND d < e").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("doc", "at"), F.col("blocks")).cast("int")
-    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: (F.col("blocks") == 1) | (o != F.col("own")))
-    placed = windows.join(sizes, "key").withColumn("own", own).select("*", F.explode(others).alias("o"))
-    return placed.select(
-        "doc", F.xxhash64("key", F.least("own", "o"), F.greatest("own", "o")).alias("pair"), F.lit(0).alias("side"),
+    chosen = windows.join(sizes.where("n > 2 AND d < e").select("key"), "key", "left_semi")
+    return chosen.select(
+        "doc", F.col("key").alias("pair"), F.col("label").alias("side"),
         F.greatest(F.col("at") - least, F.lit(0).cast("long")).alias("lo"), (F.col("at") + least + 1).alias("hi"),
     )
 
 
-def connect(docs: list[int], texts: list[np.ndarray], least: int, similarity: float) -> Iterator[tuple[int, int]]:
+def open_pieces(pieces: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The pieces by what is compared in one task: a key (`pair`), or a pair of its blocks."""
+    sizes = pieces.groupBy("pair").agg(F.count("*").alias("n"), F.min("doc_id").alias("d"), F.max("doc_id").alias("e"))
+    sizes = sizes.where("d < e").select("pair", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("doc_id", "lo"), F.col("blocks")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: (F.col("blocks") == 1) | (o != F.col("own")))
+    placed = pieces.join(sizes, "pair").withColumn("own", own).select("*", F.explode(others).alias("o"))
+    return placed.withColumn("pair", F.xxhash64("pair", F.least("own", "o"), F.greatest("own", "o"))).drop("blocks", "own", "o")
+
+
+def connect(
+    docs: list[int], texts: list[np.ndarray], least: int, similarity: float, labels: list[int] | None = None
+) -> Iterator[tuple[int, int]]:
     """Pairs of pieces to verify, such that whatever shares a passage is connected by them.
 
-    Equal pieces are one. A pair needs `similarity` * `least` common shingles, so a piece is out
-    that has fewer which any other has. The rest is searched through: a piece is compared with
-    all that nothing has reached yet.
+    Equal pieces are one, and pieces with the same label (not 0) are connected already. A pair needs
+    `similarity` * `least` common shingles, so a piece is out that has fewer which any other has, and a
+    pair shares one of the rarer shingles that both have beyond that number. The rest is searched
+    through: a piece is compared with all that nothing connects it with yet.
     """
     same: dict[bytes, int] = {}
     kept = []
+    parent = list(range(len(texts)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    named: dict[int, int] = {}
     for i, x in enumerate(texts):
         j = same.setdefault(x.tobytes(), i)
         if j == i:
             kept.append(i)
         elif docs[i] != docs[j]:
             yield i, j
-    need = similarity * least
-    sets = [np.unique(texts[i]) for i in kept]
-    while sets:
-        values, count = np.unique(np.concatenate(sets), return_counts=True)
-        common = values[count > 1]
-        left = [s[np.isin(s, common)] for s in sets]
-        chosen = [k for k, s in enumerate(left) if len(s) >= need]
-        kept, done = [kept[k] for k in chosen], len(chosen) == len(sets)
-        sets = [left[k] for k in chosen]
-        if done:
+        parent[root(i)] = root(j)
+        if labels and labels[i]:
+            parent[root(i)] = root(named.setdefault(labels[i], i))
+    if len({root(i) for i in kept}) < 2:
+        return
+    need = int(np.ceil(similarity * least))
+    # All pieces as rows of shingle numbers, rarest first; 0 is an end or a shingle that no other piece has.
+    sizes = np.array([len(texts[i]) for i in kept])
+    _, flat = np.unique(np.concatenate([texts[i] for i in kept]), return_inverse=True)
+    item = np.repeat(np.arange(len(kept)), sizes)
+    words, own = np.divmod(np.unique(flat * len(kept) + item), len(kept))
+    while True:
+        left = np.bincount(own, np.bincount(words)[words] > 1, len(kept))
+        chosen = (left >= need)[own] & (np.bincount(words)[words] > 1)
+        if chosen.all():
             break
-    if not sets:
+        words, own = words[chosen], own[chosen]
+    rows = np.flatnonzero(left >= need)
+    classes = [root(kept[r]) for r in rows.tolist()]
+    if len(set(classes)) < 2:
         return
-    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    own = np.split(flat, np.cumsum([len(s) for s in sets])[:-1])
-    unseen, rows, queue = np.ones(len(own), bool), np.arange(0), []
-    held = np.zeros(len(names), bool)
-    while unseen.any():
-        if not queue:
-            queue.append(int(unseen.argmax()))
-            unseen[queue[0]] = False
-        if not len(rows) or 2 * np.count_nonzero(unseen[rows]) < len(rows):
-            rows = np.flatnonzero(unseen)
-            if not len(rows):
-                return
-            words = np.concatenate([own[u] for u in rows])
-            sizes = np.array([len(own[u]) for u in rows])
-            starts = np.cumsum(sizes) - sizes
-        k = queue.pop()
-        held[own[k]] = True
-        shared = np.add.reduceat(held[words], starts, dtype=np.int64)
-        held[own[k]] = False
-        for u in rows[(shared >= need) & unseen[rows]].tolist():
-            if docs[kept[u]] != docs[kept[k]]:
-                yield kept[u], kept[k]
-            if any(True for _ in verify(texts[kept[u]], texts[kept[k]], least, similarity)):
-                unseen[u] = False
-                queue.append(u)
+    count = np.bincount(words, minlength=flat.max() + 1)
+    rank = np.zeros(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count)) - np.count_nonzero(count == 0) + 1
+    rank[count == 0] = 0
+    order = np.lexsort((rank[words], own))
+    words, own = rank[words][order], own[order]
+    starts, ends = np.searchsorted(own, rows), np.searchsorted(own, rows, "right")
+    item = np.searchsorted(rows, own)
+    rare = np.arange(len(words)) <= ends[item] - need
+    order = np.lexsort((item[rare], words[rare]))
+    posted, bounds = item[rare][order], np.searchsorted(words[rare][order], np.arange(rank.max() + 2))
+    width = max(int(sizes[rows].max()), least)
+    lines = np.zeros((len(rows), width + 1), np.int32)
+    places = np.cumsum(sizes) - sizes
+    for k, r in enumerate(rows.tolist()):
+        lines[k, 1 : sizes[r] + 1] = rank[flat[places[r] : places[r] + sizes[r]]]
+    # A passage has a part of less than two least lengths that keeps its share of common shingles; around a shingle
+    # of that part the piece has the least length of it or more, with no more than all its misses.
+    close = least - int((1 - 2 * similarity / (1 + similarity)) * (2 * least - 1))
+    held = np.zeros(int(rank.max()) + 1, bool)
+    # The pieces of the largest class need no search of their own.
+    largest = max(set(classes), key=classes.count)
+    searched = np.array([c != largest for c in classes])
+    for k in np.flatnonzero(searched).tolist():
+        mine = words[starts[k] : ends[k]]
+        lists = [posted[bounds[w] : bounds[w + 1]] for w in mine[: len(mine) - need + 1].tolist()]
+        others = np.unique(np.concatenate(lists))
+        others = others[~searched[others] | (others > k)]
+        i = kept[rows[k]]
+        others = others[np.array([root(kept[r]) != root(i) for r in rows[others].tolist()], bool)]
+        if not len(others):
+            continue
+        held[mine] = True
+        upto = np.cumsum(held[lines[others]], axis=1, dtype=np.int32)
+        held[mine] = False
+        others = others[(upto[:, least:] - upto[:, : width + 1 - least]).max(axis=1) >= close]
+        for r in rows[others].tolist():
+            j = kept[r]
+            if root(j) == root(i):
+                continue
+            if docs[i] != docs[j]:
+                yield j, i
+            if any(True for _ in verify(texts[j], texts[i], least, similarity)):
+                parent[root(j)] = root(i)
 
 
 def connect_pieces(pieces: DataFrame, least: int, similarity: float) -> DataFrame:
@@ -548,10 +689,10 @@ def connect_pieces(pieces: DataFrame, least: int, similarity: float) -> DataFram
         at, held = None, []
 
         def settle():
-            texts = [np.frombuffer(data, "<u4") for _, _, data in held]
+            texts = [np.frombuffer(data, "<u4") for _, _, data, _ in held]
             out = []
-            for i, j in connect([d for d, _, _ in held], texts, least, similarity):
-                (a, lo, _), (b, other, _) = sorted((held[i], held[j]))
+            for i, j in connect([d for d, *_ in held], texts, least, similarity, [label for *_, label in held]):
+                (a, lo, *_), (b, other, *_) = sorted((held[i], held[j]))
                 out.append((a, b, max(0, lo - least), lo + 3 * least + 1, max(0, other - least), other + 3 * least + 1))
                 if len(out) >= 65536:
                     yield batch_of(CANDIDATE, *zip(*out))
@@ -564,7 +705,7 @@ def connect_pieces(pieces: DataFrame, least: int, similarity: float) -> DataFram
                 if row["pair"] != at:
                     yield from settle()
                     at, held = row["pair"], []
-                held.append((row["doc_id"], row["lo"], row["data"]))
+                held.append((row["doc_id"], row["lo"], row["data"], row["side"]))
         yield from settle()
 
     found = pieces.repartition("pair").sortWithinPartitions("pair", "doc_id", "lo").mapInArrow(read, CANDIDATE_SQL)
@@ -588,25 +729,32 @@ def repeated_passages(
     buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     first_open = HASHES - enough + 1
-    matches = join_windows(find_windows(known, least, buckets, first_open), least, buckets, first_open)
-    aligned = scratch.save(find_candidates(matches, least, enough, buckets), "aligned")
+    matches = join_windows(find_windows(known, least, buckets), least, buckets, first_open)
+    aligned = scratch.save(find_candidates(matches, least, enough, buckets, first_open), "aligned")
 
-    def read(pieces: DataFrame, name: str) -> DataFrame:
+    def read(pieces: DataFrame, name: str, need: int = 0) -> DataFrame:
         scratch.save(write_requests(pieces, scratch.path(name)), f"{name}-files")
-        return read_pieces(known, scratch.path(name))
+        return read_pieces(known, scratch.path(name), need)
 
     pieces = read(pieces_of(aligned.where(f"kind = {PAIR}").select(*PLACES).distinct()), "requests")
     found = scratch.save(verify_pieces(pieces, least, similarity), "passages")
     scratch.drop("requests", "requests-files")
+    copies = aligned.where(f"kind = {COPY}").select(
+        F.lit(None).cast("long").alias("pair"), "a", "b", F.col("lo").alias("start"), (F.col("hi") + WIDTH - 1).alias("end"),
+        F.col("other_lo").alias("other_start"), (F.col("other_hi") + WIDTH - 1).alias("other_end"), F.lit(1.0).alias("similarity"),
+    )
+    copies = scratch.save(copies, "copies")
     windows = scratch.save(open_windows(aligned, found, scratch), "open-windows")
-    scratch.drop("aligned", "open-keys")
-    pieces = read(open_pieces(windows, least), "open-requests")
-    candidates = scratch.save(connect_pieces(pieces, least, similarity), "open-candidates")
+    scratch.drop("aligned", "marked")
+    # Pieces with fewer different shingles than a passage shares are compared as equal ones already.
+    pieces = scratch.save(read(open_requests(windows, least), "open-requests", int(np.ceil(similarity * least))), "open-pieces")
     scratch.drop("open-requests", "open-requests-files", "open-windows")
+    candidates = scratch.save(connect_pieces(open_pieces(pieces), least, similarity), "open-candidates")
+    scratch.drop("open-pieces")
     pieces = read(pieces_of(candidates), "more-requests")
     more = scratch.save(verify_pieces(pieces, least, similarity), "more-passages")
     scratch.drop("more-requests", "more-requests-files", "open-candidates")
-    return found.unionByName(more).drop("pair")
+    return found.unionByName(copies).unionByName(more).drop("pair")
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
