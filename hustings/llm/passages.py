@@ -275,8 +275,6 @@ def join_windows(sent: DataFrame, least: int, buckets: int, first_open: int = OP
 # --- candidates ------------------------------------------------------------------------
 
 PLACES = ("a", "b", "lo", "hi", "other_lo", "other_hi")
-CANDIDATE = pa.schema([(n, pa.int64()) for n in PLACES])
-CANDIDATE_SQL = ", ".join(f"{n} long" for n in PLACES)
 ALIGNED = pa.schema([(n, pa.int64()) for n in ("kind", *PLACES, "key", "f", "at", "other", "content", "lead")])
 ALIGNED_SQL = ", ".join(f"{n} long" for n in ALIGNED.names)
 PAIR, WITH_LEAD, COPY = 0, 1, 4  # kinds beside NO_ROOM (here also: not aligned) and SAME
@@ -403,8 +401,11 @@ def write_requests(pieces: DataFrame, folder: str) -> DataFrame:
     return dealt.mapInArrow(write, "part int, n long")
 
 
-def read_pieces(docs: DataFrame, folder: str, need: int = 0) -> DataFrame:
-    """The wanted pieces of all documents, as shingle hashes; texts are not shuffled. Those of fewer than `need` different ones are left out."""
+def read_pieces(docs: DataFrame, folder: str, need: int = 0, least: int = 0) -> DataFrame:
+    """The wanted pieces of all documents, as shingle hashes; texts are not shuffled.
+
+    Those are left out that have fewer than `need` different ones but for `least` at both ends.
+    """
     rows = docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -435,8 +436,8 @@ def read_pieces(docs: DataFrame, folder: str, need: int = 0) -> DataFrame:
                     own = found[order[begin + k]]
                     text = tokens[bounds[k] : bounds[k + 1]].astype("<u4")
                     for pair, side, lo, hi in zip(own["pair"], own["side"], own["lo"], own["hi"]):
-                        piece = text[lo:hi]
-                        if need and len(set(piece.tolist())) < need:
+                        piece = text[max(0, lo) : hi]
+                        if need and len(set(text[max(0, lo + least) : hi - least].tolist())) < need:
                             continue
                         out.append((pair, side, ids[order[begin + k]], lo, piece.tobytes()))
                         weight += len(out[-1][-1])
@@ -570,12 +571,15 @@ def open_windows(aligned: DataFrame, passages: DataFrame, scratch: Scratch) -> D
 
 
 def open_requests(windows: DataFrame, least: int) -> DataFrame:
-    """(doc, pair, side, lo, hi): the surroundings of open windows; `pair` is the key and `side` the label."""
+    """(doc, pair, side, lo, hi): the surroundings of open windows; `pair` is the key and `side` the label.
+
+    Two least lengths on both sides of the window's middle, `lo` may lie before the text.
+    """
     sizes = windows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("d"), F.max("doc").alias("e"))
     chosen = windows.join(sizes.where("n > 2 AND d < e").select("key"), "key", "left_semi")
     return chosen.select(
         "doc", F.col("key").alias("pair"), F.col("label").alias("side"),
-        F.greatest(F.col("at") - least, F.lit(0).cast("long")).alias("lo"), (F.col("at") + least + 1).alias("hi"),
+        (F.col("at") - 2 * least).alias("lo"), (F.col("at") + 2 * least + 1).alias("hi"),
     )
 
 
@@ -590,10 +594,12 @@ def open_pieces(pieces: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def connect(
-    docs: list[int], texts: list[np.ndarray], least: int, similarity: float, labels: list[int] | None = None
+    docs: list[int], texts: list[np.ndarray], least: int, similarity: float,
+    labels: list[int] | None = None, middles: list[int] | None = None,
 ) -> Iterator[tuple[int, int]]:
-    """Pairs of pieces to verify, such that whatever shares a passage is connected by them.
+    """Pairs of pieces that share a passage, such that whatever shares one is connected by them.
 
+    With `middles`, places in the pieces, the passage has to hold the middle of a piece. No more pairs than pieces come out.
     Equal pieces are one, and pieces with the same label (not 0) are connected already. A pair needs
     `similarity` * `least` common shingles, so a piece is out that has fewer which any other has, and a
     pair shares one of the rarer shingles that both have beyond that number. The rest is searched
@@ -623,9 +629,14 @@ def connect(
     need = int(np.ceil(similarity * least))
     # All pieces as rows of shingle numbers, rarest first; 0 is an end or a shingle that no other piece has.
     sizes = np.array([len(texts[i]) for i in kept])
-    _, flat = np.unique(np.concatenate([texts[i] for i in kept]), return_inverse=True)
+    ids = np.unique(np.concatenate([texts[i] for i in kept]), return_inverse=True)[1] + 1
     item = np.repeat(np.arange(len(kept)), sizes)
-    words, own = np.divmod(np.unique(flat * len(kept) + item), len(kept))
+    places = np.cumsum(sizes) - sizes
+    at = np.arange(len(ids)) - places[item]
+    if middles:
+        at -= np.array([middles[i] for i in kept])[item]
+    near = np.abs(at) <= least if middles else slice(None)
+    words, own = np.divmod(np.unique(ids[near] * len(kept) + item[near]), len(kept))
     while True:
         left = np.bincount(own, np.bincount(words)[words] > 1, len(kept))
         chosen = (left >= need)[own] & (np.bincount(words)[words] > 1)
@@ -636,26 +647,26 @@ def connect(
     classes = [root(kept[r]) for r in rows.tolist()]
     if len(set(classes)) < 2:
         return
-    count = np.bincount(words, minlength=flat.max() + 1)
-    rank = np.zeros(len(count), np.int64)
-    rank[np.argsort(count, kind="stable")] = np.arange(len(count)) - np.count_nonzero(count == 0) + 1
-    rank[count == 0] = 0
-    order = np.lexsort((rank[words], own))
-    words, own = rank[words][order], own[order]
+    count = np.bincount(words, minlength=ids.max() + 1)
+    order = np.lexsort((words, count[words], own))
+    words, own = words[order], own[order]
     starts, ends = np.searchsorted(own, rows), np.searchsorted(own, rows, "right")
     item = np.searchsorted(rows, own)
     rare = np.arange(len(words)) <= ends[item] - need
     order = np.lexsort((item[rare], words[rare]))
-    posted, bounds = item[rare][order], np.searchsorted(words[rare][order], np.arange(rank.max() + 2))
-    width = max(int(sizes[rows].max()), least)
-    lines = np.zeros((len(rows), width + 1), np.int32)
-    places = np.cumsum(sizes) - sizes
+    posted, bounds = item[rare][order], np.searchsorted(words[rare][order], np.arange(len(count) + 1))
+    # All pieces in lines with their middles below each other. A passage is a row of `least` places or more around
+    # the middle of which `share` or more are common shingles.
+    share = 2 * similarity / (1 + similarity)
+    before = max(0, -int(at.min()))
+    width = max(before + int(at.max()) + 1, least)
+    lines = np.zeros((len(rows), width), np.int32)
     for k, r in enumerate(rows.tolist()):
-        lines[k, 1 : sizes[r] + 1] = rank[flat[places[r] : places[r] + sizes[r]]]
-    # A passage has a part of less than two least lengths that keeps its share of common shingles; around a shingle
-    # of that part the piece has the least length of it or more, with no more than all its misses.
-    close = least - int((1 - 2 * similarity / (1 + similarity)) * (2 * least - 1))
-    held = np.zeros(int(rank.max()) + 1, bool)
+        first = before + int(at[places[r]])
+        lines[k, first : first + sizes[r]] = ids[places[r] : places[r] + sizes[r]]
+    begin = np.arange(min(width - least, before if middles else width) + 1)
+    end = np.maximum(begin + least, before if middles else 0)
+    held = np.zeros(len(count), bool)
     # The pieces of the largest class need no search of their own.
     largest = max(set(classes), key=classes.count)
     searched = np.array([c != largest for c in classes])
@@ -668,37 +679,40 @@ def connect(
         others = others[np.array([root(kept[r]) != root(i) for r in rows[others].tolist()], bool)]
         if not len(others):
             continue
-        held[mine] = True
-        upto = np.cumsum(held[lines[others]], axis=1, dtype=np.int32)
-        held[mine] = False
-        others = others[(upto[:, least:] - upto[:, : width + 1 - least]).max(axis=1) >= close]
+        line = lines[k][lines[k] > 0]
+        held[line] = True
+        spare = np.zeros((len(others), width + 1), np.float32)
+        np.cumsum(held[lines[others]] - np.float32(share), axis=1, out=spare[:, 1:])
+        held[line] = False
+        best = np.maximum.accumulate(spare[:, ::-1], axis=1)[:, ::-1]
+        others = others[(best[:, end] - spare[:, begin]).max(axis=1) >= -1e-3]
         for r in rows[others].tolist():
             j = kept[r]
             if root(j) == root(i):
                 continue
-            if docs[i] != docs[j]:
-                yield j, i
-            if any(True for _ in verify(texts[j], texts[i], least, similarity)):
+            if any(not middles or a <= middles[j] <= b for a, b, *_ in verify(texts[j], texts[i], least, similarity)):
                 parent[root(j)] = root(i)
+                if docs[i] != docs[j]:
+                    yield j, i
 
 
 def connect_pieces(pieces: DataFrame, least: int, similarity: float) -> DataFrame:
-    """Candidates among the pieces of each key; those of one passage are joined."""
+    """Passages that connect the pieces of each key."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
 
         def settle():
             texts = [np.frombuffer(data, "<u4") for _, _, data, _ in held]
+            middles = [2 * least + min(0, lo) for _, lo, *_ in held]
             out = []
-            for i, j in connect([d for d, *_ in held], texts, least, similarity, [label for *_, label in held]):
-                (a, lo, *_), (b, other, *_) = sorted((held[i], held[j]))
-                out.append((a, b, max(0, lo - least), lo + 3 * least + 1, max(0, other - least), other + 3 * least + 1))
-                if len(out) >= 65536:
-                    yield batch_of(CANDIDATE, *zip(*out))
-                    out.clear()
+            for i, j in connect([d for d, *_ in held], texts, least, similarity, [label for *_, label in held], middles):
+                (a, lo, *_), (b, other, *_) = held[i], held[j]
+                lo, other = max(0, lo), max(0, other)
+                for s, e, c, d, value in verify(texts[i], texts[j], least, similarity):
+                    out.append((None, a, b, lo + s, lo + e + WIDTH - 1, other + c, other + d + WIDTH - 1, value))
             if out:
-                yield batch_of(CANDIDATE, *zip(*out))
+                yield batch_of(VERIFIED, *zip(*out))
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -708,12 +722,9 @@ def connect_pieces(pieces: DataFrame, least: int, similarity: float) -> DataFram
                 held.append((row["doc_id"], row["lo"], row["data"], row["side"]))
         yield from settle()
 
-    found = pieces.repartition("pair").sortWithinPartitions("pair", "doc_id", "lo").mapInArrow(read, CANDIDATE_SQL)
-    near = F.floor((F.col("lo") - F.col("other_lo")) / least), F.floor(F.col("lo") / (4 * least))
-    joined = found.groupBy("a", "b", near[0].alias("shift"), near[1].alias("run")).agg(
-        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("other_lo").alias("other_lo"), F.max("other_hi").alias("other_hi")
+    return pieces.repartition("pair").sortWithinPartitions("pair", "doc_id", "lo").mapInArrow(
+        read, "pair long, a long, b long, start long, end long, other_start long, other_end long, similarity double"
     )
-    return joined.select(*PLACES)
 
 
 def repeated_passages(
@@ -734,7 +745,7 @@ def repeated_passages(
 
     def read(pieces: DataFrame, name: str, need: int = 0) -> DataFrame:
         scratch.save(write_requests(pieces, scratch.path(name)), f"{name}-files")
-        return read_pieces(known, scratch.path(name), need)
+        return read_pieces(known, scratch.path(name), need, least)
 
     pieces = read(pieces_of(aligned.where(f"kind = {PAIR}").select(*PLACES).distinct()), "requests")
     found = scratch.save(verify_pieces(pieces, least, similarity), "passages")
@@ -749,11 +760,8 @@ def repeated_passages(
     # Pieces with fewer different shingles than a passage shares are compared as equal ones already.
     pieces = scratch.save(read(open_requests(windows, least), "open-requests", int(np.ceil(similarity * least))), "open-pieces")
     scratch.drop("open-requests", "open-requests-files", "open-windows")
-    candidates = scratch.save(connect_pieces(open_pieces(pieces), least, similarity), "open-candidates")
+    more = scratch.save(connect_pieces(open_pieces(pieces), least, similarity), "more-passages")
     scratch.drop("open-pieces")
-    pieces = read(pieces_of(candidates), "more-requests")
-    more = scratch.save(verify_pieces(pieces, least, similarity), "more-passages")
-    scratch.drop("more-requests", "more-requests-files", "open-candidates")
     return found.unionByName(copies).unionByName(more).drop("pair")
 
 

@@ -295,6 +295,54 @@ def test_open_keys_connect_all_that_match():
     assert joined(pairs) == joined(similar)
 
 
+def test_open_keys_send_no_pair_that_shares_no_passage():
+    """Variants too far apart for a passage share enough shingles to meet, but are not sent on in pairs."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 31, 93).astype("<u4")
+    texts = []
+    for _ in range(60):
+        x = base.copy()
+        x[rng.choice(93, 23, replace=False)] = rng.integers(0, 1 << 31, 23)
+        texts.append(x)
+    assert not any(True for x in texts[1:] for _ in passages.verify(x, texts[0], 46, 0.8))
+    pairs = list(passages.connect(list(range(60)), texts, 46, 0.8))
+    assert len(pairs) < 60 and all(any(True for _ in passages.verify(texts[i], texts[j], 46, 0.8)) for i, j in pairs)
+
+
+def test_pieces_of_one_label_are_connected_already():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 31, 93).astype("<u4")
+    texts = [base.copy() for _ in range(9)]
+    for i, x in enumerate(texts):
+        x[10 * i] = i
+    pairs = list(passages.connect(list(range(9)), texts, 46, 0.8, [1] * 8 + [0]))
+    assert len(pairs) == 1 and 8 in pairs[0]
+    assert list(passages.connect(list(range(9)), texts, 46, 0.8, [1] * 9)) == []
+
+
+def test_repeated_words_are_a_passage_wherever_they_stand():
+    rng = np.random.default_rng(7)
+    words = rng.integers(100, 1 << 31, (2, 50)).astype("<u4")
+    x = np.concatenate([words[0, :20], np.full(60, 7, "<u4"), words[0, 20:33]])
+    y = np.concatenate([words[1, :30], np.full(50, 7, "<u4"), words[1, 30:43]])
+    assert list(passages.verify(x, y, 46, 0.8)) == [(20, 80, 30, 80, 1.0)]
+
+
+def test_windows_of_equal_surroundings_are_one():
+    rng = np.random.default_rng(8)
+    text = rng.integers(0, 1 << 63, 200).astype(np.uint64)
+    tokens, bounds = np.concatenate([text, text, text[:120]]), np.array([0, 200, 400, 520])
+    place = np.array([60, 260, 460, 90, 290, 490])
+    (content, tail), = passages.surroundings(tokens, bounds, 46, [place])
+    assert content[0] == content[1] == content[2] and content[3] == content[4] != content[5]
+    assert tail.tolist() == [46, 46, 46, 46, 46, 29]
+    rows = np.zeros(6, passages.WINDOW)
+    rows["key"], rows["content"], rows["doc"], rows["at"] = tokens[place], content, place // 200, place % 200
+    found, first = passages.equal(rows)
+    assert sorted(zip(found["a"].tolist(), found["b"].tolist(), found["at"].tolist())) == [(1, 0, 60), (1, 0, 90), (2, 0, 60)]
+    assert sorted(zip(first["doc"].tolist(), first["at"].tolist())) == [(0, 60), (0, 90), (2, 90)]
+
+
 # --- 4: simhash ------------------------------------------------------------------------
 
 
