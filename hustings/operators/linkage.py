@@ -290,8 +290,10 @@ def near_pairs(probes: DataFrame, targets: DataFrame, threshold: float = vocab.N
         found = found.unionByName(_by_letters(a, b.where(~whole), threshold))
     total = F.length("a") + F.length("b")
     shared = F.size(F.array_intersect(_letters(F.col("a")), _letters(F.col("b"))))
-    near = found.where(F.levenshtein("a", "b") <= (1.0 - threshold) * total + 1e-9)
-    return near.distinct().where(shared >= threshold * total / 2 - 1e-9)
+    # Written first: as a part of the join's condition the letters would be counted for every candidate, whatever its edits.
+    edits = F.call_function("levenshtein", F.col("a"), F.col("b"), _edits(threshold, F.length("a"), F.length("b")))  # -1 beyond these
+    near = stage(found.where(edits >= 0).distinct(), "near")
+    return near.where(shared >= threshold * total / 2 - 1e-9)
 
 
 def near_misses(

@@ -67,6 +67,7 @@ def apply_links(t: Views):
 
 @query("near_misses")
 def near_misses(t: Views):
+    t = t.stored_names()
     return linkage.near_misses(t.person_candidates, t.person_members, links(t))
 
 
@@ -82,6 +83,7 @@ def near_misses(t: Views):
 )
 def near_miss_pairs(t: Views):
     """The pairs of names that `near_misses` works the ratio out for."""
+    t = t.stored_names()
     own = t.person_candidates.join(links(t), "candidate_id", "left_anti")
     return linkage.near_pairs(
         own.select(text.canonical_name(F.col("name")).alias("a")),

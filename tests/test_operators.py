@@ -571,6 +571,14 @@ def test_short_names_meet_by_their_letters(spark):
     assert linkage._dealt(a).select(F.spark_partition_id()).distinct().count() > 1
 
 
+def test_letters_are_counted_for_near_names_only(spark):
+    names = spark.createDataFrame([("ann ward",), ("anne ward",), ("robert le feuvre",)], "a string")
+    found = linkage.near_pairs(names, names.withColumnRenamed("a", "b"), 0.85)
+    # In the condition of the join they would be counted for all candidates.
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in found.collect()} == {(a, b) for a, in names.collect() for b, in names.collect() if a[0] == b[0]}
+
+
 def test_linking_tiers(spark):
     members = spark.createDataFrame(
         [(1, "Robert Ward"), (2, "Élise Le-Feuvre"), (3, "Tom Binet"), (4, "Tim Binet"), (5, "Kirsten Morel")],
