@@ -903,6 +903,17 @@ def test_agreements_by_brute_force(spark, monkeypatch, held, work, read):
         assert {(r["a"], r["b"]): (r["agreed"], r["total"]) for r in found} == {k: v for k, v in want.items() if v[1] >= least}
 
 
+@pytest.mark.parametrize("long", [2, 512])
+def test_right_rows_of_a_key_travel_as_lists(spark, monkeypatch, long):
+    monkeypatch.setattr(blocks, "LONG", long)
+    rows = spark.range(40).select(F.col("id"), F.lit("k").alias("key"), (F.col("id") % 2).alias("v"))
+    lists = blocks.listed(rows).collect()
+    assert len(lists) < 40 and sorted((i, v) for r in lists for i, v in zip(r["ids"], r["vs"])) == [(i, i % 2) for i in range(40)]
+    # No order by the right ids is needed, and nothing is exploded again.
+    text = blocks.agreements(rows, rows)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" in text and "side#" in text.split("Sort ")[1].split("]")[0] and "id#" not in text.split("Sort ")[1].split("]")[0]
+
+
 @pytest.mark.parametrize("areas", [False, True])
 def test_candidate_match_shuffles_no_pairs(spark, areas):
     priorities = spark.createDataFrame([(u, 0, vocab.TOPICS[0]) for u in range(4)], "respondent_id long, position int, topic string")
